@@ -145,7 +145,7 @@ def _buyers(t: Tables) -> PropertyGraph:
 
 @query(
     "aggregate_messages",
-    f"""select 2*supplier+1 as id, count(*) as n, round(avg(c_acctbal), 4) as mean_balance
+    f"""select 2*supplier+1 as id, count(*) as n, cast(sum(cast(c_acctbal as decimal(18,2))) as double) / count(*) as mean_balance
         from ({G.PURCHASES_SQL}) join customer on c_custkey = customer
         join supplier on s_suppkey = supplier where c_acctbal > s_acctbal group by supplier""",
 )
@@ -153,7 +153,11 @@ def aggregate_messages(t: Tables):
     return _buyers(t).aggregate_messages(
         F.col("source.balance") > F.col("target.balance"),
         {"one": F.lit(1), "balance": F.col("source.balance")},
-        [F.sum("one").alias("n"), F.round(F.avg("balance"), 4).alias("mean_balance")],
+        [
+            F.sum("one").alias("n"),
+            # exact cents, so the mean does not depend on the order of addition
+            F.expr("double(sum(cast(balance as decimal(18,2)))) / count(1)").alias("mean_balance"),
+        ],
     )
 
 

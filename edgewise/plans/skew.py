@@ -154,7 +154,13 @@ class KeyedRows:
 
 
 def salted_agg(
-    df: DataFrame, keys: Sequence[str], salt_on: Sequence[str], partial, final, salts: int = 64
+    df: DataFrame,
+    keys: Sequence,
+    salt_on: Sequence[str],
+    partial: Sequence,
+    final: Sequence,
+    final_keys: Sequence[str] | None = None,
+    salts: int = 64,
 ) -> DataFrame:
     """Two-step aggregation: by key and salt first, then by key.
 
@@ -164,5 +170,5 @@ def salted_agg(
     """
     salt = F.pmod(F.xxhash64(*salt_on), F.lit(salts))
     return (
-        df.groupBy(*keys, salt.alias("_salt")).agg(*partial).groupBy(*keys).agg(*final)
+        df.groupBy(*keys, salt.alias("_salt")).agg(*partial).groupBy(*(final_keys or keys)).agg(*final)
     )
