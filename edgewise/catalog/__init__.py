@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("components", "graph_jobs", "table_jobs", "file_jobs", "udf_jobs")
+MODULES = ("components", "graph_jobs", "table_jobs", "file_jobs", "udf_jobs", "stream_jobs")
 
 
 def _load():
