@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("components", "graph_jobs", "table_jobs", "file_jobs", "udf_jobs", "stream_jobs", "feature_jobs")
+MODULES = ("components", "graph_jobs", "table_jobs", "file_jobs", "udf_jobs", "stream_jobs", "feature_jobs", "model_jobs")
 
 
 def _load():

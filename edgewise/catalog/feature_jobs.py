@@ -82,14 +82,8 @@ def tfidf(t: Tables):
         _tokens(t)
     )
     model = ml.IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2).fit(hashed)
-    # the sum of a vector is its product with ones, taken on the sparse form
-    ones = Summarizer.metrics("normL1").summary(F.col("tfidf")).getField("normL1")
-    return (
-        model.transform(hashed)
-        .groupBy("doc_id")
-        .agg(ones.alias("v"))
-        .select("doc_id", F.round(F.aggregate(vector_to_array("v"), F.lit(0.0), lambda s, x: s + x), 4).alias("weight"))
-    )
+    total = F.aggregate(F.unwrap_udt("tfidf")["values"], F.lit(0.0), lambda s, x: s + x)
+    return model.transform(hashed).select("doc_id", F.round(total, 4).alias("weight"))
 
 
 @query(
@@ -104,7 +98,7 @@ def count_vectors(t: Tables):
     model = ml.CountVectorizer(inputCol="tokens", outputCol="counts", minDF=2.0).fit(tokens)
     # the entries of a sparse vector are its distinct terms
     return model.transform(tokens).select(
-        "doc_id", F.size(F.from_json(F.to_json("counts"), "indices array<int>")["indices"]).cast("bigint").alias("n_terms")
+        "doc_id", F.size(F.unwrap_udt("counts")["indices"]).cast("bigint").alias("n_terms")
     )
 
 
@@ -121,7 +115,7 @@ def feature_hash(t: Tables):
     hasher = ml.FeatureHasher(inputCols=["p_brand", "p_retailprice"], outputCol="v")
     return hasher.transform(t.part).select(
         "p_partkey",
-        F.size(F.filter(vector_to_array("v"), lambda x: x != 0)).alias("n_active"),
+        F.size(F.unwrap_udt("v")["indices"]).alias("n_active"),
     )
 
 
@@ -296,7 +290,7 @@ def minhash_join(t: Tables):
 
 @query("rp_lsh_join")
 def rp_lsh_join(t: Tables):
-    return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 6.0).select(
+    return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.0, bucket=0.5).select(
         "a", "b", F.round("distance", 6).alias("distance")
     )
 
