@@ -75,10 +75,7 @@ def read_lines(
     spark: SparkSession, path: str, line_sep: str | None = None, whole: bool = False
 ) -> DataFrame:
     """Text file as `value`: by line, by a given separator, or one row per file."""
-    reader = spark.read.option("wholetext", str(whole).lower())
-    if line_sep:
-        reader = reader.option("lineSep", line_sep)
-    return reader.text(path)
+    return spark.read.text(path, wholetext=whole, lineSep=line_sep)
 
 
 def overwrite_partitions(df: DataFrame, table: str) -> None:
