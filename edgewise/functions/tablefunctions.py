@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.udtf(returnType="num int, squared int", useArrow=True)
+@F.udtf(returnType=T.StructType().add("num", T.IntegerType()).add("squared", T.IntegerType()), useArrow=True)
 class Squares:
     """Numbers from `start` to `end` with their squares."""
 
@@ -15,7 +16,7 @@ class Squares:
             yield number, number * number
 
 
-@F.udtf(returnType="word string", useArrow=True)
+@F.udtf(returnType=T.StructType().add("word", T.StringType()), useArrow=True)
 class SplitWords:
     """Words of a text, split on blanks."""
 
@@ -24,7 +25,7 @@ class SplitWords:
             yield (word,)
 
 
-@F.udtf(returnType="n bigint")
+@F.udtf(returnType=T.StructType().add("n", T.LongType()))
 class CountRows:
     """One row per partition: how many rows came in. Holds a counter, no rows."""
 
@@ -38,7 +39,7 @@ class CountRows:
         yield (self.seen,)
 
 
-@F.udtf(returnType="id bigint, amount double")
+@F.udtf(returnType=T.StructType().add("id", T.LongType()).add("amount", T.DoubleType()))
 class AtLeast:
     """Rows of a table argument whose `amount` reaches 5."""
 

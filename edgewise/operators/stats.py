@@ -136,14 +136,14 @@ def ranking_metrics(rows: DataFrame, predicted: str, relevant: str, k: int) -> D
     )
     some = F.size(relevant) > 0
     per_row = rows.select(
-        (hits / k).alias("p"),
-        F.when(some, hits / F.size(relevant)).otherwise(0.0).alias("r"),
-        F.when(some, dcg / best).otherwise(0.0).alias("g"),
-        F.when(some, F.aggregate(precision_at, zero, add) / F.size(relevant)).otherwise(0.0).alias("a"),
+        (hits / k).alias("_p"),
+        F.when(some, hits / F.size(relevant)).otherwise(0.0).alias("_r"),
+        F.when(some, dcg / best).otherwise(0.0).alias("_g"),
+        F.when(some, F.aggregate(precision_at, zero, add) / F.size(relevant)).otherwise(0.0).alias("_a"),
     )
     return per_row.agg(
-        F.avg("p").alias("precision"),
-        F.avg("r").alias("recall"),
-        F.avg("g").alias("ndcg"),
-        F.avg("a").alias("map"),
+        F.avg("_p").alias("precision"),
+        F.avg("_r").alias("recall"),
+        F.avg("_g").alias("ndcg"),
+        F.avg("_a").alias("map"),
     )
