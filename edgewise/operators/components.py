@@ -67,17 +67,21 @@ def connected_components(
         "minlabel": _minlabel,
         "selfmsg": _selfmsg,
     }[algorithm]
-    nodes = E.vertices(simple.df, by)
-    if vertices is not None:
-        nodes = nodes.unionByName(vertices.select(*by, "node").na.drop()).distinct()
-    # the loop keeps the start table; `simple` also feeds the node list at the end
     loop = run(scratch, simple, by, max_iters)
-    best = loop.state.groupBy(*by, "node").agg(F.min("component").alias("component"))
+    # no algorithm loses a node with an edge to another one, so the node list comes
+    # from the small final state and not from a second pass over all edges
+    own = loop.state.selectExpr(*by, "component as node").unionByName(
+        simple.df.where("src = dst").selectExpr(*by, "src as node")
+    )
+    if vertices is not None:
+        own = own.unionByName(vertices.select(*by, "node").na.drop())
     labels = scratch.write(
-        nodes.join(best, [*by, "node"], "left").select(
-            *by, "node", F.coalesce("component", "node").alias("component")
-        )
+        loop.state.select(*by, "node", "component")
+        .unionByName(own.selectExpr(*by, "node", "node as component"))
+        .groupBy(*by, "node")
+        .agg(F.min("component").alias("component"))
     )
+    simple.drop()
     return ComponentsResult(labels.df, loop.iterations, loop.converged, loop.changes, scratch)
 
 
@@ -93,12 +97,7 @@ def _star(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> Loo
     the smaller neighbours. When neither moves an edge, all edges point at the
     smallest node of their component.
     """
-    start = scratch.write(
-        simple.df.where("src <> dst").select(
-            *by, F.col("dst").alias("hi"), F.col("src").alias("lo"), F.lit(0).alias("changed")
-        )
-    )
-
+    start = simple.view(simple.df.where("src <> dst").selectExpr(*by, "dst as hi", "src as lo"))
     halfway: list[Table] = []
 
     def step(state: DataFrame, n: int) -> DataFrame:
@@ -124,7 +123,9 @@ def _star(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> Loo
             "greatest(changed, int(lo <> low)) as changed",
         )
 
-    loop = iterate(scratch, start, step, max_iters, n=_count(start))
+    loop = iterate(scratch, start, step, max_iters, n=_count(simple))
+    while halfway:
+        halfway.pop().drop()
     loop.state = loop.state.select(*by, F.col("hi").alias("node"), F.col("lo").alias("component"))
     return loop
 
@@ -135,13 +136,8 @@ def _rewrite(scratch: Scratch, simple: Table, by: list[str], max_iters: int) ->
     Per key, `m` is the smallest value; a key above `m` emits `(key, m)` and
     `(v, m)` for its other values. The given edges are forgotten.
     """
-    start = scratch.write(
-        simple.df.where("src <> dst").select(
-            *by,
-            F.col("dst").alias("node"),
-            F.col("src").alias("component"),
-            F.lit(0).cast("bigint").alias("changed"),
-        )
+    start = simple.view(
+        simple.df.where("src <> dst").selectExpr(*by, "dst as node", "src as component")
     )
 
     def step(state: DataFrame, n: int) -> DataFrame:
@@ -157,7 +153,7 @@ def _rewrite(scratch: Scratch, simple: Table, by: list[str], max_iters: int) ->
             )
         )
 
-    return iterate(scratch, start, step, max_iters, n=_count(start))
+    return iterate(scratch, start, step, max_iters, n=_count(simple))
 
 
 def _labels(scratch: Scratch, simple: Table, by: list[str]) -> Table:

@@ -66,8 +66,13 @@ class Scratch:
 class Table:
     """A materialised scratch table."""
 
-    def __init__(self, scratch: Scratch, path: str, df: DataFrame):
+    def __init__(self, scratch: Scratch, path: str | None, df: DataFrame):
         self.scratch, self.path, self.df = scratch, path, df
 
+    def view(self, df: DataFrame) -> "Table":
+        """A reading of this table that leaves the files alone when dropped."""
+        return Table(self.scratch, None, df)
+
     def drop(self) -> None:
-        self.scratch.delete(self.path)
+        if self.path is not None:
+            self.scratch.delete(self.path)
