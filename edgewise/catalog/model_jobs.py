@@ -242,7 +242,24 @@ def itemsets(t: Tables):
     )
 
 
-@query("association_rules")
+_ITEM_LISTS = {",".join(c): c for c in _SUBSETS}
+_RULES = [
+    (whole, ",".join(x for x in c if x != then), then)
+    for whole, c in _ITEM_LISTS.items()
+    if len(c) > 1
+    for then in c
+]
+
+
+@query(
+    "association_rules",
+    f"""with f as ({_ITEMSETS_SQL}),
+        r(whole, given, consequent) as (values {", ".join(str(r) for r in _RULES)})
+        select r.given, r.consequent as then, round(w.n / g.n, 6) as confidence
+        from r join f w on w.items = r.whole join f g on g.items = r.given
+        where w.n / g.n >= 0.3 and
+              w.n >= {_SUPPORT} * (select count(*) from (select distinct user_id, ts::date from events))""",
+)
 def association_rules(t: Tables):
     model = FPGrowth(itemsCol="items", minSupport=_SUPPORT, minConfidence=0.3).fit(_baskets(t))
     return model.associationRules.select(

@@ -15,27 +15,33 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+MAX_HOT_KEYS = 100_000
 MIN_HOT_ROWS = 1_000_000
 
 
-def hot_limit(total: int) -> int:
+def hot_limit(total: int, max_hot: int | None = None) -> int:
     """Rows above which a key counts as hot."""
-    return max(MIN_HOT_ROWS, total // MAX_HOT_KEYS)
+    return max(MIN_HOT_ROWS, total // (max_hot or MAX_HOT_KEYS))
 
 
 def join_counted(
-    rows: DataFrame, lookup: DataFrame, key: Sequence[str], count: str, total: int
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: Sequence[str],
+    count: str,
+    total: int,
+    max_hot: int | None = None,
 ) -> DataFrame:
     """Inner join of `rows` to `lookup`, which has one row per key.
 
     `lookup[count]` is the number of `rows` with that key, or an upper bound of
-    it; its sum over all keys is at most `total`.
+    it; its sum over all keys is at most `total`. Lower `max_hot` for wide
+    lookup rows: that many of them may be broadcast.
     """
     key = list(key)
     if total <= MIN_HOT_ROWS:
         return rows.join(lookup.drop(count), key)
-    limit = hot_limit(total)
+    limit = hot_limit(total, max_hot)
     hot = lookup.where(F.col(count) > limit).drop(count)
     cold = lookup.where(F.col(count) <= limit).drop(count)
     return rows.join(F.broadcast(hot), key).unionByName(
@@ -93,8 +99,9 @@ def _sorted_low(rows: DataFrame, key: list[str], value: str, more: list[str]) ->
 class KeyedRows:
     """Fixed rows joined to a changing per-key state, round after round.
 
-    The cold rows are cached hash-partitioned by the key, so a round shuffles
-    the state only. The cache is rebuilt from the source if an executor is lost.
+    The cold rows are cached hash-partitioned and sorted by the key, so a round
+    shuffles and sorts the state only. The cache is rebuilt from the source if an
+    executor is lost.
     """
 
     def __init__(self, rows: DataFrame, key: Sequence[str], total: int | None = None):
@@ -117,8 +124,10 @@ class KeyedRows:
                     StorageLevel.MEMORY_AND_DISK
                 )
                 cold = rows.join(self.hot_keys, self.key, "left_anti")
-        self.cold_rows = cold.repartition(parts, *self.key).persist(
-            StorageLevel.MEMORY_AND_DISK
+        self.cold_rows = (
+            cold.repartition(parts, *self.key)
+            .sortWithinPartitions(*self.key)
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
     def join(self, state: DataFrame, how: str = "inner") -> DataFrame:
