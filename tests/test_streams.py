@@ -125,7 +125,7 @@ def test_streaming_models(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = [([1.0, i / 5 - 0.9], 2.0 + 3.0 * (i / 5 - 0.9)) for i in range(10)]
     feed(spark, folder, rows, "features array<double>, label double")
-    model = learning.StreamingRegression(dims=2, step=0.5, steps=30)
+    model = learning.StreamingRegression(dims=2, step=1.5, steps=30)
     model.train(table_stream(spark, folder), Sink(spark, "t"))
     assert model.weights == pytest.approx([2.0, 3.0], abs=0.3)
 
