@@ -59,7 +59,9 @@ def connected_components(
     """
     scratch = Scratch(edges.sparkSession, "components")
     by = list(by)
-    simple = scratch.write(E.canonical(edges, by))
+    # the rewriting algorithms remove duplicates in the sort of every round
+    prepare = E.oriented if algorithm in ("star", "rewrite") else E.canonical
+    simple = scratch.write(prepare(edges, by))
     run = {
         "star": _star,
         "rewrite": _rewrite,

@@ -17,13 +17,16 @@ def clean(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.select(*by, "src", "dst").na.drop(subset=["src", "dst"])
 
 
+def oriented(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges with the smaller end first; duplicates stay, nothing is shuffled."""
+    return clean(edges, by).select(
+        *by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    )
+
+
 def canonical(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Undirected edges once each, the smaller end first; self loops stay."""
-    return (
-        clean(edges, by)
-        .select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
-    )
+    return oriented(edges, by).distinct()
 
 
 def symmetric(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

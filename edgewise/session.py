@@ -38,6 +38,8 @@ def local(cores: int = 8, **conf: str) -> SparkSession:
 TUNING = {
     # hash join instead of sort-merge where the measured build partitions are this small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # session windows are merged per task before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
