@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import edgewise
+
+# functions travel to the workers with their code, so those need no copy of the package
+cloudpickle.register_pickle_by_value(edgewise)
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
