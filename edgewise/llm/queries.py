@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, records, sharding, substrings
+from edgewise.llm import decontaminate, pieces, records, sharding, simhash, substrings
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARD_BYTES = 1 << 20
 
 
@@ -68,12 +69,25 @@ def decontaminated(spark, folder):
     return found.drop("tie", "items")
 
 
+@query("op6_simhash")
+def simhash_groups(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query("op8_repeated_passages")
 def repeated_passages(spark, folder):
     kept = substrings.without_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op9_sentencepiece")
+def sentencepiece(spark, folder):
+    """Ids of every text, and whether decoding them gives the text back."""
+    coded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), PIECES)
+    back = pieces.decode(coded, PIECES)
+    return back.select("doc_id", "n_ids", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
 @query(
     "op10_shards",
     f"""
