@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, pieces, records, sharding, simhash, substrings
+from edgewise.llm import decontaminate, imatch, pieces, records, sharding, simhash, substrings
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
@@ -69,6 +69,11 @@ def decontaminated(spark, folder):
     return found.drop("tie", "items")
 
 
+@query("op5_imatch")
+def imatch_fingerprints(spark, folder):
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 @query("op6_simhash")
 def simhash_groups(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
