@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, imatch, pieces, records, sharding, simhash, substrings
+from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
@@ -79,6 +79,13 @@ def simhash_groups(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op7_secrets")
+def secrets(spark, folder):
+    found = grammar.scan(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
 @query("op8_repeated_passages")
 def repeated_passages(spark, folder):
     kept = substrings.without_repeats(table(spark, folder, "documents"))
