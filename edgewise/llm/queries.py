@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings
+from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings, toxicity
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
@@ -69,6 +69,12 @@ def decontaminated(spark, folder):
     return found.drop("tie", "items")
 
 
+@query("op3_toxicity")
+def toxic_documents(spark, folder):
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
 @query("op5_imatch")
 def imatch_fingerprints(spark, folder):
     return imatch.fingerprints(table(spark, folder, "documents"))
