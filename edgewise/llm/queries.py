@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings, toxicity
+from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings, toxicity, wrapper
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
@@ -75,6 +75,11 @@ def toxic_documents(spark, folder):
     return found.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
 
 
+@query("op4_main_text")
+def page_text(spark, folder):
+    return wrapper.main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op5_imatch")
 def imatch_fingerprints(spark, folder):
     return imatch.fingerprints(table(spark, folder, "documents"))
