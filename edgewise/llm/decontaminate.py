@@ -222,3 +222,11 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
             ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """`docs` without the contaminated rows; all columns are kept."""
+    found = contamination(docs, items, span, gram).where("contaminated")
+    gone = found.select(F.col("doc_id").alias("_ew_id"), F.col("tie").alias("_ew_tie")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_ew_id"]) & (F.xxhash64(docs["text"]) == gone["_ew_tie"])
+    return docs.join(gone, same, "left_anti")

@@ -246,14 +246,13 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFr
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     rows = scratch.write(near_duplicates(docs, radius, hot)).df
-    first = rows.where("doc_id <=> component_id").groupBy("component_id").agg(
-        F.min("tie").alias("_t"), F.count_if(F.lit(True)).alias("_n")
-    )
-    chosen = scratch.write(first).df
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["component_id"]) & (F.col("_tie") == F.col("_t")))
-    single = kept.where("_n = 1").select(*docs.columns)
-    if chosen.where("_n > 1").isEmpty():
+    first = rows.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("tie").alias("_first"))
+    ties = rows.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("_c"), "tie").agg(F.count(F.lit(1)).alias("_ew_n"))
+    least = first.join(ties, F.col("component_id").eqNullSafe(F.col("_c")) & (F.col("_first") == F.col("tie")))
+    chosen = scratch.write(least.select(F.col("component_id").alias("_ew_id"), F.col("tie").alias("_ew_tie"), "_ew_n")).df
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_ew_id"]) & (F.xxhash64(docs["text"]) == F.col("_ew_tie")))
+    single = kept.where("_ew_n = 1").select(*docs.columns)
+    if chosen.where("_ew_n > 1").isEmpty():
         return single
-    several = kept.where("_n > 1").dropDuplicates(["component_id"]).select(*docs.columns)
+    several = kept.where("_ew_n > 1").dropDuplicates(["_ew_id"]).select(*docs.columns)
     return single.unionByName(several)

@@ -34,14 +34,14 @@ THRESHOLD = 0.5
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """`docs` with `_words`, and `_form`: log length and share of characters that are no letters."""
+    """`docs` with `_tox_words`, and `_form`: log length and share of characters that are no letters."""
     text = F.coalesce("text", F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     size = F.length(text)
     return (
-        docs.withColumn("_words", F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")))
-        .withColumn("_size", F.log1p(size.cast("double")))
-        .withColumn("_symbols", F.when(size > 0, 1 - letters / size).otherwise(F.lit(0.0)))
+        docs.withColumn("_tox_words", F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")))
+        .withColumn("_tox_size", F.log1p(size.cast("double")))
+        .withColumn("_tox_symbols", F.when(size > 0, 1 - letters / size).otherwise(F.lit(0.0)))
     )
 
 
@@ -66,15 +66,15 @@ class Chain:
 
 
 def _assembled(rows: DataFrame, earlier: Sequence[str]) -> DataFrame:
-    columns = ["_counts", "_size", "_symbols", *[f"p_{c}" for c in earlier]]
-    return VectorAssembler(inputCols=columns, outputCol="_features").transform(rows)
+    columns = ["_tox_counts", "_tox_size", "_tox_symbols", *[f"p_{c}" for c in earlier]]
+    return VectorAssembler(inputCols=columns, outputCol="_tox_features").transform(rows)
 
 
 def _apply(rows: DataFrame, model, earlier: Sequence[str], out: str) -> DataFrame:
     if isinstance(model, float):
         return rows.withColumn(out, F.lit(model))
     scored = model.transform(_assembled(rows, earlier))
-    return scored.withColumn(out, vector_to_array("_probability")[1]).drop("_features", "_probability", "_raw", "_label")
+    return scored.withColumn(out, vector_to_array("_tox_probability")[1]).drop("_tox_features", "_tox_probability", "_tox_raw", "_tox_label")
 
 
 def _fit(rows: DataFrame, category: str, earlier: Sequence[str]):
@@ -83,8 +83,8 @@ def _fit(rows: DataFrame, category: str, earlier: Sequence[str]):
     if low is None or low == high:
         return float(low or 0)
     learner = LogisticRegression(
-        featuresCol="_features", labelCol=category, probabilityCol="_probability", rawPredictionCol="_raw",
-        predictionCol="_label", elasticNetParam=1.0, regParam=PENALTY, maxIter=100,
+        featuresCol="_tox_features", labelCol=category, probabilityCol="_tox_probability", rawPredictionCol="_tox_raw",
+        predictionCol="_tox_label", elasticNetParam=1.0, regParam=PENALTY, maxIter=100,
     )
     return learner.fit(_assembled(rows, earlier))
 
@@ -104,23 +104,23 @@ def fit_chain(
     # the bound of this sample is what may be broadcast
     sample = judged.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(examples)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    base = _words(chosen).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)))
+    base = _words(chosen).withColumn("_tox_fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)))
     rows = scratch.write(base.drop("text")).df
     if rows.isEmpty():
         return Chain(categories, None, [0.0] * len(categories))
-    vectors = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=TERMS, minDF=MIN_DOCS, binary=True)
-    if rows.select(F.explode("_words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).isEmpty():
+    vectors = CountVectorizer(inputCol="_tox_words", outputCol="_tox_counts", vocabSize=TERMS, minDF=MIN_DOCS, binary=True)
+    if rows.select(F.explode("_tox_words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).isEmpty():
         vectors = vectors.setMinDF(1)
     terms = vectors.fit(rows)
-    counted = scratch.write(terms.transform(rows).drop("_words")).df
+    counted = scratch.write(terms.transform(rows).drop("_tox_words")).df
     models = []
     for i, category in enumerate(categories):
         models.append(_fit(counted, category, categories[:i]))
         if i + 1 < len(categories):
             out = None
             for k in range(folds):
-                model = _fit(counted.where(F.col("_fold") != k), category, categories[:i])
-                part = _apply(counted.where(F.col("_fold") == k), model, categories[:i], f"p_{category}")
+                model = _fit(counted.where(F.col("_tox_fold") != k), category, categories[:i])
+                part = _apply(counted.where(F.col("_tox_fold") == k), model, categories[:i], f"p_{category}")
                 out = part if out is None else out.unionByName(part)
             counted = scratch.write(out).df
     return Chain(categories, terms, models)
