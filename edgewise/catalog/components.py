@@ -140,12 +140,12 @@ def cc_rewrite(t: Tables):
 
 @query("cc_hooking", labels_sql(G.CUSTOMER_NATION_SQL))
 def cc_hooking(t: Tables):
-    return C.connected_components(G.customer_nation(t), "hooking", max_iters=20).labels
+    return C.connected_components(G.customer_nation(t), "hooking").labels
 
 
 @query("cc_minlabel", labels_sql(G.PLACES_SQL))
 def cc_minlabel(t: Tables):
-    return C.connected_components(G.places(t), "minlabel", max_iters=20).labels
+    return C.connected_components(G.places(t), "minlabel").labels
 
 
 @query("cc_selfmsg", labels_sql(G.ORDER_SUPPLIER_SQL))
@@ -196,14 +196,15 @@ def cc_multi_graph(t: Tables):
 
 @query(
     "cc_summary",
-    f"""select graph, n_nodes, n_edges, n_components, true as converged from
+    f"""select graph, n_nodes, n_edges, n_components, true as ran, true as converged from
         (select graph, count(*) as n_nodes, count(*) filter (where node = component) as n_components
          from ({_SEGMENT_LABELS}) group by graph)
         join (select c_mktsegment as graph, count(*) as n_edges from customer group by 1) using (graph)""",
 )
 def cc_summary(t: Tables):
+    # the rounds depend on the algorithm; that there were some does not
     return C.summary(_segments(t), by=["graph"]).select(
-        "graph", "n_nodes", "n_edges", "n_components", "converged"
+        "graph", "n_nodes", "n_edges", "n_components", F.expr("iterations > 0").alias("ran"), "converged"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgewise.catalog.registry import Tables, query
 from edgewise.catalog.table_jobs import EXCLUDED, _IN_EXCLUDED
 from edgewise.operators import matrix, similarity, stats
+from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
 
 # tokens as a lower-cased split on single blanks gives them, without trailing empty ones
@@ -95,7 +96,9 @@ def tfidf(t: Tables):
 )
 def count_vectors(t: Tables):
     tokens = _tokens(t)
-    model = ml.CountVectorizer(inputCol="tokens", outputCol="counts", minDF=2.0).fit(tokens)
+    # the vocabulary is as large as the data ask for
+    size = term_count(tokens, "tokens", 2)
+    model = ml.CountVectorizer(inputCol="tokens", outputCol="counts", minDF=2.0, vocabSize=size).fit(tokens)
     # the entries of a sparse vector are its distinct terms
     return model.transform(tokens).select(
         "doc_id", F.size(F.unwrap_udt("counts")["indices"]).cast("bigint").alias("n_terms")
@@ -105,7 +108,7 @@ def count_vectors(t: Tables):
 @query("word2vec")
 def word2vec(t: Tables):
     model = ml.Word2Vec(
-        vectorSize=8, minCount=5, maxIter=1, numPartitions=8, seed=1, inputCol="tokens", outputCol="v"
+        vectorSize=8, minCount=0, maxIter=1, numPartitions=8, seed=1, inputCol="tokens", outputCol="v"
     ).fit(_tokens(t))
     return model.transform(_tokens(t)).select("doc_id", F.size(vector_to_array("v")).alias("dims"))
 
@@ -182,13 +185,29 @@ def bucketize(t: Tables):
     )
 
 
+@query(
+    "quantile_buckets",
+    """with s as (select quantile_disc(p_retailprice, 0.25) as a, quantile_disc(p_retailprice, 0.5) as b,
+                         quantile_disc(p_retailprice, 0.75) as c from part)
+       select p_partkey, ((p_retailprice >= a)::integer + (p_retailprice >= b)::integer + (p_retailprice >= c)::integer)::double as bucket
+       from part, s""",
+)
+def quantile_buckets(t: Tables):
+    """Four buckets of equal frequency."""
+    rows = t.part.select("p_partkey", "p_retailprice")
+    cut = ml.QuantileDiscretizer(numBuckets=4, inputCol="p_retailprice", outputCol="bucket", relativeError=1e-6)
+    return cut.fit(rows).transform(rows).select("p_partkey", "bucket")
+
+
 @query(
     "scale",
     """with s as (select avg(p_retailprice) as m, stddev_samp(p_retailprice) as d, min(p_retailprice) as lo,
                          max(p_retailprice) as hi, max(abs(p_retailprice)) as top from part)
        select p_partkey, round((p_retailprice - m) / d, 6) as standard, round((p_retailprice - lo) / (hi - lo), 6) as min_max,
               round(p_retailprice / top, 6) as max_abs,
-              round(p_retailprice / sqrt(p_retailprice * p_retailprice + p_size * p_size), 6) as unit from part, s""",
+              round(p_retailprice / sqrt(p_retailprice * p_retailprice + p_size * p_size), 6) as unit,
+              round(p_retailprice / (select quantile_disc(p_retailprice, 0.75) - quantile_disc(p_retailprice, 0.25) from part), 6) as robust
+       from part, s""",
 )
 def scale(t: Tables):
     rows = _assemble(t.part, "p_retailprice", "p_size")
@@ -196,11 +215,11 @@ def scale(t: Tables):
         ml.StandardScaler(inputCol="features", outputCol="standard", withMean=True),
         ml.MinMaxScaler(inputCol="features", outputCol="min_max"),
         ml.MaxAbsScaler(inputCol="features", outputCol="max_abs"),
-        ml.RobustScaler(inputCol="features", outputCol="robust"),
+        ml.RobustScaler(inputCol="features", outputCol="robust", relativeError=1e-6),
     ):
         rows = scaler.fit(rows).transform(rows)
     rows = ml.Normalizer(inputCol="features", outputCol="unit").transform(rows)
-    names = ("standard", "min_max", "max_abs", "unit")
+    names = ("standard", "min_max", "max_abs", "unit", "robust")
     return rows.select("p_partkey", *[_entry(n, 0).alias(n) for n in names])
 
 
@@ -221,7 +240,8 @@ def impute(t: Tables):
 @query(
     "feature_cross",
     """select l_orderkey, l_linenumber, l_quantity * l_tax as crossed, l_quantity * l_quantity as square,
-              l_quantity * l_tax as product, l_tax * 2.0 as doubled from lineitem""",
+              l_quantity * l_tax as product, l_tax * 2.0 as doubled,
+              round((l_quantity + l_tax) / sqrt(2), 6) as dct0, round((l_quantity - l_tax) / sqrt(2), 6) as dct1 from lineitem""",
 )
 def feature_cross(t: Tables):
     rows = _assemble(t.lineitem, "l_quantity", "l_tax")
@@ -239,6 +259,8 @@ def feature_cross(t: Tables):
         vector_to_array("poly")[1].alias("square"),
         vector_to_array("poly")[3].alias("product"),
         vector_to_array("weighted")[1].alias("doubled"),
+        _entry("dct", 0).alias("dct0"),
+        _entry("dct", 1).alias("dct1"),
     )
 
 
@@ -272,14 +294,19 @@ def select_features(t: Tables):
 
 @query(
     "formula",
-    "select l_orderkey, l_linenumber, l_quantity + l_tax as total, l_extendedprice as label from lineitem",
+    """with r as (select l_returnflag, row_number() over (order by count(*) desc, l_returnflag) - 1 as i from lineitem group by 1)
+       select l_orderkey, l_linenumber, l_quantity + l_tax as total, l_extendedprice as label, l_quantity as f0,
+              (i = 0)::integer::double as f1, (i = 1)::integer::double as f2 from lineitem join r using (l_returnflag)""",
 )
 def formula(t: Tables):
     rows = ml.SQLTransformer(
         statement="select *, l_quantity + l_tax as total from __THIS__"
     ).transform(t.lineitem)
     model = ml.RFormula(formula="l_extendedprice ~ l_quantity + l_returnflag").fit(rows)
-    return model.transform(rows).select("l_orderkey", "l_linenumber", "total", "label")
+    coded = vector_to_array("features")
+    return model.transform(rows).select(
+        "l_orderkey", "l_linenumber", "total", "label", *[coded[i].alias(f"f{i}") for i in range(3)]
+    )
 
 
 @query("minhash_join")
@@ -288,6 +315,21 @@ def minhash_join(t: Tables):
     return clusters.labels
 
 
+@query("minhash_nearest")
+def minhash_nearest(t: Tables):
+    """The five documents nearest to the first one."""
+    key = t.documents.where("doc_id = 0")
+    return similarity.minhash_nearest(t.documents, "doc_id", "text", key, 5).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("rp_nearest")
+def rp_nearest(t: Tables):
+    """The five embeddings nearest to the first one."""
+    rows = _vectors(t).select("id", "features")
+    key = rows.where("id = 0").first()
+    return similarity.nearest(rows, key["features"], 5).select("id", F.round("distance", 6).alias("distance"))
+
+
 @query("rp_lsh_join")
 def rp_lsh_join(t: Tables):
     return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=0.5).select(
@@ -295,19 +337,26 @@ def rp_lsh_join(t: Tables):
     )
 
 
-@query(
-    "column_cosine",
-    """with x as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings),
+_COSINE = """with x as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings),
        n as (select i, sqrt(sum(v * v)) as norm from x group by i)
        select a.i::integer as i, b.i::integer as j, round(sum(a.v * b.v) / any_value(p.norm) / any_value(q.norm), 6) as cosine
-       from x a join x b on a.vec_id = b.vec_id and a.i < b.i join n p on p.i = a.i join n q on q.i = b.i group by a.i, b.i""",
-)
+       from x a join x b on a.vec_id = b.vec_id and a.i < b.i join n p on p.i = a.i join n q on q.i = b.i group by a.i, b.i"""
+
+
+@query("column_cosine", _COSINE)
 def column_cosine(t: Tables):
     return matrix.column_cosine(t.embeddings, "embedding").select(
         "i", "j", F.round("cosine", 6).alias("cosine")
     )
 
 
+@query("column_cosine_sampled", _COSINE)
+def column_cosine_sampled(t: Tables):
+    """The sampled form, for cosines above a tenth; columns as short as these are kept whole."""
+    found = matrix.column_cosine_sampled(t.embeddings, "embedding", 0.1, seed=1)
+    return found.select("i", "j", F.round("cosine", 6).alias("cosine"))
+
+
 @query(
     "col_summary",
     """select round(avg(l_quantity), 6) as mean, round(var_samp(l_quantity), 4) as variance, count(*) as n,
@@ -445,13 +494,67 @@ def metrics(t: Tables):
     return stats.binary_metrics(rows, "y", "p")
 
 
+_CLASSES = """with p as (select l_returnflag as y, case when l_quantity < 17 then 'A' when l_quantity < 34 then 'N' else 'R' end as p from lineitem),
+       c as (select y as label, count(*) as n, count(*) filter (y = p) as hits from p group by y),
+       s as (select p as label, count(*) as said from p group by p),
+       m as (select label, n, hits, coalesce(hits / said::double, 0) as precision, hits / n::double as recall,
+                    2.0::double * hits / (n + coalesce(said, 0)) as f1 from c left join s using (label))"""
+
+
+def _flags(t: Tables):
+    return t.lineitem.selectExpr("l_returnflag as y", "if(l_quantity < 17, 'A', if(l_quantity < 34, 'N', 'R')) as p")
+
+
+@query("multiclass_metrics", _CLASSES + " select label, n, hits, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1 from m")
+def multiclass_metrics(t: Tables):
+    found = stats.multiclass_metrics(_flags(t), "y", "p")
+    return found.select("label", "n", "hits", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "weighted_metrics",
+    _CLASSES
+    + """ select round(sum(hits) / sum(n)::double, 9) as accuracy, round(sum(n * precision) / sum(n), 9) as precision,
+                 round(sum(n * recall) / sum(n), 9) as recall, round(sum(n * f1) / sum(n), 9) as f1 from m""",
+)
+def weighted_metrics(t: Tables):
+    found = stats.weighted_metrics(stats.multiclass_metrics(_flags(t), "y", "p"))
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])
+
+
+@query(
+    "confusion",
+    """select l_returnflag as label, case when l_quantity < 17 then 'A' when l_quantity < 34 then 'N' else 'R' end as predicted,
+              count(*) as n from lineitem group by 1, 2""",
+)
+def confusion(t: Tables):
+    return stats.confusion(_flags(t), "y", "p")
+
+
+@query(
+    "regression_metrics",
+    """select round(avg(pow(l_extendedprice - 1500 * l_quantity, 2)), 2) as mse, round(avg(abs(l_extendedprice - 1500 * l_quantity)), 4) as mae,
+              round(1 - sum(pow(l_extendedprice - 1500 * l_quantity, 2)) / (var_pop(l_extendedprice) * count(*)), 6) as r2 from lineitem""",
+)
+def regression_metrics(t: Tables):
+    rows = t.lineitem.selectExpr("l_extendedprice", "1500 * l_quantity as guess")
+    found = stats.regression_metrics(rows, "l_extendedprice", "guess")
+    return found.select(F.round("mse", 2).alias("mse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
+
+
 @query(
     "ranking_metrics",
     """with c as (select user_id, event_type, count(*) as n, max(cast(props->>'$.k' as bigint)) >= 90 as rel
                   from events group by 1, 2),
        r as (select *, row_number() over (partition by user_id order by n desc, event_type) as i from c),
-       u as (select user_id, count(*) filter (rel and i <= 3) as hits, count(*) filter (rel) as n_rel from r group by user_id)
-       select round(avg(hits / 3.0), 6) as precision, round(avg(case when n_rel > 0 then hits / n_rel::double else 0 end), 6) as recall from u""",
+       h as (select *, count(*) filter (rel) over (partition by user_id order by i) as so_far from r),
+       u as (select user_id, count(*) filter (rel and i <= 3) as hits, count(*) filter (rel) as n_rel,
+                    coalesce(sum(1 / log2(i + 1)) filter (rel and i <= 3), 0) as dcg,
+                    coalesce(sum(so_far / i::double) filter (rel), 0) as found from h group by user_id),
+       b as (select *, case least(n_rel, 3) when 1 then 1 when 2 then 1 + 1 / log2(3) else 1.5 + 1 / log2(3) end as best from u)
+       select round(avg(hits / 3.0), 6) as precision, round(avg(case when n_rel > 0 then hits / n_rel::double else 0 end), 6) as recall,
+              round(avg(case when n_rel > 0 then dcg / best else 0 end), 6) as ndcg,
+              round(avg(case when n_rel > 0 then found / n_rel else 0 end), 6) as map from b""",
 )
 def ranking_metrics(t: Tables):
     """Event types of a user by frequency against those with a high `k`: five items at most."""
@@ -464,5 +567,5 @@ def ranking_metrics(t: Tables):
         F.expr("collect_list(if(rel, event_type, null))").alias("relevant"),
     )
     return stats.ranking_metrics(lists, "ranked", "relevant", 3).select(
-        F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")
+        *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "map")]
     )

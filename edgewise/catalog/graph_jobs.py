@@ -59,7 +59,7 @@ def pagerank_iter(t: Tables):
 
 @query("pagerank_tol", PAGERANK_TOL_SQL)
 def pagerank_tol(t: Tables):
-    ranks = rank.pagerank(E.symmetric(G.trade(t)), rounds=100, tol=_TOL).state
+    ranks = rank.pagerank(E.symmetric(G.trade(t)), rounds=None, tol=_TOL).state
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
@@ -205,5 +205,5 @@ def pic(t: Tables):
     weighted = t.lineitem.groupBy(
         F.expr("2*l_partkey").alias("src"), F.expr("2*l_suppkey+1").alias("dst")
     ).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    job = PowerIterationClustering(k=3, maxIter=5, initMode="degree", weightCol="weight")
+    job = PowerIterationClustering(k=3, maxIter=20, initMode="degree", weightCol="weight")
     return job.assignClusters(weighted).selectExpr("id as node", "cluster")

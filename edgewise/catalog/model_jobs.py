@@ -19,10 +19,12 @@ from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
+from edgewise.operators.text import term_count
+from edgewise.plans.scratch import Scratch
 
 _RESULT = "model string, metric string, value double"
 
@@ -57,7 +59,6 @@ def _scores(t: Tables, rows: DataFrame, jobs: dict) -> DataFrame:
     return t.spark.createDataFrame(out, _RESULT)
 
 
-
 def _accuracy(label: str = "label"):
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
 
@@ -66,13 +67,33 @@ def _rmse(label: str = "price"):
     return RegressionEvaluator(labelCol=label, metricName="rmse")
 
 
+def dense_ids(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """`(column, out)`: distinct values with numbers from 0 on, as int.
+
+    Values are numbered inside hash parts, and the parts are moved behind each other by
+    their counts, so no task sees all values.
+    """
+    parts = 64
+    part = F.pmod(F.xxhash64(column), F.lit(parts))
+    distinct = Scratch(rows.sparkSession, "ids").write(rows.select(column).na.drop().distinct().withColumn("_part", part)).df
+    # one row per part
+    before, at = {}, 0
+    for row in sorted(distinct.groupBy("_part").count().collect()):
+        before[row["_part"]], at = at, at + row["count"]
+    shift = rows.sparkSession.createDataFrame(list(before.items()), "_part long, _shift long")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return distinct.withColumn("_i", within).join(F.broadcast(shift), "_part").select(
+        column, (F.col("_i") + F.col("_shift")).cast("int").alias(out)
+    )
+
+
 @query("logreg")
 def logreg(t: Tables):
     """Binary with its summary, and multinomial over the return flag."""
     rows = _lines(t)
-    binary = cl.LogisticRegression(maxIter=5, regParam=0.01, elasticNetParam=0.5).fit(rows)
+    binary = cl.LogisticRegression(maxIter=10, regParam=0.01, elasticNetParam=0.5).fit(rows)
     multi = cl.LogisticRegression(
-        labelCol="flag", family="multinomial", maxIter=5, regParam=0.01
+        labelCol="flag", family="multinomial", maxIter=10, regParam=0.01
     ).fit(rows)
     return t.spark.createDataFrame(
         [
@@ -107,20 +128,20 @@ def linreg(t: Tables):
 @query("trees")
 def trees(t: Tables):
     rows = _lines(t)
-    shape = {"maxDepth": 3, "seed": 1}
-    few = {**shape, "maxIter": 2}
+    shape = {"seed": 1}
+    few = {**shape, "maxIter": 10}
     return _scores(
         t,
         rows,
         {
             "tree classifier": (cl.DecisionTreeClassifier(**shape), "accuracy", _accuracy()),
             "forest classifier": (
-                cl.RandomForestClassifier(numTrees=4, **shape), "accuracy", _accuracy()
+                cl.RandomForestClassifier(numTrees=10, **shape), "accuracy", _accuracy()
             ),
             "boosted classifier": (cl.GBTClassifier(**few), "accuracy", _accuracy()),
             "tree regressor": (rg.DecisionTreeRegressor(labelCol="price", **shape), "rmse", _rmse()),
             "forest regressor": (
-                rg.RandomForestRegressor(labelCol="price", numTrees=4, **shape), "rmse", _rmse()
+                rg.RandomForestRegressor(labelCol="price", numTrees=10, **shape), "rmse", _rmse()
             ),
             "boosted regressor": (rg.GBTRegressor(labelCol="price", **few), "rmse", _rmse()),
         },
@@ -130,15 +151,15 @@ def trees(t: Tables):
 @query("linear_models")
 def linear_models(t: Tables):
     rows = _lines(t)
-    base = cl.LogisticRegression(maxIter=3)
+    base = cl.LogisticRegression(maxIter=10)
     return _scores(
         t,
         rows,
         {
-            "svm": (cl.LinearSVC(maxIter=3), "accuracy", _accuracy()),
+            "svm": (cl.LinearSVC(maxIter=10), "accuracy", _accuracy()),
             "naive bayes": (cl.NaiveBayes(), "accuracy", _accuracy()),
             "perceptron": (
-                cl.MultilayerPerceptronClassifier(layers=[4, 5, 2], maxIter=5, seed=1),
+                cl.MultilayerPerceptronClassifier(layers=[4, 5, 2], maxIter=100, seed=1),
                 "accuracy",
                 _accuracy(),
             ),
@@ -152,7 +173,7 @@ def linear_models(t: Tables):
 @query("fm")
 def fm(t: Tables):
     rows = _lines(t)
-    options = {"factorSize": 2, "maxIter": 5, "stepSize": 0.01, "seed": 1}
+    options = {"stepSize": 0.01, "seed": 1}
     return _scores(
         t,
         rows,
@@ -167,7 +188,7 @@ def fm(t: Tables):
 def survival_isotonic(t: Tables):
     """Order size as survival time, open lines as censored; price rising with quantity."""
     rows = _lines(t).withColumn("censor", F.col("label"))
-    aft = rg.AFTSurvivalRegression(labelCol="price", censorCol="censor", maxIter=5)
+    aft = rg.AFTSurvivalRegression(labelCol="price", censorCol="censor")
     isotonic = rg.IsotonicRegression(labelCol="price", featuresCol="l_quantity")
     return _scores(
         t, rows, {"aft": (aft, "rmse", _rmse()), "isotonic": (isotonic, "rmse", _rmse())}
@@ -178,35 +199,39 @@ def survival_isotonic(t: Tables):
 def cluster(t: Tables):
     rows = _points(t)
     jobs = {
-        "k-means": (cu.KMeans(k=4, maxIter=5, seed=1), "silhouette", ClusteringEvaluator()),
-        "bisecting": (cu.BisectingKMeans(k=4, maxIter=3, seed=1), "silhouette", ClusteringEvaluator()),
-        "mixture": (cu.GaussianMixture(k=2, maxIter=3, seed=1), "silhouette", ClusteringEvaluator()),
+        "k-means": (cu.KMeans(k=4, seed=1), "silhouette", ClusteringEvaluator()),
+        "bisecting": (cu.BisectingKMeans(k=4, seed=1), "silhouette", ClusteringEvaluator()),
+        "mixture": (cu.GaussianMixture(k=2, seed=1), "silhouette", ClusteringEvaluator()),
     }
     scored = _scores(t, rows, jobs)
     tokens = Tokenizer(inputCol="text", outputCol="tokens").transform(t.documents.select("text"))
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=2000, minDF=5)
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=term_count(tokens, "tokens", 5), minDF=5)
     counted = counts.fit(tokens).transform(tokens)
-    topics = cu.LDA(k=3, maxIter=2, seed=1).fit(counted)
+    topics = cu.LDA(k=10, maxIter=10, seed=1).fit(counted)
     lda = [("topics", "log perplexity", float(topics.logPerplexity(counted)))]
     return scored.unionByName(t.spark.createDataFrame(lda, _RESULT))
 
 
 @query("recommend")
 def recommend(t: Tables):
-    """Customers rate suppliers by the number of lines bought; three suppliers each."""
-    ratings = (
+    """Customers rate suppliers by the number of lines bought; three suppliers each.
+
+    The learner takes int ids, so both are numbered densely first.
+    """
+    bought = (
         t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey"))
-        .groupBy(F.col("o_custkey").cast("int").alias("user"), F.col("l_suppkey").cast("int").alias("item"))
+        .groupBy("o_custkey", "l_suppkey")
         .agg(F.count(F.lit(1)).cast("float").alias("rating"))
     )
+    users, items = dense_ids(bought, "o_custkey", "user"), dense_ids(bought, "l_suppkey", "item")
+    ratings = bought.join(users, "o_custkey").join(items, "l_suppkey").select("user", "item", "rating")
     model = ALS(
-        userCol="user", itemCol="item", ratingCol="rating", rank=4, maxIter=3, seed=1,
+        userCol="user", itemCol="item", ratingCol="rating", rank=4, maxIter=5, seed=1,
         coldStartStrategy="drop",
     ).fit(ratings)
     top = model.recommendForAllUsers(3)
-    return top.select("user", F.explode("recommendations").alias("r")).selectExpr(
-        "user", "r.item as item", "round(r.rating, 3) as rating"
-    )
+    listed = top.select("user", F.explode("recommendations").alias("r")).selectExpr("user", "r.item as item", "round(r.rating, 3) as rating")
+    return listed.join(users, "user").join(items, "item").selectExpr("o_custkey as user", "l_suppkey as item", "rating")
 
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -277,7 +302,7 @@ def sequences(t: Tables):
             "sequence"
         )
     )
-    spans = PrefixSpan(minSupport=0.9, maxPatternLength=2).findFrequentSequentialPatterns(days)
+    spans = PrefixSpan(minSupport=0.5, maxPatternLength=5).findFrequentSequentialPatterns(days)
     return spans.select(
         F.array_join(F.expr("transform(sequence, s -> array_join(array_sort(s), ','))"), ";").alias(
             "sequence"
@@ -291,7 +316,7 @@ def tune(t: Tables):
     """Pipeline with a parameter grid, by cross validation and by one split."""
     rows = _lines(t).drop("features").persist()
     columns = ["l_quantity", "l_discount", "l_tax", "flag"]
-    model = cl.LogisticRegression(maxIter=3)
+    model = cl.LogisticRegression(maxIter=10)
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), model])
     grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1]).build()
     judge = BinaryClassificationEvaluator()

@@ -40,8 +40,8 @@ def _text_times(df, *columns):
     return out
 
 
-def windows_sql(keys: str, select: str, size: int, slide: int, delay: int) -> str:
-    """Sliding windows (hours) that end at or before the watermark."""
+def windows_sql(keys: str, select: str, size: int, slide: int, delay: int, closed: bool = True) -> str:
+    """Sliding windows (hours) that end at or before the watermark; all with `closed=False`."""
     return f"""
 with v as (select ts, event_type, event_type as url, case when event_type = 'error' then 500 else 200 end as status,
                   user_id % 20 as zip_code, user_id from events),
@@ -49,7 +49,7 @@ w as (select *, unnest(generate_series(0, {size // slide - 1})) as i from v),
 s as (select *, to_timestamp((floor(epoch(ts) / {slide * 3600}) - i) * {slide * 3600}) at time zone 'UTC' as s from w),
 m as (select max(ts) - interval {delay} hour as mark from events)
 select strftime(s, '%Y-%m-%d %H:%M:%S') as start, strftime(s + interval {size} hour, '%Y-%m-%d %H:%M:%S') as end{',' if keys else ''} {keys}, {select}
-from s where s + interval {size} hour <= (select mark from m) group by s {',' if keys else ''} {keys}"""
+from s where {'s + interval ' + str(size) + ' hour <= (select mark from m)' if closed else 'true'} group by s {',' if keys else ''} {keys}"""
 
 
 @query("stream_wordcount", _WORDS_SQL)
@@ -63,6 +63,37 @@ def stream_windows(t: Tables):
     return _text_times(Sink(t.spark, "windows").append(counted), "start", "end")
 
 
+@query("stream_windows_all", windows_sql("event_type", "count(*) as n", 2, 1, 1, closed=False))
+def stream_windows_all(t: Tables):
+    """Complete mode: the windows that are still open are told as well."""
+    counted = words.windowed_counts(_events(t), "at", "event_type", "2 hours", "1 hour", "1 hour")
+    return _text_times(Sink(t.spark, "windows-all").latest(counted), "start", "end")
+
+
+@query("click_sliding_all", windows_sql("url", "count(*) as n", 10, 2, 1, closed=False))
+def click_sliding_all(t: Tables):
+    counted = clicks.sliding_page_counts(_views(t), "10 hours", "2 hours", "1 hour")
+    return _text_times(Sink(t.spark, "sliding-all").latest(counted), "start", "end")
+
+
+@query(
+    "stream_sessions_all",
+    """with e as (select user_id, date_trunc('second', ts) as tm from events),
+       b as (select *, case when lag(tm) over w + interval 6 hour > tm then 0 else 1 end as opens
+             from e window w as (partition by user_id order by tm)),
+       s as (select *, sum(opens) over (partition by user_id order by tm rows unbounded preceding) as session from b)
+       select user_id, strftime(min(tm), '%Y-%m-%d %H:%M:%S') as start,
+              strftime(max(tm) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as end,
+              cast(epoch(max(tm)) - epoch(min(tm)) as bigint) + 21600 as seconds, count(*) as n
+       from s group by user_id, session""",
+)
+def stream_sessions_all(t: Tables):
+    """Complete mode: sessions that may still grow are told as well."""
+    rows = _events(t).withColumn("at", F.date_trunc("second", "at"))
+    found = sessions.window_sessions(rows, "at", "user_id", "6 hours", "1 hour")
+    return _text_times(Sink(t.spark, "sessions-all").latest(found), "start", "end")
+
+
 @query(
     "stream_sessions",
     """with e as (select user_id, date_trunc('second', ts) as tm from events),
@@ -285,12 +316,18 @@ def stream_linreg(t: Tables):
     """with g as (select l_linestatus = 'O' as grp, count(*) as n, avg(l_quantity) as mean, var_samp(l_quantity) / count(*) as s
                   from lineitem group by 1),
        w as (select max(n) filter (not grp) as n_a, max(n) filter (grp) as n_b, max(mean) filter (not grp) as mean_a,
-                    max(mean) filter (grp) as mean_b, max(s) filter (not grp) as s_a, max(s) filter (grp) as s_b from g)
-       select n_a, n_b, round((mean_a - mean_b) / sqrt(s_a + s_b), 6) as t,
-              round(pow(s_a + s_b, 2) / (s_a * s_a / (n_a - 1) + s_b * s_b / (n_b - 1)), 3) as df from w""",
+                    max(mean) filter (grp) as mean_b, max(s) filter (not grp) as s_a, max(s) filter (grp) as s_b from g),
+       v as (select n_a, n_b, (mean_a - mean_b) / sqrt(s_a + s_b) as t,
+                    pow(s_a + s_b, 2) / (s_a * s_a / (n_a - 1) + s_b * s_b / (n_b - 1)) as df from w),
+       x as (select *, i, atan(abs(t) / sqrt(df)) as low, (pi() / 2 - atan(abs(t) / sqrt(df))) / 20000 as h
+             from v, range(0, 20001) r(i)),
+       y as (select *, exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(pi()) + (df - 1) * ln(greatest(cos(low + i * h), 1e-300)))
+                       * case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end as part from x)
+       select n_a, n_b, round(any_value(t), 6) as t, round(any_value(df), 3) as df, round(2 * any_value(h) / 3 * sum(part), 6) as p,
+              2 * any_value(h) / 3 * sum(part) < 0.05 as differs from y group by n_a, n_b""",
 )
 def stream_abtest(t: Tables):
     rows = table_stream(t.spark, t.path("lineitem")).selectExpr("l_linestatus = 'O' as grp", "l_quantity")
     return learning.ab_test(rows, "grp", "l_quantity", Sink(t.spark, "abtest")).select(
-        "n_a", "n_b", F.round("t", 6).alias("t"), F.round("df", 3).alias("df")
+        "n_a", "n_b", F.round("t", 6).alias("t"), F.round("df", 3).alias("df"), F.round("p", 6).alias("p"), "differs"
     )

@@ -22,12 +22,12 @@ def wordcount(t: Tables):
 
 @query(
     "sort_tokens",
-    r"""select cast(word as bigint) as number
+    r"""select cast(cast(word as decimal(38,0)) as varchar) as number
         from (select unnest(regexp_split_to_array(text, '\s+')) as word from documents)
-        where regexp_full_match(word, '[+-]?[0-9]{1,18}') order by 1""",
+        where regexp_full_match(word, '[+-]?[0-9]+') and length(ltrim(ltrim(word, '+-'), '0')) <= 38 order by cast(word as decimal(38,0))""",
 )
 def sort_tokens(t: Tables):
-    return text.sorted_integers(t.documents, "text")
+    return text.sorted_integers(t.documents, "text").select(F.col("number").cast("string").alias("number"))
 
 
 def access_lines(t: Tables):
@@ -36,7 +36,7 @@ def access_lines(t: Tables):
         """if(event_type = 'signup', 'signup ' || event_id,
            '10.0.0.' || (user_id % 250) || ' - ' ||
            if(event_type = 'error', '"-"', '"u' || user_id || '"') ||
-           ' [18/Jan/2013:17:56:07 +1100] "GET /' || event_type || ' HTTP/1.1" 200 ' ||
+           ' [05/Mar/2024:08:30:00 +0000] "GET /' || event_type || ' HTTP/1.1" 200 ' ||
            get_json_object(props, '$.k') || ' "ref" "agent"') as value"""
     )
 

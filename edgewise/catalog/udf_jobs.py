@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
 from edgewise.functions import grouped, scalar, tablefunctions as tf
 
 
-@query("pudf_scalar", "select l_orderkey, l_linenumber, l_quantity * l_extendedprice as product from lineitem")
+@query("pudf_scalar", "select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as revenue from lineitem")
 def pudf_scalar(t: Tables):
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", scalar.multiply("l_quantity", "l_extendedprice").alias("product")
+        "l_orderkey", "l_linenumber", scalar.line_revenue("l_extendedprice", "l_discount").alias("revenue")
     )
 
 
@@ -24,12 +25,15 @@ def pudf_struct(t: Tables):
 
 @query(
     "pudf_iter",
-    "select o_orderkey, o_custkey + 1 as next, o_orderkey + o_custkey as both from orders",
+    """with d as (select o_orderkey, o_custkey, unnest(range(0, length(o_custkey::varchar))) as i, reverse(o_custkey::varchar) as s from orders),
+       v as (select o_orderkey, case when i % 2 = 0 then 2 * s[i + 1]::bigint else s[i + 1]::bigint end as x from d)
+       select o_orderkey, (10 - sum(x // 10 + x % 10)::bigint % 10) % 10 as digit, any_value(o_orderkey + o_custkey) as both
+       from v join orders using (o_orderkey) group by o_orderkey""",
 )
 def pudf_iter(t: Tables):
     return t.orders.select(
         "o_orderkey",
-        scalar.plus_one("o_custkey").alias("next"),
+        scalar.check_digit("o_custkey").alias("digit"),
         scalar.add_columns("o_orderkey", "o_custkey").alias("both"),
     )
 
@@ -51,6 +55,22 @@ def pudf_agg(t: Tables):
     return means.join(far, "event_type")
 
 
+@query(
+    "pudf_window",
+    """select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey), 4) as total,
+              round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey
+                rows between 2 preceding and current row), 4) as recent from orders""",
+)
+def pudf_window(t: Tables):
+    """A pandas aggregate over windows: all orders of a customer, and the last three."""
+    whole = Window.partitionBy("o_custkey")
+    recent = whole.orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, Window.currentRow)
+    price = scalar.series_total("o_totalprice")
+    return t.orders.select(
+        "o_orderkey", F.round(price.over(whole), 4).alias("total"), F.round(price.over(recent), 4).alias("recent")
+    )
+
+
 @query(
     "grouped_map",
     """select l_orderkey, l_linenumber,
@@ -59,12 +79,7 @@ def pudf_agg(t: Tables):
 )
 def grouped_map(t: Tables):
     rows = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_quantity as quantity")
-    out = grouped.grouped_map(
-        rows,
-        "l_orderkey",
-        grouped.demean("l_orderkey", "quantity"),
-        beyond=lambda big: grouped.subtract_mean(big, "l_orderkey", "quantity"),
-    )
+    out = grouped.demean(rows, "l_orderkey", "quantity", ["l_orderkey", "l_linenumber"])
     # no negative zero
     return out.withColumn("quantity", F.round("quantity", 6) + F.lit(0.0))
 
@@ -106,17 +121,21 @@ def arrow_udf(t: Tables):
 
 @query(
     "udf_sql",
-    "select c_custkey + 1 as next_key, length(c_name)::integer as n from customer where length(c_name) > 3",
+    """with d as (select c_custkey, c_name, unnest(range(0, length(c_custkey::varchar))) as i, reverse(c_custkey::varchar) as s from customer),
+       v as (select c_custkey, c_name, case when i % 2 = 0 then 2 * s[i + 1]::bigint else s[i + 1]::bigint end as x from d)
+       select c_custkey, (10 - sum(x // 10 + x % 10)::bigint % 10) % 10 as digit, length(any_value(c_name))::integer as n, true as tossed
+       from v where length(c_name) > 3 group by c_custkey""",
 )
 def udf_sql(t: Tables):
     """Registered functions in the select list and in the filter.
 
-    The second condition is a non-deterministic function that changes nothing.
+    `coin` is non-deterministic: it runs for every row, and only that it has given a
+    value is told.
     """
     scalar.register_scalars(t.spark)
     return t.spark.sql(
-        """select plus_one(c_custkey) as next_key, text_length(c_name) as n
-           from {c} where text_length(c_name) > 3 and (coin() or true)""",
+        """select c_custkey, check_digit(c_custkey) as digit, text_length(c_name) as n, coin() in (true, false) as tossed
+           from {c} where text_length(c_name) > 3""",
         c=t.customer,
     )
 
@@ -139,20 +158,29 @@ def udaf_sql(t: Tables):
 
 @query(
     "udtf_squares",
-    """select p_partkey, num, num * num as squared
-       from (select p_partkey, unnest(range(1, p_size + 1))::integer as num from part)""",
+    """select p_partkey, instalment, case when instalment < p_size then cents // p_size else cents - cents // p_size * (p_size - 1) end as share
+       from (select p_partkey, p_size, round(p_retailprice * 100)::bigint as cents,
+               unnest(range(1, p_size + 1))::integer as instalment from part)""",
 )
-def udtf_squares(t: Tables):
+def udtf_instalments(t: Tables):
+    """The price of a part in as many instalments as its size."""
     tf.register_table_functions(t.spark)
     return t.spark.sql(
-        "select p_partkey, num, squared from {p} p, lateral squares(1, p.p_size)", p=t.part
+        "select p_partkey, instalment, share from {p} p, lateral instalments(bigint(round(p.p_retailprice * 100)), p.p_size)",
+        p=t.part,
     )
 
 
-@query("udtf_split", "select doc_id, unnest(string_split(text, ' ')) as word from documents")
-def udtf_split(t: Tables):
+@query(
+    "udtf_split",
+    """select doc_id, row_number() over (partition by doc_id order by i)::integer as position, sentence
+       from (select doc_id, i, trim(s[i], ' ' || chr(10)) as sentence
+             from (select doc_id, string_split(text, '.') as s, unnest(range(1, len(string_split(text, '.')) + 1)) as i from documents))
+       where sentence <> ''""",
+)
+def udtf_sentences(t: Tables):
     tf.register_table_functions(t.spark)
-    return t.spark.sql("select doc_id, word from {d} d, lateral split_words(d.text)", d=t.documents)
+    return t.spark.sql("select doc_id, position, sentence from {d} d, lateral sentences(d.text)", d=t.documents)
 
 
 @query(
@@ -167,14 +195,14 @@ def date_expand(t: Tables):
     )
 
 
-@query("udtf_count", "select count(*) as n from events")
+@query("udtf_count", "select count(*) as n, min(value) as low, max(value) as high from events")
 def udtf_count(t: Tables):
-    """Rows counted per partition of a table argument, then added up."""
+    """Extent of each partition of a table argument, then of all."""
     tf.register_table_functions(t.spark)
-    rows = t.events.select("event_id")
+    rows = t.events.selectExpr("event_id", "value as amount")
     blocks = rows.withColumn("block", grouped.block(rows, ["event_id"]))
     return t.spark.sql(
-        "select sum(n) as n from count_rows(table({b}) partition by block)", b=blocks
+        "select sum(n) as n, min(low) as low, max(high) as high from extent(table({b}) partition by block)", b=blocks
     )
 
 

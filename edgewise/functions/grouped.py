@@ -59,40 +59,43 @@ def subtract_mean(rows: DataFrame, key: str, value: str) -> DataFrame:
 def grouped_map(
     rows: DataFrame,
     key: str,
+    part: Callable[[pd.DataFrame], pd.DataFrame],
+    part_schema: str,
+    merge: Callable[[DataFrame], DataFrame],
     fn: Callable[[pd.DataFrame], pd.DataFrame],
-    beyond: Callable[[DataFrame], DataFrame],
-    schema=None,
-    limit: int = BLOCK_ROWS,
+    schema: str,
+    on: Sequence[str],
 ) -> DataFrame:
-    """`applyInPandas` over buckets of whole groups, `beyond` for the large groups.
+    """A pandas function per group, for groups of any size, in one and the same way.
 
-    `fn` gets many groups at once and groups by `key` itself, which costs one
-    pandas call per bucket and not one per group. Groups of more than `limit`
-    rows go to `beyond` as a DataFrame, which must give the same result with
-    distributed operators.
+    Groups are cut into blocks of about BLOCK_ROWS rows by the hash of `on`. `part`
+    sums up a block (it groups by `key` itself, many groups at once); `merge` turns
+    those sums into one row per key, with the row count `n`; `fn` gets the rows of a
+    block together with the row of their key. No task holds a whole large group.
     """
-    schema = schema or rows.schema
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > limit).select(key)
-    found = sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most")
-    ).first()
-    buckets = max(1, -(-found["n"] // limit))
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")
-    if found["most"] <= limit:
-        return rows.groupBy(bucket).applyInPandas(fn, schema)
-    small = rows.join(large, key, "left_anti").select(*rows.columns)
-    rest = rows.join(large, key, "left_semi").select(*rows.columns)
-    return small.groupBy(bucket).applyInPandas(fn, schema).unionByName(beyond(rest))
-
-
-def demean(key: str, value: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pandas form of `subtract_mean`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(**{value: pdf[value] - pdf.groupby(key)[value].transform("mean")})
-
-    return run
+    number = block(rows, on).alias("_block")
+    sums = merge(rows.groupBy(number).applyInPandas(part, part_schema))
+    return over_group(rows, sums, key).groupBy(number).applyInPandas(fn, schema)
+
+
+def demean(rows: DataFrame, key: str, value: str, on: Sequence[str]) -> DataFrame:
+    """`value` less the mean of its group, by pandas functions."""
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.groupby(key, dropna=False)[value].agg(total="sum", n="count").reset_index()
+
+    def merge(parts: DataFrame) -> DataFrame:
+        sums = parts.groupBy(key).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        return sums.select(key, "n", (F.col("total") / F.col("n")).alias("_mean"))
+
+    names = rows.columns
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(**{value: pdf[value] - pdf["_mean"]})[names]
+
+    kind = rows.schema[key].dataType.simpleString()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return grouped_map(rows, key, part, f"{key} {kind}, total double, n long", merge, fn, schema, on)
 
 
 def map_batches(rows: DataFrame, keep: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:

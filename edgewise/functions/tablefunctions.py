@@ -1,4 +1,4 @@
-"""User-defined table functions."""
+"""User-defined table functions over the library's tables."""
 
 from __future__ import annotations
 
@@ -7,36 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.udtf(returnType=T.StructType().add("num", T.IntegerType()).add("squared", T.IntegerType()), useArrow=True)
-class Squares:
-    """Numbers from `start` to `end` with their squares."""
+@F.udtf(returnType="instalment int, share long", useArrow=True)
+class Instalments:
+    """Cents in equal parts; the last part takes the rest."""
 
-    def eval(self, start: int, end: int):
-        for number in range(start, end + 1):
-            yield number, number * number
+    def eval(self, cents: int, parts: int):
+        if cents is None or parts is None or parts < 1:
+            return
+        each = cents // parts
+        for i in range(1, parts + 1):
+            yield i, each if i < parts else cents - each * (parts - 1)
 
 
-@F.udtf(returnType=T.StructType().add("word", T.StringType()), useArrow=True)
-class SplitWords:
-    """Words of a text, split on blanks."""
+@F.udtf(returnType="position int, sentence string", useArrow=True)
+class Sentences:
+    """Parts of a text between full stops, trimmed, with their place; empty ones are left out."""
 
     def eval(self, text: str):
-        for word in (text or "").split(" "):
-            yield (word,)
+        place = 0
+        for part in (text or "").split("."):
+            if part := part.strip(" \n"):
+                place += 1
+                yield place, part
 
 
-@F.udtf(returnType=T.StructType().add("n", T.LongType()))
-class CountRows:
-    """One row per partition: how many rows came in. Holds a counter, no rows."""
+@F.udtf(returnType=T.StructType().add("n", T.LongType()).add("low", T.DoubleType()).add("high", T.DoubleType()))
+class Extent:
+    """One row per partition of a table argument: rows, least and greatest `amount`. Holds three numbers."""
 
     def __init__(self):
-        self.seen = 0
+        self.n, self.low, self.high = 0, None, None
 
     def eval(self, row: Row):
-        self.seen += 1
+        amount = row["amount"]
+        self.n += 1
+        if amount is not None:
+            self.low = amount if self.low is None else min(self.low, amount)
+            self.high = amount if self.high is None else max(self.high, amount)
 
     def terminate(self):
-        yield (self.seen,)
+        yield self.n, self.low, self.high
 
 
 @F.udtf(returnType=T.StructType().add("id", T.LongType()).add("amount", T.DoubleType()))
@@ -50,18 +60,19 @@ class AtLeast:
 
 def register_table_functions(spark: SparkSession) -> None:
     for name, function in {
-        "squares": Squares,
-        "split_words": SplitWords,
-        "count_rows": CountRows,
+        "instalments": Instalments,
+        "sentences": Sentences,
+        "extent": Extent,
         "at_least": AtLeast,
     }.items():
         spark.udtf.register(name, function)
 
 
-def squares(rows: DataFrame, low: int, high: str) -> DataFrame:
-    """Built-in form of `squares`, without Python."""
-    return rows.withColumn("num", F.explode(F.sequence(F.lit(low), F.col(high)))).withColumn(
-        "squared", F.col("num") * F.col("num")
+def instalments(rows: DataFrame, cents: str, parts: str) -> DataFrame:
+    """Built-in form of `instalments`, without Python."""
+    each = f"({cents} div {parts})"
+    return rows.withColumn("instalment", F.explode(F.expr(f"sequence(1, {parts})"))).withColumn(
+        "share", F.expr(f"if(instalment < {parts}, {each}, {cents} - {each} * ({parts} - 1))")
     )
 
 

@@ -47,14 +47,15 @@ class ComponentsResult:
 def connected_components(
     edges: DataFrame,
     algorithm: str = "star",
-    max_iters: int = 50,
+    max_iters: int | None = None,
     vertices: DataFrame | None = None,
     by: Sequence[str] = (),
 ) -> ComponentsResult:
     """Components of `edges(src, dst)`, per graph if `by` names key columns.
 
     Ends that are null are dropped. `vertices(node)` adds nodes without edges.
-    At the round cap the result is flagged `converged=False`; it still holds one
+    Runs until nothing changes. With `max_iters` it stops after so many rounds; a
+    result that is not final then is flagged `converged=False` and still holds one
     row per node.
     """
     scratch = Scratch(edges.sparkSession, "components")
@@ -91,7 +92,7 @@ def _count(table: Table) -> int:
     return table.df.count()
 
 
-def _star(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> LoopResult:
+def _star(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
     """Alternating large-star and small-star steps; one round is one of each.
 
     State: edges `(hi, lo)` with hi > lo. Large star links every larger
@@ -132,7 +133,7 @@ def _star(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> Loo
     return loop
 
 
-def _rewrite(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> LoopResult:
+def _rewrite(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
     """Published pair rewriting: each round groups the pairs in both directions.
 
     Per key, `m` is the smallest value; a key above `m` emits `(key, m)` and
@@ -178,7 +179,7 @@ def _neighbours(simple: Table, by: list[str], total: int) -> KeyedRows:
     )
 
 
-def _hooking(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> LoopResult:
+def _hooking(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
     """Label hooking: the reducer of pair rewriting over the given edges.
 
     A label that is itself a node is re-pointed too, which is why the state may
@@ -219,7 +220,7 @@ def _hooking(scratch: Scratch, simple: Table, by: list[str], max_iters: int) ->
             held.pop().drop()
 
 
-def _minlabel(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> LoopResult:
+def _minlabel(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
     """Smallest label of the neighbours, then the smaller of that and the own one."""
     edges = _neighbours(simple, by, 2 * _count(simple))
     start = _labels(scratch, simple, by)
@@ -249,7 +250,7 @@ def _minlabel(scratch: Scratch, simple: Table, by: list[str], max_iters: int) ->
         edges.release()
 
 
-def _selfmsg(scratch: Scratch, simple: Table, by: list[str], max_iters: int) -> LoopResult:
+def _selfmsg(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
     """Labels are sent to the neighbours and to the node itself; the minimum stays.
 
     The message to itself carries the old label, so the new label and the change
@@ -320,11 +321,16 @@ def summary(edges: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
         # one-row aggregates on both sides
         keys = ["_one"]
         counts, found = (d.withColumn("_one", F.lit(1)) for d in (counts, found))
-    return counts.join(found, keys).select(
+    # a graph with a null key or without a valid edge has no components, but a row
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "n_components")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return counts.join(found, same, "left").select(
         *by,
         "n_nodes",
         "n_edges",
-        "n_components",
+        F.coalesce("n_components", F.lit(0)).cast("bigint").alias("n_components"),
         F.lit(result.iterations).alias("iterations"),
         F.lit(result.converged).alias("converged"),
     )

@@ -31,8 +31,8 @@ def canonical(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def symmetric(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Both directions of every row, duplicates kept."""
-    flip = edges.selectExpr(*by, "dst as src", "src as dst")
-    return edges.select(*by, "src", "dst").unionByName(flip)
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.select(*by, F.inline(F.array(there, back)))
 
 
 def vertices(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -48,16 +48,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
     distinct neighbours; the loops in this package use flat edges instead.
     """
     return (
-        symmetric(canonical(edges))
-        .distinct()
+        symmetric(oriented(edges))
         .groupBy(F.col("src").alias("node"))
-        .agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+        .agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
     )
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Distinct neighbours per vertex, self loops not counted."""
-    simple = canonical(edges).where("src <> dst")
+    return simple_degrees(canonical(edges).where("src <> dst"))
+
+
+def simple_degrees(simple: DataFrame) -> DataFrame:
+    """Degrees of edges that are distinct and without self loops already."""
     ends = F.explode(F.array("src", "dst")).alias("node")
     return simple.select(ends).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 

@@ -15,7 +15,7 @@ def shortest_paths(
     edges: DataFrame,
     sources: DataFrame,
     vertices: DataFrame | None = None,
-    max_iters: int = 1000,
+    max_iters: int | None = None,
 ) -> LoopResult:
     """Least total weight from `sources(node)` to every node, infinity if none.
 
@@ -62,7 +62,7 @@ def shortest_paths(
     return loop
 
 
-def transitive_closure(edges: DataFrame, max_iters: int = 1000) -> LoopResult:
+def transitive_closure(edges: DataFrame, max_iters: int | None = None) -> LoopResult:
     """All `(src, dst)` with a directed path of one edge or more.
 
     Semi-naive: a round extends only the pairs found in the round before. The

@@ -89,6 +89,47 @@ def binary_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     )
 
 
+def multiclass_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Per class: rows, hits, precision, recall, F1; from the confusion counts.
+
+    A class that is never predicted has precision 0. Classes with a null in either
+    column are left out.
+    """
+    cells = confusion(rows, label, predicted)
+    sides = F.array(
+        F.struct(F.col("label").alias("c"), F.col("n").alias("own"), F.lit(0).cast("long").alias("said")),
+        F.struct(F.col("predicted").alias("c"), F.lit(0).cast("long").alias("own"), F.col("n").alias("said")),
+    )
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
+    # the hit counts once: on the label's side
+    per = cells.select(hit.alias("hit"), F.posexplode(sides).alias("side", "s")).select(
+        "s.c", "s.own", "s.said", F.when(F.col("side") == 0, F.col("hit")).otherwise(0).alias("hit")
+    )
+    sums = per.groupBy(F.col("c").alias("label")).agg(
+        F.sum("own").alias("n"), F.sum("said").alias("said"), F.sum("hit").alias("hits")
+    )
+    return sums.selectExpr(
+        "label",
+        "n",
+        "hits",
+        "if(said > 0, hits / said, 0.0D) as precision",
+        "if(n > 0, hits / n, 0.0D) as recall",
+        "if(n + said > 0, 2 * hits / (n + said), 0.0D) as f1",
+    )
+
+
+def confusion(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Rows per pair of classes `(label, predicted, n)`."""
+    both = rows.select(F.col(label).alias("label"), F.col(predicted).alias("predicted")).na.drop()
+    return both.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighted_metrics(classes: DataFrame) -> DataFrame:
+    """Accuracy, and precision, recall and F1 weighted by the rows of each class."""
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c)
+    return classes.agg((F.sum("hits") / F.sum("n")).alias("accuracy"), mean("precision"), mean("recall"), mean("f1"))
+
+
 def regression_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     error = F.col(predicted) - F.col(label)
     return rows.agg(

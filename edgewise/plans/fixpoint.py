@@ -25,13 +25,13 @@ def iterate(
     scratch: Scratch,
     start: Table,
     step: Callable[[DataFrame, int], DataFrame],
-    max_iters: int,
+    max_iters: int | None = None,
     changed: Column | None = None,
     stop: Callable[[object], bool] | None = None,
     carry: Callable[[object], int] = lambda row: row["n"],
     n: int = 0,
 ) -> LoopResult:
-    """Apply `step` until a round changes nothing or `max_iters` is reached.
+    """Apply `step` until a round changes nothing, or for `max_iters` rounds if given.
 
     `step(state, n)` gets the last state and its row count. `changed` is an
     aggregate over the new state (default: `sum(changed)`), computed from the
@@ -40,7 +40,7 @@ def iterate(
     state, changes, done = start, [], False
     measure = F.sum(F.col("changed").cast("bigint")) if changed is None else changed
     rounds = 0
-    while rounds < max_iters and not done:
+    while not done and (max_iters is None or rounds < max_iters):
         new = scratch.write(step(state.df, n))
         seen = new.df.agg(
             F.coalesce(measure, F.lit(0)).alias("changed"), F.count(F.lit(1)).alias("n")

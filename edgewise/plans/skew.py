@@ -64,12 +64,17 @@ def distinct_with_low(
     if total <= MIN_HOT_ROWS:
         return _sorted_low(rows, key, value, more)
     limit = hot_limit(total)
-    hot = F.broadcast(
+    hot = (
         rows.groupBy(*key)
         .agg(F.min(value).alias("low"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .drop("_n")
     )
+    # fewer than MAX_HOT_KEYS rows; mostly there are none and the plain path is enough
+    listed = hot.collect()
+    if not listed:
+        return _sorted_low(rows, key, value, more)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(listed, hot.schema))
     thin = (
         rows.join(F.broadcast(hot.select(*key)), key, "left_semi")
         .groupBy(*key, value)

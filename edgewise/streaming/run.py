@@ -64,14 +64,40 @@ class Sink:
         return self.spark.read.parquet(self.out)
 
     def latest(self, df: DataFrame, mode: str = "complete") -> DataFrame:
-        """The whole result table as of the last batch (complete mode)."""
-        last = {"batch": None}
+        """The whole result table as of the last batch (complete mode).
+
+        Which batch that is is read from the folder, so a restart without new input
+        finds it too.
+        """
 
         def write(rows: DataFrame, batch: int) -> None:
             rows.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
-            if last["batch"] is not None and last["batch"] != batch:
-                self.scratch.delete(f"{self.out}/batch={last['batch']}")
-            last["batch"] = batch
+            for old in self.written():
+                if old < batch:
+                    self.scratch.delete(f"{self.out}/batch={old}")
 
         self._finish(df.writeStream.outputMode(mode).foreachBatch(write))
-        return self.spark.read.schema(df.schema).parquet(f"{self.out}/batch={last['batch']}")
+        done = self.written()
+        if not done:
+            return self.spark.createDataFrame([], df.schema)
+        return self.spark.read.schema(df.schema).parquet(f"{self.out}/batch={done[-1]}")
+
+    def written(self) -> list[int]:
+        """Numbers of the batches that have a complete folder, in order."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.out)
+        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(hadoop):
+            return []
+        names = [s.getPath() for s in files.listStatus(hadoop)]
+        complete = [p.getName() for p in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n.partition("=")[2]) for n in complete if n.startswith("batch="))
+
+    def before(self, batch: int) -> DataFrame | None:
+        """What the batch before `batch` has written, if there is one."""
+        earlier = [b for b in self.written() if b < batch]
+        return self.spark.read.parquet(f"{self.out}/batch={earlier[-1]}") if earlier else None
+
+    def final(self) -> DataFrame | None:
+        """What the last batch has written."""
+        done = self.written()
+        return self.spark.read.parquet(f"{self.out}/batch={done[-1]}") if done else None

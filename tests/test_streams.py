@@ -131,8 +131,7 @@ def test_streaming_models(spark, tmp_path):
 
     points = str(tmp_path / "points")
     feed(spark, points, [([0.0, 0.0],), ([0.0, 0.2],), ([9.0, 9.0],), ([9.0, 9.2],)], "features array<double>")
-    means = learning.StreamingKMeans(k=2, dims=2, decay=0.5, seed=1)
-    means.centres[:] = [[1, 1], [8, 8]]
+    means = learning.StreamingKMeans(k=2, dims=2, decay=0.5, start=[[1, 1], [8, 8]])
     means.train(table_stream(spark, points), Sink(spark, "t"))
     assert means.centres.tolist() == [pytest.approx([0, 0.1]), pytest.approx([9, 9.1])]
 
@@ -141,3 +140,28 @@ def test_two_sided_p():
     # published table values of Student's t
     assert learning.two_sided_p(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert learning.two_sided_p(1.96, 1e6) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_latest_after_a_restart_without_input(spark, tmp_path):
+    from edgewise.streaming import words
+
+    folder = str(tmp_path / "lines")
+    feed(spark, folder, [("a b a",)], "value string")
+    sink = Sink(spark, "restart")
+    first = words_of(sink.latest(words.running_counts(table_stream(spark, folder))))
+    assert first == words_of(sink.latest(words.running_counts(table_stream(spark, folder)))) == {"a": 2, "b": 1}
+
+
+def words_of(df):
+    return {r["word"]: r["n"] for r in df.collect()}
+
+
+def test_model_goes_on_after_a_restart(spark, tmp_path):
+    folder = str(tmp_path / "more")
+    feed(spark, folder, [([1.0], 2.0), ([2.0], 4.0)], "features array<double>, label double")
+    sink = Sink(spark, "go-on")
+    once = learning.StreamingRegression(dims=1, step=0.1, steps=3)
+    once.train(table_stream(spark, folder), sink)
+    again = learning.StreamingRegression(dims=1, step=0.1, steps=3)
+    again.train(table_stream(spark, folder), sink)
+    assert again.weights == pytest.approx(once.weights) and abs(again.weights[0]) > 0
