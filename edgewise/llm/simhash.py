@@ -219,9 +219,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
     n = distinct.count()
     groups = plan(bit_counts(distinct), n, radius)
     edges = scratch.write(links(distinct.select("fp"), groups, radius, hot, scratch)).df
-    found = connected_components(edges, max_iters=1000)
-    if not found.converged:
-        raise RuntimeError("components of the fingerprints did not converge")
+    found = connected_components(edges)
     labels = found.labels.select(F.col("node").alias("fp"), "component")
     linked = distinct.join(labels, "fp").select("fp", "low", "component")
     lows = linked.groupBy("component").agg(F.min("low").alias("least"))
