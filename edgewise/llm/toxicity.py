@@ -8,17 +8,20 @@ deserve on new text; for new text they come from the model of all rows.
 
 Each model is a logistic regression with an L1 penalty over the presence of words,
 which keeps few of them. The models are fitted on `EXAMPLES` labelled rows at most,
-those with the smallest hashes of their doc_id; scoring covers every row.
+those with the smallest hashes of their doc_id; the fits of a category (one per fold, one on
+all rows) run side by side, each in a task with that bounded sample. Scoring covers
+every row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,65 +31,120 @@ EXAMPLES = 20_000
 FOLDS = 3
 #: Words a model knows at most, the most frequent ones, each in `MIN_DOCS` labelled documents or more.
 TERMS = 20_000
-MIN_DOCS = 5
+MIN_DOCS = 4
 PENALTY = 0.002
+ROUNDS = 250
 THRESHOLD = 0.5
 
+WORD = re.compile(r"[^\W\d_]+")
 
-def _words(docs: DataFrame) -> DataFrame:
-    """`docs` with `_tox_words`, and `_form`: log length and share of characters that are no letters."""
-    text = F.coalesce("text", F.lit(""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    size = F.length(text)
-    return (
-        docs.withColumn("_tox_words", F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")))
-        .withColumn("_tox_size", F.log1p(size.cast("double")))
-        .withColumn("_tox_symbols", F.when(size > 0, 1 - letters / size).otherwise(F.lit(0.0)))
+
+def features(text: str | None) -> tuple[set[str], float, float]:
+    """Distinct lower-cased words, log length and share of characters outside words."""
+    text = text if isinstance(text, str) else ""
+    found = WORD.findall(text.lower())
+    letters = sum(map(len, found))
+    return set(found), math.log1p(len(text)), max(0.0, 1 - letters / len(text)) if text else 0.0
+
+
+@dataclass
+class Linear:
+    """Weights of words by name, of the dense columns in order, and the intercept."""
+
+    words: dict[str, float]
+    dense: list[float]
+    intercept: float
+
+    def probability(self, words: set[str], dense: Sequence[float]) -> float:
+        total = self.intercept + sum(a * b for a, b in zip(self.dense, dense, strict=True))
+        # fsum: the order in which a set is met must not show
+        total += math.fsum(self.words[w] for w in words & self.words.keys())
+        return 1 / (1 + math.exp(-total)) if total > -700 else 0.0
+
+
+def fit_linear(
+    at: np.ndarray, sizes: np.ndarray, dense: np.ndarray, y: np.ndarray, terms: int, penalty: float, rounds: int
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression with an L1 penalty: word weights, dense weights, intercept.
+
+    Row i has the words `at[sum(sizes[:i]):][:sizes[i]]`. Accelerated proximal gradient
+    steps with a step length of its own for each column; the penalty is on columns of
+    unit variance, the intercept has none.
+    """
+    n, d = dense.shape
+    mean, spread = dense.mean(axis=0), dense.std(axis=0)
+    spread[spread < 1e-9] = 1.0
+    dense = (dense - mean) / spread
+    starts = np.cumsum(sizes) - sizes
+    filled = np.flatnonzero(sizes)
+    share = np.bincount(at, minlength=terms) / n
+    # bound of the curvature of each column: its entries times the row sums of absolute values
+    reach = sizes + np.abs(dense).sum(axis=1) + 1.0
+    steep = np.concatenate(
+        [np.bincount(at, np.repeat(reach, sizes), minlength=terms), np.abs(dense).T @ reach, [reach.sum()]]
     )
+    step = 4 * n / np.maximum(steep, 1e-9)
+    cost = np.concatenate([penalty * np.sqrt(share * (1 - share)), np.full(d, penalty), [0.0]])
+    w = np.zeros(terms + d + 1)
+    rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    w[-1] = math.log(rate / (1 - rate))
+    z, t = w.copy(), 1.0
+    for _ in range(rounds):
+        margin = dense @ z[terms:-1] + z[-1]
+        if len(filled):
+            margin[filled] += np.add.reduceat(z[at], starts[filled])
+        wrong = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - y) / n
+        slope = np.concatenate([np.bincount(at, np.repeat(wrong, sizes), minlength=terms), dense.T @ wrong, [wrong.sum()]])
+        moved = z - step * slope
+        new = np.sign(moved) * np.maximum(np.abs(moved) - step * cost, 0)
+        if ((z - new) * (new - w)).sum() > 0:  # overshot: start the acceleration anew
+            t = 1.0
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        change = np.abs(new - w).max()
+        z, w, t = new + (t - 1) / after * (new - w), new, after
+        if change < 1e-5:
+            break
+    weights = w[terms:-1] / spread
+    return w[:terms], weights, float(w[-1] - (weights * mean).sum())
 
 
 class Chain:
-    """Fitted models in order; `None` with a constant where the labels leave nothing to learn."""
+    """Fitted models in order."""
 
-    def __init__(self, categories: Sequence[str], terms: Model | None, models: list):
-        self.categories, self.terms, self.models = list(categories), terms, models
+    def __init__(self, categories: Sequence[str], models: list[Linear]):
+        self.categories, self.models = list(categories), models
+
+    def probabilities(self, text: str | None) -> list[float]:
+        words, *dense = features(text)
+        out: list[float] = []
+        for model in self.models:
+            out.append(model.probability(words, [*dense, *out]))
+        return out
 
     def score(self, docs: DataFrame) -> DataFrame:
         """`docs` with `p_<category>` columns; null and empty texts are scored as texts without words.
 
         Columns of these names are replaced, all others kept.
         """
-        kept = docs.drop(*[f"p_{c}" for c in self.categories])
-        out = _words(kept)
-        if self.terms is not None:
-            out = self.terms.transform(out)
-        for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            out = _apply(out, model, self.categories[:i], f"p_{category}")
-        return out.select(*kept.columns, *[f"p_{c}" for c in self.categories])
-
+        names = [f"p_{c}" for c in self.categories]
+        kept = docs.drop(*names)
+        shared = docs.sparkSession.sparkContext.broadcast(self)
 
-def _assembled(rows: DataFrame, earlier: Sequence[str]) -> DataFrame:
-    columns = ["_tox_counts", "_tox_size", "_tox_symbols", *[f"p_{c}" for c in earlier]]
-    return VectorAssembler(inputCols=columns, outputCol="_tox_features").transform(rows)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            chain = shared.value
+            for texts in batches:
+                yield pd.DataFrame([chain.probabilities(t) for t in texts], columns=names, dtype=float)
 
+        found = F.pandas_udf(run, ", ".join(f"`{n}` double" for n in names))("text")
+        scored = kept.withColumn("_tox_p", found)
+        return scored.select(*kept.columns, *[F.col("_tox_p")[n].alias(n) for n in names])
 
-def _apply(rows: DataFrame, model, earlier: Sequence[str], out: str) -> DataFrame:
-    if isinstance(model, float):
-        return rows.withColumn(out, F.lit(model))
-    scored = model.transform(_assembled(rows, earlier))
-    return scored.withColumn(out, vector_to_array("_tox_probability")[1]).drop("_tox_features", "_tox_probability", "_tox_raw", "_tox_label")
 
-
-def _fit(rows: DataFrame, category: str, earlier: Sequence[str]):
-    """Model of one category, or its constant probability where only one class is there."""
-    low, high = rows.agg(F.min(category), F.max(category)).first()
-    if low is None or low == high:
-        return float(low or 0)
-    learner = LogisticRegression(
-        featuresCol="_tox_features", labelCol=category, probabilityCol="_tox_probability", rawPredictionCol="_tox_raw",
-        predictionCol="_tox_label", elasticNetParam=1.0, regParam=PENALTY, maxIter=100,
-    )
-    return learner.fit(_assembled(rows, earlier))
+def _vocabulary(rows: DataFrame) -> list[str]:
+    """Words of the labelled rows: TERMS at most, those in most rows first."""
+    each = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = each.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(TERMS)
+    return [r["word"] for r in found.collect()]
 
 
 def fit_chain(
@@ -95,35 +153,97 @@ def fit_chain(
     """Chain over the 0/1 columns `categories` of `labels(doc_id, ...)`, in that order.
 
     Rows with a null label or doc_id are left out; of several labels of a document the
-    larger counts; several texts of a doc_id are so many examples.
+    larger counts; several texts of a doc_id are so many examples. Where the labels
+    leave nothing to learn, the model is their constant.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     categories = list(categories)
     judged = labels.select("doc_id", *[F.col(c).cast("double").alias(c) for c in categories]).na.drop()
     judged = judged.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     # the bound of this sample is what may be broadcast
     sample = judged.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(examples)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    base = _words(chosen).withColumn("_tox_fold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(folds)))
-    rows = scratch.write(base.drop("text")).df
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [features(t) for t in batch["text"]]
+            out = batch[["row", *categories]].assign(words=[sorted(w) for w, _, _ in found])
+            yield out.assign(dense=[[a, b] for _, a, b in found])
+
+    y = ", ".join(f"`{c}` double" for c in categories)
+    numbered = chosen.withColumn("row", F.xxhash64("doc_id", F.xxhash64("text")))
+    rows = scratch.write(
+        numbered.select("row", "text", *categories).mapInPandas(extract, f"row long, {y}, words array<string>, dense array<double>")
+    ).df
+    words = _vocabulary(rows)
     if rows.isEmpty():
-        return Chain(categories, None, [0.0] * len(categories))
-    vectors = CountVectorizer(inputCol="_tox_words", outputCol="_tox_counts", vocabSize=TERMS, minDF=MIN_DOCS, binary=True)
-    if rows.select(F.explode("_tox_words").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCS).isEmpty():
-        vectors = vectors.setMinDF(1)
-    terms = vectors.fit(rows)
-    counted = scratch.write(terms.transform(rows).drop("_tox_words")).df
+        return Chain(categories, [Linear({}, [0.0] * (2 + i), -1000.0) for i in range(len(categories))])
+    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = place.value
+        for batch in batches:
+            yield batch.assign(words=[[known[w] for w in x if w in known] for x in batch["words"]])
+
+    state = scratch.write(rows.mapInPandas(number, f"row long, {y}, words array<int>, dense array<double>")).df
     models = []
     for i, category in enumerate(categories):
-        models.append(_fit(counted, category, categories[:i]))
+        fits = _fit(state, category, len(words), folds if i + 1 < len(categories) else 0)
+        held = [Linear({words[j]: v for j, v in zip(f["at"], f["weights"], strict=True)}, list(f["dense"]), f["intercept"]) for f in fits]
+        models.append(held[-1])
         if i + 1 < len(categories):
-            out = None
-            for k in range(folds):
-                model = _fit(counted.where(F.col("_tox_fold") != k), category, categories[:i])
-                part = _apply(counted.where(F.col("_tox_fold") == k), model, categories[:i], f"p_{category}")
-                out = part if out is None else out.unionByName(part)
-            counted = scratch.write(out).df
-    return Chain(categories, terms, models)
+            state = scratch.write(_out_of_fold(state, fits, folds)).df
+    return Chain(categories, models)
+
+
+def _fold(folds: int):
+    return F.pmod(F.xxhash64("row", F.lit(11)), F.lit(folds)).cast("int")
+
+
+def _fit(rows: DataFrame, category: str, terms: int, folds: int) -> list:
+    """Weights without each fold, and of all rows as the last: one task a fit, on bounded rows."""
+    jobs = F.expr(f"filter(sequence(0, {folds}), j -> j <> fold)") if folds else F.array(F.lit(0))
+    each = rows.withColumn("fold", _fold(folds) if folds else F.lit(-1)).select(
+        F.explode(jobs).alias("job"), "row", "words", "dense", F.col(category).alias("y")
+    )
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", kind="stable")
+        y = pdf["y"].to_numpy(float)
+        dense = np.array(pdf["dense"].tolist(), float)
+        job = int(pdf["job"].iloc[0])
+        if y.min() == y.max():
+            constant = 1000.0 if y[0] else -1000.0
+            return pd.DataFrame([(job, [], [], [0.0] * dense.shape[1], constant)], columns=["job", "at", "weights", "dense", "intercept"])
+        at = np.concatenate([np.asarray(w, np.int64) for w in pdf["words"]])
+        sizes = pdf["words"].map(len).to_numpy(np.int64)
+        w, own, intercept = fit_linear(at, sizes, dense, y, terms, PENALTY, ROUNDS)
+        kept = np.flatnonzero(w)
+        row = (job, kept.tolist(), w[kept].tolist(), own.tolist(), intercept)
+        return pd.DataFrame([row], columns=["job", "at", "weights", "dense", "intercept"])
+
+    schema = "job int, at array<int>, weights array<double>, dense array<double>, intercept double"
+    found = {r["job"]: r for r in each.groupBy("job").applyInPandas(fit, schema).collect()}
+    # with very few rows a fold may hold all of them; its rows then take the model of all
+    return [found.get(j, found[folds]) for j in range(folds + 1)]
+
+
+def _out_of_fold(rows: DataFrame, fits: list, folds: int) -> DataFrame:
+    """`rows` with the probability of the model without their fold behind the dense columns."""
+    plain = [(dict(zip(f["at"], f["weights"], strict=True)), list(f["dense"]), f["intercept"]) for f in fits[:folds]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [Linear(*p) for p in plain]
+        for batch in batches:
+            p = [
+                models[k].probability(set(map(int, w)), d)
+                for k, w, d in zip(batch["fold"], batch["words"], batch["dense"], strict=True)
+            ]
+            out = batch.drop(columns="fold")
+            yield out.assign(dense=[[*d, x] for d, x in zip(batch["dense"], p, strict=True)])
+
+    return rows.withColumn("fold", _fold(folds)).mapInPandas(run, rows.schema)
 
 
 def with_quality(labels: DataFrame) -> DataFrame:
