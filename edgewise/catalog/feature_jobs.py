@@ -388,12 +388,9 @@ _RANKED = """(rank() over (order by {c}) + (count(*) over (partition by {c}) - 1
 )
 def correlation(t: Tables):
     rows = _assemble(t.lineitem, "l_quantity", "l_extendedprice")
-    found = [
-        float(Correlation.corr(rows, "features", m).first()[0][0, 1]) for m in ("pearson", "spearman")
-    ]
-    return t.spark.createDataFrame(
-        [tuple(round(v, 6) for v in found)], "pearson double, spearman double"
-    )
+    pearson = float(Correlation.corr(rows, "features", "pearson").first()[0][0, 1])
+    ranked = stats.spearman(t.lineitem, "l_quantity", "l_extendedprice")
+    return ranked.select(F.lit(round(pearson, 6)).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgewise.operators import components, edges as E, rank, triangles
+from edgewise.plans import skew
 
 
 @dataclass(frozen=True)
@@ -18,12 +19,21 @@ class PropertyGraph:
 
     def triplets(self) -> DataFrame:
         """Edges with the attributes of both ends, as structs `source` and `target`."""
-        return self._with_end(self._with_end(self.edges, "src", "source"), "dst", "target")
+        total = self.edges.count()
+        return self._with_end(self._with_end(self.edges, "src", "source", total), "dst", "target", total)
 
-    def _with_end(self, rows: DataFrame, end: str, name: str) -> DataFrame:
+    def _with_end(self, rows: DataFrame, end: str, name: str, total: int) -> DataFrame:
+        """`rows` with the vertex at `end`; a vertex with very many edges keeps its rows spread."""
         attrs = [c for c in self.vertices.columns if c != "id"]
         side = self.vertices.select(F.col("id").alias(end), F.struct("id", *attrs).alias(name))
-        return rows.join(side, end)
+        return self._joined(rows, side, end, total)
+
+    def _joined(self, rows: DataFrame, side: DataFrame, end: str, total: int) -> DataFrame:
+        if total > skew.MIN_HOT_ROWS:
+            side = side.join(self.edges.groupBy(end).agg(F.count(F.lit(1)).alias("_n")), end)
+        else:
+            side = side.withColumn("_n", F.lit(0))
+        return skew.join_counted(rows, side, [end], "_n", total)
 
     def aggregate_messages(
         self, where: Column, messages: dict[str, Column], aggregates: Sequence[Column]
@@ -47,10 +57,9 @@ class PropertyGraph:
     def subgraph(self, where: Column) -> "PropertyGraph":
         """Vertices that pass, and the edges with both ends among them."""
         kept = self.vertices.where(where)
-        ids = kept.select("id")
-        inside = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-            ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-        )
+        ids, total = kept.select("id"), self.edges.count()
+        inside = self._joined(self.edges, ids.withColumnRenamed("id", "src"), "src", total)
+        inside = self._joined(inside, ids.withColumnRenamed("id", "dst"), "dst", total)
         return PropertyGraph(kept, inside.select(*self.edges.columns))
 
     def connected_components(self, **options) -> components.ComponentsResult:

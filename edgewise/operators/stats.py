@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgewise.plans.scratch import Scratch
+from edgewise.plans.skew import join_counted
+
 
 def goodness_of_fit(counts: DataFrame, observed: str, expected: str | None = None) -> DataFrame:
     """Chi-square statistic of observed counts, against equal counts by default."""
@@ -37,6 +40,39 @@ def independence(rows: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def average_ranks(rows: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """`(column, n, rank)` per distinct value: rows that have it, and their mean rank from 1.
+
+    Values are counted, sorted into ranges and numbered range by range, so neither the
+    ties of a value nor all values meet in one task. Nulls have no rank.
+    """
+    counted = rows.select(column).na.drop().groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(parts, column).withColumn("_part", F.spark_partition_id())
+    values = scratch.write(ranged).df
+    # one row per range
+    before, at = [], 0
+    for row in sorted(values.groupBy("_part").agg(F.sum("n").alias("n")).collect()):
+        before.append((row["_part"], at))
+        at += row["n"]
+    shift = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    inside = Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    numbered = values.withColumn("_within", within).join(F.broadcast(shift), "_part")
+    return numbered.select(column, "n", (F.col("_before") + F.col("_within") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Spearman's rank correlation of two columns, in one row; pairs with a null are left out."""
+    scratch = Scratch(rows.sparkSession, "spearman")
+    pairs = scratch.write(rows.select(F.col(a).alias("a"), F.col(b).alias("b")).na.drop()).df
+    total = pairs.count()
+    for side in ("a", "b"):
+        ranks = average_ranks(pairs.select(side), side, scratch).withColumnRenamed("rank", f"r_{side}")
+        pairs = join_counted(pairs, ranks, [side], "n", total)
+    return pairs.agg(F.corr("r_a", "r_b").alias("spearman"))
+
+
 def kernel_density(rows: DataFrame, value: str, points: Sequence[float], bandwidth: float):
     """Gaussian kernel density at a few points, in one pass over the rows."""
     scale = 1 / (bandwidth * math.sqrt(2 * math.pi))

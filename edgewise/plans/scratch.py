@@ -24,7 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    # local-cluster has workers with folders of their own
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = sc.applicationId
     if app not in _local_roots:
