@@ -134,6 +134,7 @@ def test_stats(spark):
 
 
 def test_named_components_drop_rows_outside(spark):
+    # fixed input: the sample follower graph
     follows = [(2, 1), (4, 1), (1, 2), (6, 3), (7, 3), (7, 6), (6, 7), (3, 7)]
     users = spark.createDataFrame([(1, "u1"), (6, "u6"), (8, "u8")], "node bigint, name string")
     found = C.named(C.connected_components(frame(spark, follows)).labels, users)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgewise.operators import edges as E, paths, rank, triangles
 
+# fixed input: the eight directed edges of the sample follower graph
 FOLLOWS = [(2, 1), (4, 1), (1, 2), (6, 3), (7, 3), (7, 6), (6, 7), (3, 7)]
 
 
