@@ -97,7 +97,25 @@ def secrets(spark, folder):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
 
 
-@query("op8_repeated_passages")
+@query(
+    "op8_repeated_passages",
+    """
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    win as (
+      select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as h
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 33, 1))) as i from d)),
+    rep as (select h from win group by h having count(*) > 1),
+    gone as (select distinct doc_id, p from (
+      select doc_id, unnest(range(i, i + 35)) as p from win where h in (select h from rep))),
+    words as (select doc_id, w[i] as word, i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+    kept as (
+      select doc_id, count(*) as n, string_agg(word, ' ' order by i) as kept
+      from words where (doc_id, i) not in (select (doc_id, p) from gone) group by doc_id)
+    select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+      sha256(coalesce(kept, '')) as kept_sha256
+    from d left join kept on kept.doc_id = d.doc_id
+    """,
+)
 def repeated_passages(spark, folder):
     kept = substrings.without_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
