@@ -181,7 +181,8 @@ def links(prints: DataFrame, groups: list[tuple[list[int], int]], radius: int, h
     other = right.select("part", "key", F.col("fp").alias("dst"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("dst"))) <= radius
     # either order of a pair meets, so one is enough
-    found = left.join(other, ["part", "key"]).where((F.col("fp") < F.col("dst")) & near)
+    # keys are many more than the planner can tell from the files, so neither side is for broadcast
+    found = left.hint("merge").join(other.hint("merge"), ["part", "key"]).where((F.col("fp") < F.col("dst")) & near)
     edges = found.select(F.col("fp").alias("src"), "dst").distinct()
     if none:
         return edges
@@ -196,10 +197,11 @@ def links(prints: DataFrame, groups: list[tuple[list[int], int]], radius: int, h
         points = points.select("fp", "p", "i", F.expr("explode(if(i >= 63, array(64), sequence(i + 1, 64)))").alias("j")).select(
             "fp", F.expr(f"p ^ {bit.format('j')}").alias("p")
         )
-    # fingerprints that share a point are within the radius; each links to the smallest
+    # fingerprints that share a point are within the radius; each links to the smallest.
+    # Points are many more than the planner can tell as well.
     low = points.groupBy("p").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("p", "src")
     return edges.unionByName(
-        points.select("fp", "p").join(low, "p").where("fp <> src").select("src", F.col("fp").alias("dst")).distinct()
+        points.select("fp", "p").hint("merge").join(low.hint("merge"), "p").where("fp <> src").select("src", F.col("fp").alias("dst")).distinct()
     )
 
 
