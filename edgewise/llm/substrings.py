@@ -26,8 +26,8 @@ from edgewise.plans.scratch import Scratch
 
 SPAN = 35
 #: Windows per hash range and characters per block.
-BUCKET = 4_000_000
-BLOCK_CHARS = 12_000_000
+BUCKET = 1_500_000
+BLOCK_CHARS = 8_000_000
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
