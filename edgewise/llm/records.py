@@ -32,7 +32,7 @@ from edgewise.llm.base import running_total, text_parts, worker_cache
 from edgewise.plans.scratch import Scratch
 
 MASK = 0xA282EAD8
-#: Cached pieces per worker before the cache starts afresh.
+#: Cached pieces per worker, in two generations: a piece met again in time is not encoded again.
 MAX_PIECES = 600_000
 #: White space as the vocabulary's own splitter sees it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -79,18 +79,24 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
+        self.tokenizer, self.kind, self.old = tokenizer, kind, {}
+        self.code = "H" if kind == "<u2" else "I"
 
     def raw(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        # a piece without its own line feed had a space before it
-        ids = self[piece] = self.raw(piece if piece[:1] == "\n" else " " + piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            # a piece without its own line feed had a space before it
+            ids = self.raw(piece if piece[:1] == "\n" else " " + piece)
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MAX_PIECES:
+        if len(self) > MAX_PIECES // 2:
+            self.old = dict(self)
             self.clear()
         if not text:
             return b""
