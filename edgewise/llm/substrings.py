@@ -10,6 +10,10 @@ holds about BUCKET windows, so a counting task works on arrays of a bounded size
 however the words are distributed. A window that repeats inside a block is
 known to repeat there, and is sent once, marked; so a passage that fills a third
 of all rows sends each of its windows once per block.
+
+A block is named by its partition and its number in it, over rows in a fixed order:
+a map task that runs again after a lost executor gives the same blocks, names and
+ranges, so that what is left of the first run fits to what the second one gives.
 """
 
 from __future__ import annotations
@@ -77,18 +81,19 @@ def pack(texts: DataFrame, span: int, ranges: int, block_chars: int = BLOCK_CHAR
 
     `hashes` and `places` are packed. One more row per block, in a range of its own
     kind (`ranges` and above), has its documents and the `known` places of windows
-    that repeat inside the block.
+    that repeat inside the block. The rows are sorted within their partitions, so the
+    same input gives the same blocks.
     """
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
         import zlib
 
         import xxhash
+        from pyspark import TaskContext
 
-        digest = xxhash.xxh64_intdigest
-        for block in _blocks(batches, block_chars):
-            name = uuid.uuid4().hex
+        digest, part = xxhash.xxh64_intdigest, TaskContext.get().partitionId()
+        for number, block in enumerate(_blocks(batches, block_chars)):
+            name = f"{part}-{number}"
             lengths, parts = [], []
             for text in block["text"]:
                 words = text.encode("utf-8", "surrogatepass").split()
@@ -122,7 +127,8 @@ def pack(texts: DataFrame, span: int, ranges: int, block_chars: int = BLOCK_CHAR
             out["docs"] = [docs.to_dict("records")] + [None] * (len(rows) - 1)
             yield out
 
-    return texts.mapInPandas(
+    # the text comes last: it is looked at only where the hashes of two texts are equal
+    return texts.sortWithinPartitions("doc_id", "tie", "text").mapInPandas(
         windows,
         "block string, range int, hashes binary, places binary, known binary,"
         " docs array<struct<at:long,doc_id:long,tie:long,n_words:long>>",
@@ -204,6 +210,13 @@ def intervals(hits: DataFrame, span: int) -> DataFrame:
     )
 
 
+#: One list of disjoint spans in order, of `lists`.
+UNION = """aggregate(array_sort(flatten(lists)), cast(array() as array<array<bigint>>), (done, s) ->
+    if(size(done) > 0 and done[size(done) - 1][1] >= s[0],
+       concat(slice(done, 1, size(done) - 1), array(array(done[size(done) - 1][0], greatest(done[size(done) - 1][1], s[1])))),
+       concat(done, array(s))))"""
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("tie", F.xxhash64("text"))
 
@@ -220,7 +233,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bucket: int = BUCKET, bloc
     texts = _keyed(docs).where("text is not null").select("doc_id", "tie", "text")
     hits = scratch.write(repeated(pack(texts, span, ranges, block_chars))).df
     found = scratch.write(intervals(hits, span).where(F.size("spans") > 0)).df
-    return found.groupBy("doc_id", "tie").agg(F.first("n_words").alias("n_words"), F.first("spans").alias("spans"))
+    # equal rows have equal spans, so the set holds one list
+    every = found.groupBy("doc_id", "tie").agg(F.max("n_words").alias("n_words"), F.collect_set("spans").alias("lists"))
+    return every.select("doc_id", "tie", "n_words", F.expr(f"if(size(lists) = 1, lists[0], {UNION})").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, **sizes) -> DataFrame:
