@@ -205,15 +205,8 @@ def links(prints: DataFrame, groups: list[tuple[list[int], int]], radius: int, h
     )
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Per row of `docs(doc_id, text)`: doc_id, tie, fp, fingerprint, component_id.
-
-    The component is the smallest doc_id that links lead to. Null and empty texts
-    have the fingerprint zero and link like any other; equal texts have equal
-    fingerprints; repeated rows get a row each; an empty table gives none. A null
-    doc_id never names a component that has another id. Other columns are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _grouped(docs: DataFrame, radius: int, hot: int, scratch: Scratch) -> DataFrame:
+    """`(doc_id, tie, fp, label, component_id)`; `label` is the smallest fingerprint that links lead to."""
     rows = scratch.write(fingerprints(docs)).df
     distinct = scratch.write(
         rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
@@ -225,34 +218,58 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
     labels = found.labels.select(F.col("node").alias("fp"), "component")
     linked = distinct.join(labels, "fp").select("fp", "low", "component")
     lows = linked.groupBy("component").agg(F.min("low").alias("least"))
-    moved = linked.join(lows, "component").select("fp", "least")
+    moved = linked.join(lows, "component").select("fp", "component", "least")
     # fingerprints of one document that link to nothing need no look-up
-    named = distinct.join(moved, "fp", "left").where("n > 1 or least is not null")
-    named = scratch.write(named.select("fp", F.coalesce("least", "low").alias("component_id"))).df
+    named = distinct.join(moved, "fp", "left").where("n > 1 or component is not null")
+    named = scratch.write(named.select("fp", "component", F.coalesce("least", "low").alias("component_id"))).df
     return rows.join(named, "fp", "left").select(
         "doc_id",
         "tie",
         "fp",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.coalesce("component", "fp").alias("label"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Per row of `docs(doc_id, text)`: doc_id, tie, fp, fingerprint, component_id.
+
+    The component is the smallest doc_id that links lead to. Null and empty texts
+    have the fingerprint zero and link like any other; equal texts have equal
+    fingerprints; repeated rows get a row each; an empty table gives none. A null
+    doc_id never names a component that has another id, so null or repeated ids can
+    stand for several components. Other columns are not read.
+    """
+    return _grouped(docs, radius, hot, Scratch(docs.sparkSession, "simhash")).select(
+        "doc_id",
+        "tie",
+        "fp",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id.
 
-    Of rows with that doc_id the one with the smallest text hash stays, of fully
-    equal ones any. All columns are kept.
+    A group is a set of linked fingerprints, whatever its ids: texts that do not link
+    all stay, under null or equal ids as well. Null ids come last; of rows with the
+    smallest doc_id the one with the smallest text hash stays, of fully equal ones
+    any. All columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    rows = scratch.write(near_duplicates(docs, radius, hot)).df
-    first = rows.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("tie").alias("_first"))
-    ties = rows.where("doc_id <=> component_id").groupBy(F.col("component_id").alias("_c"), "tie").agg(F.count(F.lit(1)).alias("_ew_n"))
-    least = first.join(ties, F.col("component_id").eqNullSafe(F.col("_c")) & (F.col("_first") == F.col("tie")))
-    chosen = scratch.write(least.select(F.col("component_id").alias("_ew_id"), F.col("tie").alias("_ew_tie"), "_ew_n")).df
+    rows = scratch.write(_grouped(docs, radius, hot, scratch).select("doc_id", "tie", "label")).df
+    counted = rows.groupBy("label", "doc_id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    # false sorts before true, so a null doc_id is taken only where there is no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "n")).alias("first")
+    chosen = scratch.write(
+        counted.groupBy("label").agg(first).select(
+            F.col("first.doc_id").alias("_ew_id"), F.col("first.tie").alias("_ew_tie"), F.col("first.n").alias("_ew_n")
+        )
+    ).df
     kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_ew_id"]) & (F.xxhash64(docs["text"]) == F.col("_ew_tie")))
     single = kept.where("_ew_n = 1").select(*docs.columns)
     if chosen.where("_ew_n > 1").isEmpty():
         return single
-    several = kept.where("_ew_n > 1").dropDuplicates(["_ew_id"]).select(*docs.columns)
+    several = kept.where("_ew_n > 1").dropDuplicates(["_ew_id", "_ew_tie"]).select(*docs.columns)
     return single.unionByName(several)
