@@ -8,7 +8,10 @@ labels, so that each text block of each page has a slot of the host's wrapper. S
 then counts what a slot holds over all pages of the host: a text that stays the
 same on nearly all pages is template, the rest of the slot is content. Navigation, forms,
 footers and the like vary as well (their links and adverts change from page to
-page); those slots are known by the role their element or class names.
+page); those slots are known by the role their element or class names. A block that is
+a link and nothing else is navigation where it stands beside the page's article or
+main element; inside of it, it is text. On a page without either it is navigation where
+its slot holds links on nearly all pages of the host, unless it is a heading.
 
 Counts, references and wrappers are made by aggregations per host and tree, never by
 gathering the pages of a host, and alignment works on the distinct trees only.
@@ -34,6 +37,10 @@ BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " blockquote pre figure figcaption address details summary hr header footer nav aside form fieldset dialog menu".split()
 )
+#: Elements whose class names tell of the page and not of a part of it.
+PAGE = frozenset(("html", "body", "main", "article"))
+CONTENT = frozenset(("main", "article"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that hold no main text.
 SILENT = frozenset(
     "nav header footer aside form fieldset dialog menu button select textarea noscript iframe template svg canvas object audio video".split()
@@ -60,12 +67,13 @@ RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
 
 
 class Node:
-    """A block element: label (tag and class), role flag, children."""
+    """A block element: label (tag and class), role flag, whether in the article, children."""
 
-    __slots__ = ("tag", "label", "silent", "children", "parent", "at")
+    __slots__ = ("tag", "label", "silent", "content", "children", "parent", "at")
 
     def __init__(self, tag: str, label: str, silent: bool, parent: "Node | None"):
         self.tag, self.label, self.silent, self.parent = tag, label, silent, parent
+        self.content = not silent and (tag in CONTENT or parent is not None and parent.content)
         self.children: list[Node] = []
         self.at = -1
 
@@ -96,7 +104,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
         nonlocal current
         named = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)] if "=" in source else []
         marks = " ".join(named)
-        silent = current.silent or tag in SILENT or bool(marks and ROLE.search(marks))
+        silent = current.silent or tag in SILENT or bool(marks and tag not in PAGE and ROLE.search(marks))
         label = f"{tag}.{marks}" if marks else tag
         last = current.children[-1] if current.children else None
         if last is not None and last.label == label:
@@ -231,24 +239,38 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """`(page_id, url, host, tree, tree_hash, blocks)` of `pages(page_id, url, html)`.
+    """`(page_id, url, host, tree, tree_hash, blocks, links)` of `pages(page_id, url, html)`.
 
-    A block has its node in the tree, its text, and whether its element's role or links
-    rule it out.
+    A block has its node in the tree, its text, whether its element's role or links
+    rule it out (`out`), and whether it is a link that the slot decides on (`linked`).
+    `links` says that the page has one of those.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            trees, lists = [], []
+            trees, lists, links = [], [], []
             for page in batch["html"]:
                 root, found = parse(page if isinstance(page, str) else "")
                 shape, _ = number(root)
                 trees.append(shape)
-                lists.append([{"node": n.at, "text": t, "out": n.silent or linked} for n, t, linked in found])
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "tree": trees, "blocks": lists})
+                marked = any(n.content for n, _, _ in found)
+                lists.append([
+                    {
+                        "node": n.at,
+                        "text": t,
+                        "out": n.silent or (linked and marked and not n.content),
+                        "linked": linked and not marked and n.tag not in HEADINGS,
+                    }
+                    for n, t, linked in found
+                ])
+                links.append(any(b["linked"] for b in lists[-1]))
+            yield pd.DataFrame(
+                {"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "tree": trees, "blocks": lists, "links": links}
+            )
 
     cut = pages.select("page_id", "url", "html").mapInPandas(
-        run, "page_id long, url string, tree string, blocks array<struct<node:int,text:string,out:boolean>>"
+        run,
+        "page_id long, url string, tree string, blocks array<struct<node:int,text:string,out:boolean,linked:boolean>>, links boolean",
     )
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     return cut.withColumn("host", host).withColumn("tree_hash", F.xxhash64("tree"))
@@ -303,11 +325,27 @@ def wrappers(cut: DataFrame, scratch: Scratch, share: float, least: int) -> tupl
     return slots, scratch.write(fixed).df
 
 
+def link_slots(cut: DataFrame, slots: DataFrame, share: float, least: int) -> DataFrame:
+    """`(host, dense)`: slots of which at least `share` of all blocks are links, on hosts of at least `least` pages.
+
+    At most as many as the reference has nodes.
+    """
+    hosts = cut.where("links").select("host").distinct()
+    blocks = cut.join(hosts, "host", "left_semi").join(slots, ["host", "tree_hash"]).select(
+        "host", F.explode(F.expr("transform(filter(blocks, b -> not b.out and slots[b.node] >= 0), b -> struct(slots[b.node] as slot, b.linked as linked))")).alias("b")
+    )
+    counted = blocks.groupBy("host", "b.slot").agg(F.count(F.lit(1)).alias("n"), F.count_if("b.linked").alias("links"))
+    pages = cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    dense = counted.where(F.col("links") >= share * F.col("n")).join(pages.where(F.col("pages") >= least), "host")
+    return dense.groupBy("host").agg(F.collect_list("slot").alias("dense"))
+
+
 def main_text(pages: DataFrame, share: float = CONSTANT_SHARE, least: int = CONSTANT_PAGES) -> DataFrame:
     """Per row of `pages(page_id, url, html)`: page_id, url, host, text, n_chars.
 
     Blocks are joined by two line feeds. A null or empty page has an empty text; a page
-    without a host is a page of the host "", one alone on its host is its own template; a
+    without a host is a page of the host "", one alone on its host is its own template; role
+    words on html, body, main and article do not count, links inside an article are text; a
     page most of whose blocks would be template is a copy, not a template, and keeps
     them. Repeated rows get a row each. Other columns are not read.
     """
@@ -315,7 +353,11 @@ def main_text(pages: DataFrame, share: float = CONSTANT_SHARE, least: int = CONS
     cut = scratch.write(parsed(pages)).df
     slots, fixed = wrappers(cut, scratch, share, least)
     joined = cut.drop("tree").join(slots, ["host", "tree_hash"], "left").join(fixed, "host", "left")
-    body = F.expr("filter(blocks, b -> not b.out)")
+    if cut.where("links").isEmpty():
+        joined = joined.withColumn("dense", F.lit(None).cast("array<int>"))
+    else:
+        joined = joined.join(scratch.write(link_slots(cut, slots, share, least)).df, "host", "left")
+    body = F.expr("filter(blocks, b -> not b.out and not (b.linked and coalesce(array_contains(dense, slots[b.node]), false)))")
     varying = F.expr(
         "filter(body, b -> fixed is null or not array_contains(fixed, struct(slots[b.node] as slot, xxhash64(b.text) as word)))"
     )
