@@ -317,22 +317,23 @@ def minhash_join(t: Tables):
 
 @query("minhash_nearest")
 def minhash_nearest(t: Tables):
-    """The five documents nearest to the first one."""
-    key = t.documents.where("doc_id = 0")
-    return similarity.minhash_nearest(t.documents, "doc_id", "text", key, 5).select("id", F.round("distance", 6).alias("distance"))
+    """The five documents nearest to each one whose id is divisible by 100."""
+    queries = t.documents.where("doc_id % 100 = 0")
+    found = similarity.minhash_nearest_each(t.documents, "doc_id", "text", queries, 5)
+    return found.select("query", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("rp_nearest")
 def rp_nearest(t: Tables):
-    """The five embeddings nearest to the first one."""
+    """The five embeddings nearest to each one whose id is divisible by 100."""
     rows = _vectors(t).select("id", "features")
-    key = rows.where("id = 0").first()
-    return similarity.nearest(rows, key["features"], 5).select("id", F.round("distance", 6).alias("distance"))
+    found = similarity.nearest_each(rows, rows.where("id % 100 = 0"), 5, tables=12)
+    return found.select("query", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("rp_lsh_join")
 def rp_lsh_join(t: Tables):
-    return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=0.5).select(
+    return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=2.0, tables=12).select(
         "a", "b", F.round("distance", 6).alias("distance")
     )
 
