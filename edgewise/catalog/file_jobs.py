@@ -15,6 +15,19 @@ def _path(t: Tables) -> str:
     return Scratch(t.spark, "files").path()
 
 
+def _whole(written, read):
+    """`read`, once all its rows and columns have the count and checksum of `written`."""
+
+    def sums(rows):
+        row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in written.columns])
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first())
+
+    due, got = sums(written), sums(read)
+    if due != got:
+        raise ValueError(f"rows and checksum read back are {got}, written were {due}")
+    return read
+
+
 @query(
     "json_read",
     "select event_id, user_id, event_type, cast(props->>'$.k' as bigint) as k from events",
@@ -60,7 +73,7 @@ def parquet_rt(t: Tables):
     path = _path(t)
     t.orders.write.parquet(path)
     return (
-        t.spark.read.parquet(path)
+        _whole(t.orders, t.spark.read.parquet(path))
         .where("o_totalprice > 100000")
         .select("o_orderkey", "o_custkey", "o_totalprice")
     )
@@ -81,15 +94,15 @@ def schema_merge(t: Tables):
 @query("orc_rt", "select o_orderkey, o_orderpriority from orders where o_custkey = 10")
 def orc_rt(t: Tables):
     path = _path(t)
-    files.write_orc_tuned(t.orders.drop("o_orderdate"), path, "o_custkey", ["o_orderpriority"])
-    return t.spark.read.orc(path).where("o_custkey = 10").select("o_orderkey", "o_orderpriority")
+    files.write_orc_tuned(t.orders, path, "o_custkey", ["o_orderpriority"])
+    return _whole(t.orders, t.spark.read.orc(path)).where("o_custkey = 10").select("o_orderkey", "o_orderpriority")
 
 
 @query("parquet_opts", "select o_orderkey, o_orderpriority from orders where o_custkey = 10")
 def parquet_opts(t: Tables):
     path = _path(t)
     files.write_parquet_tuned(t.orders, path, "o_custkey", 1_000_000)
-    return t.spark.read.parquet(path).where("o_custkey = 10").select("o_orderkey", "o_orderpriority")
+    return _whole(t.orders, t.spark.read.parquet(path)).where("o_custkey = 10").select("o_orderkey", "o_orderpriority")
 
 
 @query(
@@ -138,8 +151,9 @@ def file_filters(t: Tables):
     """A folder tree of Parquet files with a stray JSON file between them."""
     path = _path(t)
     kept = t.customer.select("c_custkey", "c_name")
-    kept.where("c_acctbal < 0").write.parquet(f"{path}/low")
-    kept.where("c_acctbal >= 0").write.parquet(f"{path}/deep/high")
+    low = F.coalesce(F.col("c_acctbal") < 0, F.lit(False))
+    t.customer.where(low).select(*kept.columns).write.parquet(f"{path}/low")
+    t.customer.where(~low).select(*kept.columns).write.parquet(f"{path}/deep/high")
     kept.limit(1).write.json(f"{path}/stray")
     return files.read_filtered(
         t.spark,
