@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise import session
-from edgewise.llm import decontaminate, grammar, imatch, pieces, records, sharding, simhash, substrings, toxicity, wrapper
+from edgewise.llm import (
+    centroids,
+    decontaminate,
+    divergence,
+    grammar,
+    imatch,
+    pieces,
+    quality,
+    records,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    wrapper,
+)
 from edgewise.llm.base import table
 
 QUERIES: dict = {}
@@ -152,3 +166,91 @@ def sentencepiece(spark, folder):
 def shards(spark, folder):
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     return sharding.extendible_shards(table(spark, folder, "documents"), ["doc_id"], size, SHARD_BYTES)
+
+
+@query("op11_quality")
+def quality_scores(spark, folder):
+    found = quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def _clusters_sql(k: int, rounds: int, size: int) -> str:
+    """Plain rounds of assignment and floored means, one step after the other."""
+    floor_div = "(s - ((s % n) + n) % n) // n"
+    steps = [
+        f"""kept as materialized (
+          select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+          from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(cast(x as double)))) = {size})""",
+        f"x as materialized (select r, unnest(range(1, {size + 1})) as i, unnest(v) as x from kept)",
+        f"""first as (select row_number() over (order by sha256('3:' || vec_id), v) - 1 as j, v from kept
+          order by sha256('3:' || vec_id), v limit {k})""",
+        f"c0 as materialized (select j, unnest(range(1, {size + 1})) as i, unnest(v) as c from first)",
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} as materialized (select r, arg_min(j, (d, j)) as j, min(d) as d from (
+              select r, j, sum((x - c) * (x - c)) as d from x join c{t} using (i) group by r, j) group by r)"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""c{t + 1} as materialized (select old.j, old.i, case when n is null then c else {floor_div} end as c
+                  from c{t} old left join (
+                    select j, i, sum(x) as s, count(*) as n from a{t} join x using (r) group by j, i) new using (j, i))"""
+            )
+    return f"""
+    with {", ".join(steps)},
+    names as (select j, sha256(string_agg(cast(c as varchar), ',' order by i)) as h from c{rounds} group by j),
+    per as (select j, sum(d) as s from a{rounds} group by j)
+    select vec_id, cast(j as integer) as cluster, cast(d as bigint) as distance, cast(s as bigint) as cluster_inertia,
+      cast((select sum(d) from a{rounds}) as bigint) as inertia, h as centroid_sha256
+    from a{rounds} join kept using (r) join per using (j) join names using (j)
+    """
+
+
+@query("op12_centroids", _clusters_sql(8, 10, 64))
+def centroid_clusters(spark, folder):
+    return centroids.clusters(table(spark, folder, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+@query(
+    "op13_divergence",
+    """
+    with d as (
+      select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+    t as (select r, lang, source, unnest(w) as term from d),
+    kept as (select lang, term from t group by lang, term having count(distinct r) >= 3),
+    g as (select distinct lang, source from d),
+    counts as (select lang, source, term, count(*) as c from t semi join kept using (lang, term) group by all),
+    size as (
+      select g.lang, g.source, coalesce(n, 0) as n, coalesce(v, 0) as v from g
+      left join (select lang, source, sum(c) as n from counts group by all) using (lang, source)
+      left join (select lang, count(*) as v from kept group by all) using (lang)),
+    p as (
+      select lang, source, term, coalesce(c, 0) as c,
+        cast(1 + (1000000000::hugeint * (coalesce(c, 0) + 1)) // (n + v) as hugeint) as p
+      from size join kept using (lang) left join counts using (lang, source, term)),
+    q as (
+      select lang, term, cast(1 + (1000000000::hugeint * (c + 1)) // (n + v) as hugeint) as q
+      from (select lang, term, sum(c) as c from counts group by all)
+      join (select lang, sum(n) as n, max(v) as v from size group by all) using (lang)),
+    sums as (
+      select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pairs as (
+      select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+    terms as (
+      select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value
+      from p join q using (lang, term) where c > 0 and p > q),
+    ranked as (
+      select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+      from (select * from pairs union all select * from terms))
+    select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+    from ranked where part = 'pair' or rank <= 200
+    """,
+)
+def source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
