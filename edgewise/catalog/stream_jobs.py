@@ -10,6 +10,10 @@ from edgewise.plans.scratch import Scratch
 from edgewise.streaming import clicks, learning, sessions, totals, words
 from edgewise.streaming.run import Sink, table_stream
 
+#: Queries by micro-batch get their input in this many arrivals, a restart before each.
+ARRIVALS = 2
+_BATCH_WORDS_SQL = """select batch, word, count(*) as n from (
+    select cast(doc_id % 2 as integer) as batch, unnest(string_split(text, ' ')) as word from documents) group by batch, word"""
 _WORDS_SQL = "select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) group by word"
 
 
@@ -32,6 +36,28 @@ def _views(t: Tables):
     )
 
 
+def _arriving(t: Tables, rows, number: str, job):
+    """Run `job` on the rows of each arrival in turn; `rows.<number>` tells which one a row comes with.
+
+    The stream is stopped after each arrival and started again from its checkpoint, so an
+    arrival is a micro-batch.
+    """
+    folder = Scratch(t.spark, "arrivals").path()
+    out = None
+    for i in range(ARRIVALS):
+        rows.where(F.expr(number) == i).write.mode("append").parquet(folder)
+        out = job(table_stream(t.spark, folder))
+    return out
+
+
+def _arriving_lines(t: Tables, job):
+    return _arriving(t, t.documents.selectExpr("text as value", "doc_id"), f"doc_id % {ARRIVALS}", lambda rows: job(rows.select("value")))
+
+
+def _timed(t: Tables):
+    return t.events.withColumn("at", F.col("ts").cast("timestamp"))
+
+
 def _text_times(df, *columns):
     """Times as text, the same in every engine and time zone setting."""
     out = df
@@ -115,11 +141,24 @@ def stream_sessions(t: Tables):
 @query(
     "stream_state_sessions",
     """select cast(user_id as varchar) as key, count(*) as n, cast(floor(epoch_us(min(ts)) / 1000) as bigint) as start,
-              cast(floor(epoch_us(max(ts)) / 1000) as bigint) as end, false as expired from events group by user_id""",
+              cast(floor(epoch_us(max(ts)) / 1000) as bigint) as end, true as expired from events group by user_id""",
 )
 def stream_state_sessions(t: Tables):
-    state = sessions.idle_sessions(_events(t), "at", "user_id", 60_000)
-    return Sink(t.spark, "idle", once=True).batches(state, lambda rows, batch: rows, "update").drop("batch")
+    """Every row is a session that its timer has closed; the sessions of a user are put together.
+
+    Where the clock cuts a user's events into sessions is not the data's doing, their sum is.
+    """
+    sink = Sink(t.spark, "idle")
+
+    def job(rows):
+        # the first arrival is left open: the timers of the restarted stream close all
+        sessions_ = sessions.idle_sessions(rows, "at", "user_id", 3_000)
+        return sink.until_idle(sessions_, lambda part, batch: part)
+
+    told = _arriving(t, _timed(t).select("user_id", "at", "event_id"), f"event_id % {ARRIVALS}", job)
+    return told.groupBy("key").agg(
+        F.sum("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.every("expired").alias("expired")
+    )
 
 
 _GAP = 6 * 3600 * 1000
@@ -179,26 +218,37 @@ def batch_sessions(t: Tables):
 )
 def stream_totals(t: Tables):
     start = t.spark.createDataFrame([("view", 1), ("click", 1)], "word string, n bigint")
-    state = totals.running_totals(_events(t).selectExpr("event_type as word"), start)
-    return Sink(t.spark, "totals").batches(state, lambda rows, batch: rows, "update").drop("batch")
+    sink = Sink(t.spark, "totals")
+
+    def job(rows):
+        return sink.batches(totals.running_totals(rows.selectExpr("event_type as word"), start), lambda part, batch: part, "update")
 
+    # a word comes back in every batch that has it; its last total is the answer
+    told = _arriving(t, t.events.select("event_type", "event_id"), f"event_id % {ARRIVALS}", job)
+    return told.groupBy("word").agg(F.max_by("total", "batch").alias("total"))
 
-@query("stream_batch_counts", _WORDS_SQL)
+
+@query("stream_batch_counts", _BATCH_WORDS_SQL)
 def stream_batch_counts(t: Tables):
-    return words.batch_counts(_lines(t), Sink(t.spark, "batches")).drop("batch")
+    sink = Sink(t.spark, "batches")
+    return _arriving_lines(t, lambda lines: words.batch_counts(lines, sink))
 
 
-@query("stream_sql", _WORDS_SQL)
+@query("stream_sql", _BATCH_WORDS_SQL)
 def stream_sql(t: Tables):
-    return words.sql_counts(_lines(t), Sink(t.spark, "sql")).drop("batch")
+    sink = Sink(t.spark, "sql")
+    return _arriving_lines(t, lambda lines: words.sql_counts(lines, sink))
 
 
 @query(
     "stream_sentiment",
     """with s as (select word, count(*) as score from (select unnest(string_split(text, ' ')) as word from benchmark)
                   where regexp_full_match(word, '[a-z]+') group by word),
-       w as (select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) group by word)
-       select word, score * n as weight from s join w using (word) order by weight desc, word limit 5""",
+       w as (select batch, word, count(*) as n from (
+               select cast(doc_id % 2 as integer) as batch, unnest(string_split(text, ' ')) as word from documents) group by batch, word),
+       r as (select batch, word, score * n as weight, row_number() over (partition by batch order by score * n desc, word) as r
+             from s join w using (word))
+       select batch, word, weight from r where r <= 5""",
 )
 def stream_sentiment(t: Tables):
     """Word scores from a tab-separated file, here the counts in `benchmark`."""
@@ -206,7 +256,8 @@ def stream_sentiment(t: Tables):
     counted = t.benchmark.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").count()
     counted.where("word rlike '^[a-z]+$'").write.csv(path, sep="\t")
     scores = words.read_scores(t.spark, path)
-    return words.top_scored(_lines(t), scores, Sink(t.spark, "sentiment")).drop("batch")
+    sink = Sink(t.spark, "sentiment")
+    return _arriving_lines(t, lambda lines: words.top_scored(lines, scores, sink))
 
 
 @query(
@@ -228,9 +279,14 @@ def stream_recover(t: Tables):
     return out.agg(F.sum("n_kept").alias("n_kept"), F.sum("n_dropped").alias("n_dropped"))
 
 
-@query("stream_mod", "select event_id % 10 as remainder, count(*) as n from events group by 1")
+@query(
+    "stream_mod",
+    "select cast(user_id % 2 as integer) as batch, event_id % 10 as remainder, count(*) as n from events group by all",
+)
 def stream_mod(t: Tables):
-    return words.remainder_counts(_events(t), "event_id", 10, Sink(t.spark, "mod")).drop("batch")
+    sink = Sink(t.spark, "mod")
+    rows = t.events.select("event_id", "user_id")
+    return _arriving(t, rows, f"user_id % {ARRIVALS}", lambda part: words.remainder_counts(part, "event_id", 10, sink))
 
 
 @query(
@@ -246,10 +302,14 @@ def stream_grep(t: Tables):
     return words.matching_lines(streams, "the", Sink(t.spark, "grep")).agg(F.sum("n").alias("n"))
 
 
-@query("click_pages", "select event_type as url, count(*) as n from events group by 1")
+@query(
+    "click_pages",
+    "select cast(event_id % 2 as integer) as batch, event_type as url, count(*) as n from events group by all",
+)
 def click_pages(t: Tables):
     sink = Sink(t.spark, "pages")
-    return sink.batches(_views(t), lambda rows, batch: clicks.page_counts(rows)).drop("batch")
+    rows = t.events.selectExpr("event_type as url", "event_id")
+    return _arriving(t, rows, f"event_id % {ARRIVALS}", lambda part: sink.batches(part, lambda x, batch: clicks.page_counts(x)))
 
 
 @query("click_sliding", windows_sql("url", "count(*) as n", 10, 2, 1))
@@ -258,37 +318,48 @@ def click_sliding(t: Tables):
     return _text_times(Sink(t.spark, "sliding").append(counted), "start", "end")
 
 
-@query(
-    "click_error_rate",
-    windows_sql(
-        "zip_code",
-        """avg(case when status = 200 then 0.0 else 1.0 end) as rate,
-           avg(case when status = 200 then 0.0 else 1.0 end) > 0.05 as flagged""",
-        30,
-        2,
-        1,
-    ).replace("user_id % 20 as zip_code", "cast(user_id % 20 as integer) as zip_code"),
-)
+def _rates_sql(closed: bool) -> str:
+    select = """avg(case when status = 200 then 0.0 else 1.0 end) as rate,
+           avg(case when status = 200 then 0.0 else 1.0 end) > 0.05 as flagged"""
+    return windows_sql("zip_code", select, 30, 2, 1, closed).replace("user_id % 20 as zip_code", "cast(user_id % 20 as integer) as zip_code")
+
+
+@query("click_error_rate", _rates_sql(closed=True))
 def click_error_rate(t: Tables):
     rated = clicks.error_rates(_views(t), "30 hours", "2 hours", "1 hour")
     return _text_times(Sink(t.spark, "errors").append(rated), "start", "end")
 
 
+@query("click_error_rate_all", _rates_sql(closed=False))
+def click_error_rate_all(t: Tables):
+    """Complete mode: the windows that are still open are told as well."""
+    rated = clicks.error_rates(_views(t), "30 hours", "2 hours", "1 hour")
+    return _text_times(Sink(t.spark, "errors-all").latest(rated), "start", "end")
+
+
 @query("click_active", windows_sql("", "count(distinct user_id) as n_users", 16, 2, 1))
 def click_active(t: Tables):
     active = clicks.active_users(_views(t), "16 hours", "2 hours", "1 hour")
     return _text_times(Sink(t.spark, "active").append(active), "start", "end")
 
 
+@query("click_active_all", windows_sql("", "count(distinct user_id) as n_users", 16, 2, 1, closed=False))
+def click_active_all(t: Tables):
+    sink = Sink(t.spark, "active-all")
+    return _text_times(clicks.active_users_now(_views(t), "16 hours", "2 hours", "1 hour", sink), "start", "end")
+
+
 @query(
     "click_users",
-    """select distinct user_id, c_name as name from events join customer on c_custkey = user_id
-       order by user_id limit 10""",
+    """with u as (select distinct cast(event_id % 2 as integer) as batch, user_id, c_name as name from events join customer on c_custkey = user_id)
+       select * from u qualify row_number() over (partition by batch order by user_id) <= 10""",
 )
 def click_users(t: Tables):
+    """The first ten users of each batch, with their names."""
     names = t.customer.selectExpr("c_custkey as user_id", "c_name as name")
     sink = Sink(t.spark, "users")
-    return sink.batches(_views(t), lambda rows, batch: clicks.named_users(rows, names)).drop("batch")
+    rows = t.events.select("user_id", "event_id")
+    return _arriving(t, rows, f"event_id % {ARRIVALS}", lambda part: sink.batches(part, lambda x, batch: clicks.named_users(x, names)))
 
 
 @query("stream_kmeans")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgewise.streaming.run import Sink
+
 VIEW_SCHEMA = "url string, status int, zip_code int, user_id bigint, at timestamp"
 ERROR_LIMIT = 0.05
 
@@ -38,9 +40,24 @@ def error_rates(rows: DataFrame, size: str, slide: str, delay: str) -> DataFrame
     return _flat(rated, "zip_code", "rate", (F.col("rate") > ERROR_LIMIT).alias("flagged"))
 
 
+def users_seen(rows: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
+    """One row per window and user."""
+    return _spans(rows, size, slide, delay, "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def active_users(rows: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
-    """Exact distinct users per window: one row per (window, user), then a count."""
-    seen = _spans(rows, size, slide, delay, "user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Exact distinct users per window that the watermark has closed."""
+    seen = users_seen(rows, size, slide, delay)
+    return _flat(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n_users")), "n_users")
+
+
+def active_users_now(rows: DataFrame, size: str, slide: str, delay: str, sink: Sink) -> DataFrame:
+    """Exact distinct users of every window so far, open ones too.
+
+    The stream keeps one row per window and user (complete mode); those of the last batch
+    are counted.
+    """
+    seen = sink.latest(users_seen(rows, size, slide, delay))
     return _flat(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n_users")), "n_users")
 
 

@@ -63,6 +63,33 @@ class Sink:
         self._finish(df.writeStream.outputMode(mode).foreachBatch(write))
         return self.spark.read.parquet(self.out)
 
+    def until_idle(
+        self, df: DataFrame, each: Callable[[DataFrame, int], DataFrame], every: str = "500 milliseconds", state: bool = True
+    ) -> DataFrame:
+        """As `batches` in append mode, for streams with processing-time timers.
+
+        Runs on after the input is read, as timers still have to fire, and stops when two
+        batches have read nothing (the first may be one that a stopped stream left
+        unfinished) and, with `state`, no operator holds a row.
+        """
+
+        def write(rows: DataFrame, batch: int) -> None:
+            each(rows, batch).write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
+
+        writer = df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", self.checkpoint)
+        query, seen, empty = writer.trigger(processingTime=every).start(), -1, 0
+        while query.isActive:
+            last = query.lastProgress
+            if last is not None and last["batchId"] > seen:
+                seen = last["batchId"]
+                empty = 0 if last["numInputRows"] else empty + 1
+                if empty > 1 and not (state and sum(x["numRowsTotal"] for x in last["stateOperators"])):
+                    query.stop()
+            query.awaitTermination(0.2)
+        if query.exception() is not None:
+            raise query.exception()
+        return self.spark.read.parquet(self.out)
+
     def latest(self, df: DataFrame, mode: str = "complete") -> DataFrame:
         """The whole result table as of the last batch (complete mode).
 

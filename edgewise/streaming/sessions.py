@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from edgewise.streaming.totals import STATE_STORE
 
 CLOSE = "CLOSE_SESSION"
 EVENT_SCHEMA = "user_id string, event_type string, timestamp timestamp"
@@ -44,42 +46,53 @@ def _combine(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def idle_sessions(rows: DataFrame, time: str, key: str, idle_ms: int) -> DataFrame:
-    """Sessions in explicit state, closed after `idle_ms` of processing time.
+class IdleSession(StatefulProcessor):
+    """One open session a key; a processing-time timer closes it."""
 
-    Every batch reports the session of each key it touched (`expired` false); a
-    key that stays idle is reported once more with `expired` true and forgotten.
-    """
-    rows = rows.withColumn("millis", F.unix_millis(time))
-
-    def update(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        names = ["key", "n", "start", "end", "expired"]
-        if state.hasTimedOut:
-            n, start, end = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], n, start, end, True)], columns=names)
-            return
-        n, start, end = state.get if state.exists else (0, None, None)
-        for pdf in parts:
-            n += int(pdf["n"].sum())
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "n bigint, start bigint, end bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, start, end = self.session.get() if self.session.exists() else (0, None, None)
+        for pdf in rows:
             low, high = int(pdf["first"].min()), int(pdf["last"].max())
+            n += int(pdf["n"].sum())
             start = low if start is None else min(start, low)
             end = high if end is None else max(end, high)
-        state.update((n, start, end))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(key[0], n, start, end, False)], columns=names)
+        self.session.update((n, start, end))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.session.exists():
+            yield pd.DataFrame([(key[0], *self.session.get(), True)], columns=["key", "n", "start", "end", "expired"])
+            self.session.clear()
+
+    def close(self) -> None:
+        pass
 
+
+def idle_sessions(rows: DataFrame, time: str, key: str, idle_ms: int) -> DataFrame:
+    """Sessions of each key, told once, when no row has come for `idle_ms` of processing time.
+
+    The state of a key is one session; it is forgotten when it is told. Rows are
+    counted per Arrow batch before the shuffle. `expired` is always true.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
-        _combine(rows, key)
+        _combine(rows.withColumn("millis", F.unix_millis(time)), key)
         .groupBy("key")
-        .applyInPandasWithState(
-            update,
-            "key string, n bigint, start bigint, end bigint, expired boolean",
-            "n bigint, start bigint, end bigint",
-            "update",
-            GroupStateTimeout.ProcessingTimeTimeout,
+        .transformWithStateInPandas(
+            IdleSession(idle_ms),
+            outputStructType="key string, n bigint, start bigint, end bigint, expired boolean",
+            outputMode="Append",
+            timeMode="ProcessingTime",
         )
     )
 
@@ -117,57 +130,165 @@ def session_end(session: list[tuple[int, bool]], gap_ms: int) -> int:
     return at if closing else at + gap_ms
 
 
-def closing_sessions(events: DataFrame, gap_ms: int) -> DataFrame:
-    """Event-time sessions that a closing event may end early; append mode.
+class Timeline:
+    """Events of a user that are not final yet, in time buckets, and the session they may continue.
 
-    State per user: the events of the sessions not reported yet, because a late
-    closing event can still split one. A session is reported when its end lies
-    before the watermark.
+    `buckets` maps a bucket number to `(times, closings, counts)`, sorted and without
+    repeats, so that a bucket has at most two entries a millisecond; `firsts` maps it to
+    its earliest time. `open` is the session all final events have led to, as (start, last,
+    closed, n), or None. Adding a late event loads its bucket; making events final loads the
+    buckets below the watermark. No access loads all of a user.
     """
 
-    def update(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        pending: list[tuple[int, bool]] = []
-        if state.exists:
-            times, closings = state.get
-            pending = list(zip(times, closings))
-        if not state.hasTimedOut:
-            for pdf in parts:
-                pending += zip(pdf["millis"].tolist(), pdf["closing"].tolist())
-        mark = state.getCurrentWatermarkMs()
-        sessions = split_sessions(pending, gap_ms)
-        done = 0
-        while done < len(sessions) and session_end(sessions[done], gap_ms) < mark:
-            done += 1
-        kept = [e for s in sessions[done:] for e in s]
-        if kept:
-            state.update(([e[0] for e in kept], [e[1] for e in kept]))
-            state.setTimeoutTimestamp(max(session_end(sessions[done], gap_ms), mark + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            [
-                (key[0], s[0][0], session_end(s, gap_ms) - s[0][0], len(s))
-                for s in sessions[:done]
-            ],
-            columns=["user_id", "start_ms", "duration_ms", "n_events"],
-        )
+    def __init__(self, buckets, firsts, open_session: tuple | None, gap_ms: int, bucket_ms: int):
+        self.buckets, self.firsts, self.open = buckets, firsts, open_session
+        self.gap_ms, self.bucket_ms = gap_ms, bucket_ms
+
+    def _store(self, bucket: int, entries: list[tuple[int, bool, int]]) -> None:
+        if entries:
+            self.buckets[bucket] = tuple([e[i] for e in entries] for i in range(3))
+            self.firsts[bucket] = entries[0][0]
+        else:
+            del self.buckets[bucket], self.firsts[bucket]
+
+    def add(self, events: list[tuple[int, bool, int]]) -> None:
+        """Merge (time, closing, count) events into their buckets."""
+        parts: dict[int, dict[tuple[int, bool], int]] = {}
+        for at, closing, n in events:
+            held = parts.setdefault(at // self.bucket_ms, {})
+            held[at, closing] = held.get((at, closing), 0) + n
+        for bucket, held in parts.items():
+            if bucket in self.firsts:
+                for at, closing, n in zip(*self.buckets[bucket], strict=True):
+                    held[at, closing] = held.get((at, closing), 0) + n
+            self._store(bucket, sorted((at, closing, n) for (at, closing), n in held.items()))
+
+    def end(self) -> int:
+        start, last, closed, _ = self.open
+        return last if closed else last + self.gap_ms
+
+    def advance(self, mark: int) -> list[tuple[int, int, int]]:
+        """Make all events before `mark` final; sessions (start, end, events) that end before it."""
+        done = []
+
+        def report() -> None:
+            done.append((self.open[0], self.end(), self.open[3]))
+
+        for bucket in sorted(b for b in self.firsts if self.firsts[b] < mark):
+            entries = list(zip(*self.buckets[bucket], strict=True))
+            for at, closing, n in entries:
+                if at >= mark:
+                    break
+                for size in [1] * n if closing else [n]:  # each closing event ends a session
+                    if self.open and not self.open[2] and self.open[1] + self.gap_ms > at:
+                        self.open = (self.open[0], at, closing, self.open[3] + size)
+                    else:
+                        if self.open:
+                            report()
+                        self.open = (at, at, closing, size)
+            self._store(bucket, [e for e in entries if e[0] >= mark])
+        if self.open and self.end() < mark:
+            report()
+            self.open = None
+        return done
 
+    def next_time(self) -> int | None:
+        """When there is something to do again: a pending event or the end of the open session."""
+        times = [self.firsts[b] for b in self.firsts]
+        if self.open:
+            times.append(self.end())
+        return min(times) + 1 if times else None
+
+
+class _Held:
+    """A state map of one-column keys as a mutable mapping."""
+
+    def __init__(self, state, one: bool):
+        self.state, self.one = state, one
+
+    def __contains__(self, bucket: int) -> bool:
+        return self.state.containsKey((bucket,))
+
+    def __getitem__(self, bucket: int):
+        found = self.state.getValue((bucket,))
+        return found[0] if self.one else tuple(found)
+
+    def __setitem__(self, bucket: int, value) -> None:
+        self.state.updateValue((bucket,), (value,) if self.one else value)
+
+    def __delitem__(self, bucket: int) -> None:
+        self.state.removeKey((bucket,))
+
+    def __iter__(self):
+        return iter([k[0] for k in self.state.keys()])
+
+
+class ClosingSessions(StatefulProcessor):
+    """Sessions of a user's `Timeline`; event-time timers make events final."""
+
+    def __init__(self, gap_ms: int, bucket_ms: int):
+        self.gap_ms, self.bucket_ms = gap_ms, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, last bigint, closed boolean, n bigint")
+        self.buckets = handle.getMapState("buckets", "bucket bigint", "times array<bigint>, closings array<boolean>, counts array<bigint>")
+        self.firsts = handle.getMapState("firsts", "bucket bigint", "first bigint")
+
+    def _run(self, key, events: list[tuple[int, bool, int]], mark: int) -> Iterator[pd.DataFrame]:
+        opened = tuple(self.open.get()) if self.open.exists() else None
+        line = Timeline(_Held(self.buckets, False), _Held(self.firsts, True), opened, self.gap_ms, self.bucket_ms)
+        line.add(events)
+        done = line.advance(mark)
+        if line.open is not None:
+            self.open.update(line.open)
+        elif opened is not None:
+            self.open.clear()
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        at = line.next_time()
+        if at is not None:
+            self.handle.registerTimer(max(at, mark + 1))
+        if done:
+            rows = [(key[0], start, end - start, n) for start, end, n in done]
+            yield pd.DataFrame(rows, columns=["user_id", "start_ms", "duration_ms", "n_events"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = [e for pdf in rows for e in zip(pdf["millis"].tolist(), pdf["closing"].tolist(), pdf["n"].tolist(), strict=True)]
+        yield from self._run(key, events, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._run(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def closing_sessions(events: DataFrame, gap_ms: int, bucket_ms: int = 60_000) -> DataFrame:
+    """Event-time sessions that a closing event may end early; append mode.
+
+    A late event, closing or not, can still split or join sessions until the
+    watermark has passed it. Events wait in buckets of `bucket_ms` of the user's timeline; when
+    the watermark passes them they are folded into the open session, which is reported
+    when its end lies before the watermark. A bucket holds each time once, with counts, so
+    what an access loads is bounded by the width of a bucket and not by the user. `events`
+    needs a watermark on `timestamp`.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return (
         events.select(
             "user_id",
             "timestamp",
             F.unix_millis("timestamp").alias("millis"),
             (F.col("event_type") == CLOSE).alias("closing"),
+            F.lit(1).cast("bigint").alias("n"),
         )
         .groupBy("user_id")
-        .applyInPandasWithState(
-            update,
-            "user_id string, start_ms bigint, duration_ms bigint, n_events bigint",
-            "times array<bigint>, closings array<boolean>",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+        .transformWithStateInPandas(
+            ClosingSessions(gap_ms, bucket_ms),
+            outputStructType="user_id string, start_ms bigint, duration_ms bigint, n_events bigint",
+            outputMode="Append",
+            timeMode="EventTime",
         )
     )
 

@@ -1,5 +1,3 @@
-import time
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,23 +51,103 @@ def test_batch_sessions_match_the_plain_split(spark, bucket):
     assert sorted(tuple(r) for r in found) == sorted(want)
 
 
-def test_idle_sessions_expire(spark, tmp_path):
+def test_idle_sessions_are_told_on_expiry_only(spark, tmp_path):
     folder = str(tmp_path / "in")
     sink = Sink(spark, "t", once=True)
+    at = spark.sql("select timestamp'2024-01-01 00:00:00' as t").first()["t"]
 
-    def run():
-        rows = table_stream(spark, folder)
-        return sink.batches(
-            sessions.idle_sessions(rows, "at", "k", 500), lambda part, batch: part, "update"
-        )
+    def state(idle):
+        return sessions.idle_sessions(table_stream(spark, folder), "at", "k", idle)
 
-    at = spark.sql("select timestamp'2024-01-01 00:00:00' as t").first()["t"]
     feed(spark, folder, [("a", at), ("a", at)], "k string, at timestamp")
-    assert [(r["key"], r["n"], r["expired"]) for r in run().collect()] == [("a", 2, False)]
-    time.sleep(1)
-    feed(spark, folder, [("b", at)], "k string, at timestamp")
-    later = {(r["key"], r["n"], r["expired"]) for r in run().collect()}
-    assert {("a", 2, False), ("b", 1, False), ("a", 2, True)} == later
+    # one batch and a stop: the session is open, nothing is told
+    assert sink.batches(state(600_000), lambda part, batch: part).count() == 0
+    feed(spark, folder, [("a", at), ("b", at)], "k string, at timestamp")
+    # the restarted stream goes on with the stored session and sets shorter timers
+    got = sink.until_idle(state(1500), lambda part, batch: part)
+    assert sorted((r["key"], r["n"], r["expired"]) for r in got.collect()) == [("a", 3, True), ("b", 1, True)]
+    # a key that comes back opens a new session
+    feed(spark, folder, [("a", at)], "k string, at timestamp")
+    got = sink.until_idle(state(1500), lambda part, batch: part)
+    assert sorted((r["key"], r["n"]) for r in got.collect()) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+class Counted(dict):
+    """A state map that tells how many entries were loaded."""
+
+    loaded = 0
+
+    def __getitem__(self, key):
+        found = super().__getitem__(key)
+        self.loaded += len(found[0])
+        return found
+
+
+def test_a_late_event_loads_one_bucket():
+    line = sessions.Timeline(Counted(), {}, None, 5000, 1000)
+    line.add([(t, False, 3) for t in range(0, 1_000_000, 10)])
+    line.buckets.loaded = 0
+    line.add([(500_005, True, 1)])
+    assert line.buckets.loaded == 100
+    line.buckets.loaded = 0
+    # final events: two buckets below the mark
+    assert line.advance(2000) == [] and line.buckets.loaded == 200
+    line.buckets.loaded = 0
+    line.add([(700_000, False, 10**6)])  # a time of a million events is one entry
+    assert line.buckets.loaded == 100
+    assert line.advance(10**9) == [(0, 500_005, 150_004), (500_010, 999_990 + 5000, 149_997 + 10**6)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_timeline_equals_the_plain_split(seed):
+    import random
+
+    rng = random.Random(seed)
+    events = sorted((rng.randrange(40_000), rng.random() < 0.2) for _ in range(rng.randint(1, 120)))
+    want = [(s[0][0], sessions.session_end(s, 1500), len(s)) for s in sessions.split_sessions(events, 1500)]
+    line, got, mark = sessions.Timeline({}, {}, None, 1500, rng.choice([100, 1000, 10**7])), [], 0
+    shuffled = sorted(events, key=lambda e: e[0] + rng.randrange(3000))
+    while shuffled:
+        part, shuffled = shuffled[:7], shuffled[7:]
+        line.add([(*e, 1) for e in part])
+        rest = [e[0] for e in shuffled]
+        mark = max(mark, min(rest, default=10**6))
+        got += line.advance(mark)
+    assert got == want
+    assert line.next_time() is None
+
+
+def test_closing_sessions_over_five_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    folder, sink = str(tmp_path / "in"), Sink(spark, "t")
+    events = sorted((rng.randrange(100_000), rng.choice("ab"), rng.random() < 0.2) for _ in range(200))
+    late = sorted(events, key=lambda e: e[0] + rng.randrange(9000))
+    late.append((10**6, "z", True))  # moves the watermark past everything
+    schema = "ms bigint, user_id string, closing boolean"
+
+    def run():
+        rows = table_stream(spark, folder).selectExpr("user_id", "if(closing, 'CLOSE_SESSION', 'NEW_EVENT') as event_type", "timestamp_millis(ms) as timestamp")
+        return sink.append(sessions.closing_sessions(rows.withWatermark("timestamp", "10 seconds"), 1500, 700))
+
+    for i in range(5):
+        feed(spark, folder, late[41 * i : 41 * i + 41], schema)
+        got = run()
+    found = sorted(tuple(r) for r in got.where("user_id <> 'z'").collect())
+    rows = spark.createDataFrame(events, schema)
+    want = sessions.batch_sessions(rows, "user_id", F.col("ms"), F.col("closing"), 1500)
+    assert found == sorted(tuple(r) for r in want.collect()) and len(found) > 40
+
+
+def test_windows_that_are_open_are_told(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    at = spark.sql("select timestamp'2024-01-01 00:00:30' as t").first()["t"]
+    feed(spark, folder, [("/a", 404, 1, 5, at), ("/a", 200, 1, 6, at), ("/b", 200, 1, 6, at)], clicks.VIEW_SCHEMA)
+    views = table_stream(spark, folder)
+    now = clicks.active_users_now(views, "1 minute", "1 minute", "1 minute", Sink(spark, "t")).collect()
+    assert [r["n_users"] for r in now] == [2]
+    assert Sink(spark, "t").append(clicks.active_users(views, "1 minute", "1 minute", "1 minute")).count() == 0
 
 
 def test_running_totals_with_initial_state_and_restart(spark, tmp_path):
