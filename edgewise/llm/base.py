@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,19 @@ def running_total(parts: DataFrame, order: str, value: str, out: str) -> DataFra
         .join(above, "_group")
         .select(order, (F.col("_above") + F.col("_within")).alias(out))
     )
+
+
+def spans(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items with at most `limit` units each (or one item); `ends` counts units from 0."""
+    low = 0
+    while low < len(ends) - 1:
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + limit, side="right")) - 1)
+        yield low, high
+        low = high
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs `values[start:start + size]` one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
