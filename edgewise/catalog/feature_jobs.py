@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
 from edgewise.catalog.table_jobs import EXCLUDED, _IN_EXCLUDED
-from edgewise.operators import matrix, similarity, stats
+from edgewise.operators import matrix, neighbours, products, similarity, stats
 from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
 
@@ -309,33 +309,105 @@ def formula(t: Tables):
     )
 
 
+def _links(pairs):
+    """Both directions of `(a, b, distance)` from the rows whose id is divisible by 100."""
+    both = pairs.selectExpr("a as query", "b as id", "distance").unionByName(pairs.selectExpr("b as query", "a as id", "distance"))
+    return both.where("query % 100 = 0")
+
+
+def _with_recall(found, got, exact):
+    return found.withColumn("recall", F.lit(round(neighbours.recall(got, exact), 6)))
+
+
 @query("minhash_join")
 def minhash_join(t: Tables):
-    clusters = similarity.near_duplicate_clusters(t.documents, "doc_id", "text", 0.4)
-    return clusters.labels
+    """Clusters of near-copies; `recall` is the share of all links of every hundredth text that the hashes found."""
+    scratch = Scratch(t.spark, "minhash")
+    pairs = scratch.write(similarity.minhash_pairs(t.documents, "doc_id", "text", 0.4)).df
+    clusters = similarity.near_duplicate_clusters(t.documents, "doc_id", "text", 0.4, pairs)
+    originals = similarity.same_text(t.documents, "doc_id", "text").where("src = dst").select(F.col("src").alias("id"))
+    sets = scratch.write(similarity.word_sets(t.documents, "doc_id", "text").join(originals, "id", "left_semi")).df
+    exact = neighbours.Index(sets, neighbours.Jaccard).within(sets.where("id % 100 = 0"), 0.4).where("query <> id")
+    return _with_recall(clusters.labels, _links(pairs), scratch.write(exact).df)
 
 
 @query("minhash_nearest")
 def minhash_nearest(t: Tables):
-    """The five documents nearest to each one whose id is divisible by 100."""
+    """The five documents nearest to each one whose id is divisible by 100, itself among them."""
+    scratch = Scratch(t.spark, "minhash")
     queries = t.documents.where("doc_id % 100 = 0")
-    found = similarity.minhash_nearest_each(t.documents, "doc_id", "text", queries, 5)
-    return found.select("query", "id", F.round("distance", 6).alias("distance"))
+    found = scratch.write(similarity.minhash_nearest_each(t.documents, "doc_id", "text", queries, 5, tables=40)).df
+    sets = similarity.word_sets(t.documents, "doc_id", "text")
+    exact = scratch.write(neighbours.Index(sets, neighbours.Jaccard).nearest(sets.where("id % 100 = 0"), 5)).df
+    return _with_recall(found.select("query", "id", F.round("distance", 6).alias("distance")), found, exact)
 
 
 @query("rp_nearest")
 def rp_nearest(t: Tables):
-    """The five embeddings nearest to each one whose id is divisible by 100."""
-    rows = _vectors(t).select("id", "features")
-    found = similarity.nearest_each(rows, rows.where("id % 100 = 0"), 5, tables=12)
-    return found.select("query", "id", F.round("distance", 6).alias("distance"))
+    """The five embeddings nearest to each one whose id is divisible by 100, itself among them."""
+    scratch, rows = Scratch(t.spark, "projection"), _vectors(t).select("id", "features")
+    found = scratch.write(similarity.nearest_each(rows, rows.where("id % 100 = 0"), 5, tables=12)).df
+    exact = scratch.write(_nearest_vectors(t)).df
+    return _with_recall(found.select("query", "id", F.round("distance", 6).alias("distance")), found, exact)
 
 
 @query("rp_lsh_join")
 def rp_lsh_join(t: Tables):
-    return similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=2.0, tables=12).select(
-        "a", "b", F.round("distance", 6).alias("distance")
-    )
+    scratch = Scratch(t.spark, "projection")
+    pairs = scratch.write(similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=2.0, tables=12)).df
+    rows = _plain_vectors(t)
+    exact = scratch.write(neighbours.Index(rows).within(rows.where("id % 100 = 0"), 1.2).where("query <> id")).df
+    return _with_recall(pairs.select("a", "b", F.round("distance", 6).alias("distance")), _links(pairs), exact)
+
+
+def _plain_vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _nearest_vectors(t: Tables):
+    rows = _plain_vectors(t)
+    return neighbours.Index(rows).nearest(rows.where("id % 100 = 0"), 5)
+
+
+@query(
+    "exact_nearest",
+    """with r as (select vec_id as id, embedding::double[] as x from embeddings),
+       d as (select a.id as query, b.id, list_distance(a.x, b.x) as distance from r a, r b where a.id % 100 = 0)
+       select query, id, round(distance, 6) as distance from d
+       qualify row_number() over (partition by query order by distance, id) <= 5""",
+)
+def exact_nearest(t: Tables):
+    """The five embeddings nearest to each one whose id is divisible by 100, exactly."""
+    return _nearest_vectors(t).select("query", "id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "exact_nearest_texts",
+    """with r as (select doc_id as id, list_distinct(string_split(text, ' ')) as x from documents),
+       d as (select a.id as query, b.id, len(list_intersect(a.x, b.x)) as n, len(a.x) + len(b.x) as m from r a, r b where a.id % 100 = 0)
+       select query, id, round(1 - n / (m - n), 6) as distance from d
+       qualify row_number() over (partition by query order by 1 - n / (m - n), id) <= 5""",
+)
+def exact_nearest_texts(t: Tables):
+    """The five documents with the most similar sets of words, exactly."""
+    words = F.array_distinct(F.split("text", " "))
+    sets = t.documents.select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("x"))
+    found = neighbours.Index(sets, neighbours.Jaccard).nearest(sets.where("id % 100 = 0"), 5)
+    return found.select("query", "id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "largest_products",
+    """with r as (select vec_id as id, embedding::double[] as x from embeddings),
+       d as (select a.id as user, b.id as item, list_dot_product(a.x, b.x) as product from r a, r b where a.id % 100 = 0)
+       select user, item, round(product, 6) as product from d
+       qualify row_number() over (partition by user order by product desc, item) <= 5""",
+)
+def largest_products(t: Tables):
+    """The five embeddings of the largest inner product with each one whose id is divisible by 100."""
+    rows = _plain_vectors(t)
+    found = products.largest_products(rows.where("id % 100 = 0"), rows, 5)
+    return found.select("user", "item", F.round("product", 6).alias("product"))
 
 
 _COSINE = """with x as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings),

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
+from edgewise.operators.products import largest_products
 from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
 
@@ -231,8 +232,8 @@ def recommend(t: Tables):
         userCol="user", itemCol="item", ratingCol="rating", rank=4, maxIter=5, seed=1,
         coldStartStrategy="drop",
     ).fit(ratings)
-    top = model.recommendForAllUsers(3)
-    listed = top.select("user", F.explode("recommendations").alias("r")).selectExpr("user", "r.item as item", "round(r.rating, 3) as rating")
+    factors = (f.select("id", F.col("features").alias("x")) for f in (model.userFactors, model.itemFactors))
+    listed = largest_products(*factors, 3).select("user", "item", F.round(F.col("product").cast("float"), 3).alias("rating"))
     return listed.join(users, "user").join(items, "item").selectExpr("o_custkey as user", "l_suppkey as item", "rating")
 
 
