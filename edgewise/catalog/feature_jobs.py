@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import feature as ml
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import ChiSquareTest, Correlation, KolmogorovSmirnovTest, Summarizer
@@ -538,6 +540,47 @@ def sample_strata(t: Tables):
     )
 
 
+_FRACTIONS = {"view": 0.13, "click": 0.5, "error": 0.001}
+_POISSON = [sum(math.exp(-0.8) * 0.8**j / math.factorial(j) for j in range(i + 1)) for i in range(11)]
+
+
+@query(
+    "sample_exact",
+    f"""select event_id, event_type from (
+          select event_id, event_type, row_number() over (partition by event_type order by {_SHARE}, event_id) as r,
+                 count(*) over (partition by event_type) as n from events)
+        where r <= ceil(round(n * case event_type {" ".join(f"when '{k}' then {v}" for k, v in _FRACTIONS.items())} else 0 end, 9))""",
+)
+def sample_exact(t: Tables):
+    return stats.sample_exact(t.events.select("event_id", "event_type"), "event_type", _FRACTIONS, ["event_id"], 7)
+
+
+@query(
+    "sample_replace",
+    f"""select event_id, unnest(range(1, n + 1))::integer as copy from (
+          select event_id, {" + ".join(f"({_SHARE} >= {x}::double)::integer" for x in _POISSON)} as n from events)""",
+)
+def sample_replace(t: Tables):
+    """Poisson counts of rate 0.8; the SQL has the distribution's levels spelled out."""
+    return stats.sample_with_replacement(t.events.select("event_id"), 0.8, ["event_id"], 7)
+
+
+@query(
+    "curve_areas",
+    """with s as (select round(l_quantity) as score, count(*) filter (l_linestatus = 'O') as p, count(*) filter (l_linestatus <> 'O') as n
+                  from lineitem group by 1),
+       c as (select score, sum(p) over w as tp, sum(n) over w as fp from s window w as (order by score desc)),
+       d as (select *, coalesce(lag(tp) over w, 0) as tp0, coalesce(lag(fp) over w, 0) as fp0, tp / (tp + fp) as prec,
+                    coalesce(lag(tp / (tp + fp)) over w, tp / (tp + fp)) as prec0 from c window w as (order by score desc))
+       select round(sum((fp - fp0) * (tp + tp0) / 2) / (max(tp) * max(fp)), 6) as area_roc,
+              round(sum((tp - tp0) * (prec + prec0) / 2) / max(tp), 6) as area_pr from d""",
+)
+def curve_areas(t: Tables):
+    """How well the quantity tells open lines; whole quantities, so most scores are ties."""
+    rows = t.lineitem.selectExpr("round(l_quantity) as score", "l_linestatus = 'O' as y")
+    return stats.curve_areas(rows, "score", "y").select(F.round("area_roc", 6).alias("area_roc"), F.round("area_pr", 6).alias("area_pr"))
+
+
 @query(
     "vector_parquet",
     """select i::integer as i, round(avg(v), 6) as mean from (

@@ -62,6 +62,61 @@ def average_ranks(rows: DataFrame, column: str, scratch: Scratch) -> DataFrame:
     return numbered.select(column, "n", (F.col("_before") + F.col("_within") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def running_by_score(counts: DataFrame, score: str, sums: Sequence[str], scratch: Scratch) -> DataFrame:
+    """`counts` (one row a score) with `<sum>_before`: the sums over all rows of higher score.
+
+    Rows are sorted into ranges of the score; a task adds up its range, and one row per range
+    tells the others what lies above them.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, F.desc(score)).withColumn("_part", F.spark_partition_id())
+    values = scratch.write(ranged).df
+    before, at = [], [0.0] * len(sums)
+    for row in sorted(values.groupBy("_part").agg(*[F.sum(c).cast("double").alias(c) for c in sums]).collect()):
+        before.append((row["_part"], *at))
+        at = [x + row[c] for x, c in zip(at, sums, strict=True)]
+    shift = counts.sparkSession.createDataFrame(before, "_part int, " + ", ".join(f"`_{c}` double" for c in sums))
+    inside = Window.partitionBy("_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    out = values.join(F.broadcast(shift), "_part")
+    for c in sums:
+        out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(inside).cast("double"), F.lit(0.0)) + F.col(f"_{c}"))
+    return out.drop("_part", *[f"_{c}" for c in sums])
+
+
+def threshold_curve(rows: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
+    """`(score, tp, fp, tp_before, fp_before)`: hits and false alarms at and above each distinct score, and above it.
+
+    `label` is boolean; rows without a score or label are left out. Equal scores are one point.
+    """
+    known = rows.select(F.col(score).cast("double").alias("score"), F.col(label).alias("_y")).na.drop().where(~F.isnan("score"))
+    counts = known.groupBy("score").agg(F.count_if("_y").alias("p"), F.count_if(~F.col("_y")).alias("n"))
+    curve = running_by_score(counts, "score", ["p", "n"], scratch)
+    return curve.select(
+        "score", (F.col("p_before") + F.col("p")).alias("tp"), (F.col("n_before") + F.col("n")).alias("fp"), F.col("p_before").alias("tp_before"), F.col("n_before").alias("fp_before")
+    )
+
+
+def curve_areas(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """Areas under the ROC and the precision-recall curve, by trapezoids, in one row.
+
+    Every point knows the one before it, over range borders too. The precision-recall curve
+    starts at recall 0 with the precision of its first point. An area without both
+    classes (ROC) or without positives (PR) is null.
+    """
+    curve = threshold_curve(rows, score, label, Scratch(rows.sparkSession, "curve"))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    above = F.col("tp_before") + F.col("fp_before")
+    earlier = F.when(above > 0, F.col("tp_before") / above).otherwise(precision)
+    step = F.col("tp") - F.col("tp_before")
+    totals = curve.agg(
+        F.sum((F.col("fp") - F.col("fp_before")) * (F.col("tp") + F.col("tp_before")) / 2).alias("roc"),
+        F.sum(step * (precision + earlier) / 2).alias("pr"),
+        F.max("tp").alias("p"),
+        F.max("fp").alias("n"),
+    )
+    return totals.selectExpr("roc / nullif(p * n, 0) as area_roc", "pr / nullif(p, 0) as area_pr")
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rank correlation of two columns, in one row; pairs with a null are left out."""
     scratch = Scratch(rows.sparkSession, "spearman")
@@ -108,6 +163,58 @@ def sample_fixed(rows: DataFrame, k: int, key: Sequence[str], seed: int = 0) ->
     return ordered.drop("_share")
 
 
+def sample_exact(
+    rows: DataFrame, stratum: str, fractions: dict[str, float], key: Sequence[str], seed: int = 0
+) -> DataFrame:
+    """Exactly ceil(fraction * size) rows of each stratum: those with the smallest hashes, the same in every run.
+
+    A row below the lower of two thresholds is in, one above the higher is out; the thresholds
+    lie so close around the wanted size that only a short waiting list between them is
+    ordered. Should they miss, they are moved apart. Strata without a fraction give no row;
+    `key` must tell rows apart.
+    """
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "strata")
+    kind = dict(rows.dtypes)[stratum]
+    listed = spark.createDataFrame([(k, float(v)) for k, v in fractions.items() if v > 0], f"`{stratum}` {kind}, _fraction double")
+    drawn = rows.join(F.broadcast(listed), stratum).withColumn("_share", share(key, seed))
+    width = 5.0
+    while True:
+        # the number below a threshold t is n * t, give or take `width` deviations
+        sizes = rows.join(F.broadcast(listed), stratum).groupBy(stratum, "_fraction").agg(F.count(F.lit(1)).alias("n"))
+        want = F.ceil(F.round(F.col("_fraction") * F.col("n"), 9))
+        spread = F.lit(width) * F.sqrt(F.greatest(F.col("_fraction") * F.col("n"), F.lit(1.0))) / F.col("n")
+        limits = sizes.select(stratum, want.alias("_want"), (want / F.col("n") - spread).alias("_low"), (want / F.col("n") + spread).alias("_high"))
+        marked = drawn.join(F.broadcast(limits), stratum)
+        below = marked.groupBy(stratum).agg(
+            F.first("_want").alias("_want"), F.count_if(F.col("_share") < F.col("_low")).alias("_in"), F.count_if(F.col("_share") < F.col("_high")).alias("_near")
+        )
+        counted = scratch.write(below).df  # a row a stratum
+        if counted.where("_in > _want or _near < _want").isEmpty():
+            break
+        width *= 4
+    taken = marked.where(F.col("_share") < F.col("_low"))
+    order = Window.partitionBy(stratum).orderBy("_share", *key)
+    waiting = marked.where((F.col("_share") >= F.col("_low")) & (F.col("_share") < F.col("_high"))).withColumn("_r", F.row_number().over(order))
+    more = waiting.join(F.broadcast(counted.select(stratum, (F.col("_want") - F.col("_in")).alias("_more"))), stratum).where(F.col("_r") <= F.col("_more"))
+    return taken.select(*rows.columns).unionByName(more.select(*rows.columns))
+
+
+def sample_with_replacement(rows: DataFrame, rate: float, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """Each row a Poisson number of times, `rate` on average, with `copy` from 1; the same in every run.
+
+    The number is read off the distribution at the row's hash, so a rerun of a task draws the
+    same, and no row waits for another.
+    """
+    levels, term, total = [], math.exp(-rate), 0.0
+    while total + term < 1 - 2.0**-33 and len(levels) < 1000:
+        total += term
+        levels.append(total)
+        term *= rate / len(levels)
+    times = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda level: level <= F.col("_share")))
+    drawn = rows.withColumn("_share", share(key, seed)).withColumn("_n", times).where("_n > 0")
+    return drawn.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+
+
 def binary_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of two boolean columns."""
     y, p = F.col(label), F.col(predicted)
