@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
+from edgewise.operators import isotonic
 from edgewise.operators.products import largest_products
 from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
@@ -191,11 +192,27 @@ def survival_isotonic(t: Tables):
     rows = _lines(t).withColumn("censor", F.col("label"))
     aft = rg.AFTSurvivalRegression(labelCol="price", censorCol="censor")
     scored = _scores(t, rows, {"aft": (aft, "rmse", _rmse())})
-    # equal quantities are one weighted point: the fit is the same, and no value fills a task
-    points = rows.groupBy("l_quantity").agg(F.avg("price").alias("price"), F.count(F.lit(1)).cast("double").alias("w"))
-    isotonic = rg.IsotonicRegression(labelCol="price", featuresCol="l_quantity", weightCol="w").fit(points)
-    fitted = [("isotonic", "rmse", float(_rmse().evaluate(isotonic.transform(rows))))]
-    return scored.unionByName(t.spark.createDataFrame(fitted, _RESULT))
+    points = rows.selectExpr("l_quantity as x", "price as y", "1.0D as w")
+    curve = isotonic.fitted(points, isotonic.isotonic(points))
+    # one row a quantity
+    rated = rows.join(F.broadcast(curve), rows.l_quantity == curve.x)
+    rmse = rated.agg(F.sqrt(F.avg(F.pow(F.col("price") - F.col("fitted"), 2)))).first()[0]
+    return scored.unionByName(t.spark.createDataFrame([("isotonic", "rmse", rmse)], _RESULT))
+
+
+@query(
+    "isotonic",
+    """with p as (select l_quantity::double as x, avg(sin(l_orderkey) * l_quantity) as y, count(*) as w from lineitem group by 1),
+       c as (select *, row_number() over (order by x) as i, sum(w) over (order by x) as cw, sum(w * y) over (order by x) as cs from p),
+       seg as (select a.i as a, b.i as b, (b.cs - a.cs + a.w * a.y) / (b.cw - a.cw + a.w) as m from c a join c b on a.i <= b.i),
+       low as (select c.i, seg.a, min(seg.m) as m from c join seg on seg.a <= c.i and seg.b >= c.i group by c.i, seg.a)
+       select x, round(max(m), 6) as fitted from low join c using (i) group by x""",
+)
+def isotonic_fit(t: Tables):
+    """Best rising curve of a noisy figure over quantity; the SQL takes the largest smallest mean around each point."""
+    points = t.lineitem.selectExpr("double(l_quantity) as x", "sin(l_orderkey) * l_quantity as y", "1.0D as w")
+    blocks = isotonic.isotonic(points, chunk=8)
+    return isotonic.fitted(points, blocks).select("x", F.round("fitted", 6).alias("fitted"))
 
 
 @query("cluster")
