@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -68,3 +68,42 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+class Known:
+    """Ids of strings that a worker has met, as columns: about 25 bytes a string.
+
+    When the columns outgrow `limit` bytes, the strings of the present batch stay.
+    """
+
+    def __init__(self, kind: str, limit: int = 24 << 20):
+        import pyarrow as pa
+
+        self.limit = limit
+        self.names = pa.array([], pa.string())
+        self.flat, self.sizes = np.empty(0, kind), np.empty(0, np.int32)
+
+    def ids(self, words, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], step: int = 20_000):
+        """Ids of all strings so far in a row, with the place and number of those of each of the distinct `words`.
+
+        `encode` gives the ids of new strings in a row, and how many each has; it gets `step` at most.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(words, value_set=self.names)
+        new = words.filter(found.is_null())
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.names) + np.arange(len(new))
+        flat, sizes = [self.flat], [self.sizes]
+        for low in range(0, len(new), step):
+            own, each = encode(new.slice(low, step).to_pylist())
+            flat.append(own.astype(self.flat.dtype, copy=False))
+            sizes.append(each.astype(np.int32))
+        self.names = pa.concat_arrays([self.names, new])
+        self.flat, self.sizes = np.concatenate(flat), np.concatenate(sizes)
+        starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        out = self.flat, starts[at], self.sizes[at].astype(np.int64)
+        if (pc.sum(pc.binary_length(self.names)).as_py() or 0) + 8 * len(self.names) + self.flat.nbytes > self.limit:
+            self.names, self.flat, self.sizes = words, gathered(*out), self.sizes[at]
+        return out

@@ -22,18 +22,21 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.llm.base import running_total, text_parts, worker_cache
+from edgewise.llm.base import Known, gathered, running_total, spans, text_parts, worker_cache
 from edgewise.plans.scratch import Scratch
 
 MASK = 0xA282EAD8
-#: Cached pieces per worker, in two generations: a piece met again in time is not encoded again.
-MAX_PIECES = 600_000
+#: Bytes of text whose distinct pieces are worked out together; a longer text is a batch alone.
+BATCH_BYTES = 8 << 20
+#: Records per batch that is handed on.
+WRITTEN = 512
 #: White space as the vocabulary's own splitter sees it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 OTHER = [c for c in SPACE if c not in " \n"]  # the first four are ASCII
@@ -67,48 +70,78 @@ def unframe(data, at: int) -> tuple[int | None, np.ndarray, int]:
     return None if flags & 1 else doc_id, ids, at + 8 + length + 5
 
 
-class Pieces(dict):
-    """Ids of white-space delimited pieces as bytes, encoded when first met.
+class Pieces:
+    """Ids of texts, put together from the ids of their white-space delimited pieces.
 
     The vocabulary's splitter always breaks between a visible character and white
     space, and what it does after the break depends on the following characters
-    only. Pieces can therefore be encoded one by one and joined.
+    only. Pieces can therefore be encoded one by one and joined. Each distinct piece of a
+    batch is encoded once, and not at all if it is still known from an earlier one.
     """
 
     slow = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.kind, self.old = tokenizer, kind, {}
-        self.code = "H" if kind == "<u2" else "I"
-
-    def raw(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            # a piece without its own line feed had a space before it
-            ids = self.raw(piece if piece[:1] == "\n" else " " + piece)
-        self[piece] = ids
-        return ids
+    def __init__(self, tokenizer, kind: str, known: Known | None = None):
+        self.tokenizer, self.kind = tokenizer, kind
+        self.known = known or Known(kind)
+
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())), sizes
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a piece without its own line feed had a space before it
+        return self.ids_of([w if w[:1] == "\n" else " " + w for w in words])
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether white space stands alone between visible characters, so that cutting at it is enough."""
+        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[-1] in SPACE or text[0] in SPACE:
+            return False
+        return not any(c + " " in text or c + "\n" in text for c in (OTHER[:4] if text.isascii() else OTHER))
+
+    def encode_all(self, texts) -> Iterator[np.ndarray]:
+        """Ids of each text of an Arrow string array without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain, held, ends = [], [], [0]  # other texts: their pieces by number, and where each text ends
+        own: dict[str, int] = {}
+        for text in texts:
+            text = text.as_py()
+            plain.append(bool(text) and self.plain(text))
+            if not plain[-1]:
+                # runs of white space: each piece with all of the run before it
+                held.extend(own.setdefault(p, len(own)) for p in self.slow.findall(text))
+            ends.append(len(held))
+        simple = texts.filter(pa.array(plain, pa.bool_()))
+        lists = pc.split_pattern(pc.replace_substring(simple, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        first = cuts[:-1]
+        flat, starts, sizes = self.known.ids(coded.dictionary, self._words)
+        # the piece that opens a text has nothing before it
+        opening = coded.dictionary.take(pa.array(codes[first])).to_pylist()
+        codes[first] = len(sizes) + np.arange(len(first))
+        others = np.array(held, np.int64) + len(sizes) + len(opening)
+        more, more_sizes = self.ids_of(opening + list(own))
+        starts = np.concatenate([starts, len(flat) + np.cumsum(more_sizes) - more_sizes])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
+        at = 0
+        for i, whole in enumerate(plain):
+            if whole:
+                chosen, at = codes[cuts[at] : cuts[at + 1]], at + 1
+            else:
+                chosen = others[ends[i] : ends[i + 1]]
+            yield gathered(flat, starts[chosen], sizes[chosen])
 
     def encode(self, text: str) -> bytes:
-        if len(self) > MAX_PIECES // 2:
-            self.old = dict(self)
-            self.clear()
-        if not text:
-            return b""
-        plain = not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and text[-1] not in SPACE and text[0] not in SPACE
-        if plain and not any(c + " " in text or c + "\n" in text for c in (OTHER[:4] if text.isascii() else OTHER)):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return self.raw(first) + b"".join(map(self.__getitem__, rest))
-        # runs of white space: each piece with all of the run before it
-        out = []
-        for piece in self.slow.findall(text):
-            out.append(self[piece[1:]] if piece[0] == " " and piece[1:2] != "\n" else self.raw(piece))
-        return b"".join(out)
+        import pyarrow as pa
+
+        return next(self.encode_all(pa.array([text], pa.string()))).tobytes()
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, parts: int | None = None) -> None:
@@ -122,26 +155,39 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, part
         "doc_id", "_tie", "text"
     )
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator) -> Iterator:
+        import os
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         held = worker_cache("pieces")
         if vocabulary not in held:
             from tokenizers import Tokenizer
 
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
             tokenizer = Tokenizer.from_file(vocabulary)
             size = max(tokenizer.get_vocab_size(), end_id + 1)
-            held[vocabulary] = Pieces(tokenizer, "<u2" if size <= 1 << 16 else "<u4")
-        pieces = held[vocabulary]
+            kind = "<u2" if size <= 1 << 16 else "<u4"
+            held[vocabulary] = tokenizer, kind, Known(kind)
+        pieces = Pieces(*held[vocabulary])
         wide = pieces.kind == "<u4"
         end = np.array([end_id], pieces.kind).tobytes()
         for batch in batches:
-            rows = [
-                frame(None if pd.isna(d) else int(d), pieces.encode(t if isinstance(t, str) else "") + end, wide)
-                for d, t in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True)
-            ]
-            yield pd.DataFrame({"frame": rows})
+            texts = pc.fill_null(batch.column("text"), "")
+            names = batch.column("doc_id").to_pylist()
+            for low, high in spans(np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]), BATCH_BYTES):
+                ids = pieces.encode_all(texts.slice(low, high - low))
+                frames: list[bytes] = []
+                for name, own in zip(names[low:high], ids, strict=True):
+                    frames.append(frame(name, own.tobytes() + end, wide))
+                    if len(frames) == WRITTEN:
+                        yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                        frames = []
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     # the text writer puts out the bytes of a string as they are, and the line feed of the frame
-    frames = ordered.select("doc_id", "text").mapInPandas(encode, "frame binary")
+    frames = ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "frame binary")
     frames.select(F.expr("substring(frame, 1, length(frame) - 1)").cast("string").alias("value")).write.text(path)
 
 
