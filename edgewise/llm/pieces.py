@@ -5,24 +5,27 @@ a word is the sequence of vocabulary pieces with the largest sum of scores;
 characters outside the vocabulary cost their UTF-8 bytes. The best score of a
 prefix depends on the prefix alone. So the distinct words of a block are sorted,
 which is the depth-first order of their trie, and each word takes over the
-scores up to the branch where it leaves the word before. Words met before come from
-a cache of bounded size. Nothing is shuffled.
+scores up to the branch where it leaves the word before. Words that the worker still
+knows from an earlier block are not walked again. The ids of texts are then gathered by word
+number. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.llm.base import worker_cache
+from edgewise.llm.base import Known, gathered, spans, worker_cache
 
 MARK = "▁"
-#: Cached words per worker before the cache starts afresh.
-MAX_WORDS = 400_000
+#: Bytes of text whose distinct words are encoded together; a longer text is a block alone.
+BATCH_BYTES = 8 << 20
+#: Words or ids that are put together at a time.
+GATHERED = 1 << 18
 #: A byte costs this much more than the worst piece.
 BYTE_COST = 10.0
 
@@ -128,22 +131,51 @@ def decode_ids(vocabulary: Vocabulary, ids) -> str:
 
 
 class _Coder:
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.words = vocabulary, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; the words are looked up as bytes and joined."""
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
-        parts = [t.split(" ") if t else [] for t in texts]
-        missing = set().union(*parts).difference(self.words)
-        found = encode_words(self.vocabulary, [MARK + w for w in missing])
-        self.words.update((w[1:], np.array(ids, "<i4").tobytes()) for w, ids in found.items())
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
+    """Encodes and decodes batches."""
 
-    def decode(self, ids: np.ndarray) -> str:
-        return decode_ids(self.vocabulary, ids.tolist())
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.known = vocabulary, Known("<i4")
+        # the bytes of all pieces in a row, by id
+        spelled = [vocabulary.text.get(i, b"") for i in range(max(vocabulary.text) + 1)]
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of blocks of texts (an Arrow array without nulls) in a row, and how many each text has."""
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        flat, starts, sizes = self.known.ids(coded.dictionary, self._words, len(coded.dictionary) or 1)
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        empty = pc.binary_length(texts).to_numpy() == 0
+        for low, high in spans(cuts, GATHERED):
+            chosen = codes[cuts[low] : cuts[high]]
+            own = sizes[chosen]
+            each = np.add.reduceat(own, cuts[low:high] - cuts[low])
+            # an empty text has one empty word, but no ids
+            own[(cuts[low:high] - cuts[low])[empty[low:high]]] = 0
+            each[empty[low:high]] = 0
+            yield gathered(flat, starts[chosen], own), each
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        marked = [MARK + w for w in words]
+        found = encode_words(self.vocabulary, marked)
+        sizes = np.fromiter((len(found[w]) for w in marked), np.int64, len(marked))
+        return np.fromiter(chain.from_iterable(map(found.__getitem__, marked)), np.int32, int(sizes.sum())), sizes
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts in a row, and how many each has; a leading space is the mark of the first word."""
+        sizes = self.sizes[ids]
+        out = gathered(self.bytes, self.starts[ids], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        lengths = np.diff(ends)
+        marked = np.flatnonzero(lengths)
+        marked = marked[out[ends[marked]] == 32]
+        lengths[marked] -= 1
+        return np.delete(out, ends[marked]), lengths
 
 
 def _coder(path: str) -> _Coder:
@@ -153,6 +185,10 @@ def _coder(path: str) -> _Coder:
     return held[path]
 
 
+def _ends(counts) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` with `ids`, the piece ids of `text`, and `n_ids`.
 
@@ -163,18 +199,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         coder = _coder(path)
         for batch in batches:
-            for low in range(0, max(1, batch.num_rows), 256):
-                part = batch.slice(low, 256)
-                texts = part.column("text").to_pylist()
-                ids = coder.encode([t or "" for t in texts])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate([np.empty(0, "<i4"), *ids]), pa.int32())
-                mask = pa.array([t is None for t in texts], pa.bool_())
-                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
+            texts = pc.fill_null(batch.column("text"), "")
+            for low, high in spans(np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]), BATCH_BYTES):
+                for flat, counts in coder.encode(texts.slice(low, high - low)):
+                    part = batch.slice(low, len(counts))
+                    low += len(counts)
+                    missing = part.column("text").is_null()
+                    lists = pa.ListArray.from_arrays(pa.array(_ends(counts)), pa.array(flat), mask=missing)
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
+            if not batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
     return kept.mapInArrow(run, schema).withColumn("n_ids", F.size("ids"))
 
@@ -189,19 +227,22 @@ def decode(rows: DataFrame, path: str, into: str = "decoded") -> DataFrame:
 
         coder = _coder(path)
         for batch in batches:
-            texts = [None if i is None else coder.decode(i) for i in _lists(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            counts = batch.column("ids").value_lengths().fill_null(0).to_numpy()
+            for low, high in spans(np.concatenate([[0], np.cumsum(counts)]), GATHERED):
+                part = batch.slice(low, high - low)
+                column = part.column("ids")
+                # flatten() leaves out what null rows hold
+                data, sizes = coder.decode(column.flatten().to_numpy(), counts[low:high])
+                blank = pa.array(np.packbits(column.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+                texts = pa.StringArray.from_buffers(
+                    len(sizes), pa.py_buffer(_ends(sizes)), pa.py_buffer(data), blank.buffers()[1]
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*batch.schema.names, into])
+            if not batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([], pa.string())], [*batch.schema.names, into])
 
     return kept.mapInArrow(run, schema)
 
 
-def _lists(column):
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
-    for valid, a, b in zip(column.is_valid().to_pylist(), ends - sizes, ends, strict=True):
-        yield values[a:b] if valid else None
-
-
 def _ddl(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
