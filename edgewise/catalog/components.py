@@ -148,6 +148,11 @@ def cc_minlabel(t: Tables):
     return C.connected_components(G.places(t), "minlabel").labels
 
 
+@query("cc_grid", labels_sql(G.PLACES_SQL))
+def cc_grid(t: Tables):
+    return C.connected_components(G.places(t), "minlabel", layout="2d").labels
+
+
 @query("cc_selfmsg", labels_sql(G.ORDER_SUPPLIER_SQL))
 def cc_selfmsg(t: Tables):
     return C.connected_components(G.order_supplier(t), "selfmsg").labels

@@ -57,6 +57,16 @@ def pagerank_iter(t: Tables):
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
+@query(
+    "pagerank_grid",
+    f"select node, round(rank, 6) as rank from ({pagerank_sql(G.FLOW_SQL, ROUNDS, True)})",
+)
+def pagerank_grid(t: Tables):
+    """The edges lie in a grid of cells; a rank goes to the cells that hold an edge of its node."""
+    ranks = rank.pagerank(G.flow(t).select("src", "dst"), ROUNDS, layout="2d").state
+    return ranks.select("node", F.round("rank", 6).alias("rank"))
+
+
 @query("pagerank_tol", PAGERANK_TOL_SQL)
 def pagerank_tol(t: Tables):
     ranks = rank.pagerank(E.symmetric(G.trade(t)), rounds=None, tol=_TOL).state

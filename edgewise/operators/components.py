@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from edgewise.operators import edges as E
 from edgewise.plans.fixpoint import LoopResult, iterate
+from edgewise.plans.grid import GridRows
 from edgewise.plans.scratch import Scratch, Table
 from edgewise.plans.skew import MIN_HOT_ROWS, KeyedRows, distinct_with_low
 
@@ -50,9 +51,12 @@ def connected_components(
     max_iters: int | None = None,
     vertices: DataFrame | None = None,
     by: Sequence[str] = (),
+    layout: str = "1d",
 ) -> ComponentsResult:
     """Components of `edges(src, dst)`, per graph if `by` names key columns.
 
+    `layout="2d"` lets `minlabel` send its labels over edges in a grid of cells.
+
     Ends that are null are dropped. `vertices(node)` adds nodes without edges.
     Runs until nothing changes. With `max_iters` it stops after so many rounds; a
     result that is not final then is flagged `converged=False` and still holds one
@@ -70,7 +74,12 @@ def connected_components(
         "minlabel": _minlabel,
         "selfmsg": _selfmsg,
     }[algorithm]
-    loop = run(scratch, simple, by, max_iters)
+    if layout == "2d":
+        if algorithm != "minlabel":
+            raise ValueError(f"{algorithm} has no grid layout")
+        loop = _minlabel(scratch, simple, by, max_iters, grid=True)
+    else:
+        loop = run(scratch, simple, by, max_iters)
     # no algorithm loses a node with an edge to another one, so the node list comes
     # from the small final state and not from a second pass over all edges
     own = loop.state.selectExpr(*by, "component as node").unionByName(
@@ -220,19 +229,23 @@ def _hooking(scratch: Scratch, simple: Table, by: list[str], max_iters: int | No
             held.pop().drop()
 
 
-def _minlabel(scratch: Scratch, simple: Table, by: list[str], max_iters: int | None) -> LoopResult:
+def _minlabel(
+    scratch: Scratch, simple: Table, by: list[str], max_iters: int | None, grid: bool = False
+) -> LoopResult:
     """Smallest label of the neighbours, then the smaller of that and the own one."""
-    edges = _neighbours(simple, by, 2 * _count(simple))
+    if grid:
+        edges = GridRows(E.symmetric(simple.df.where("src <> dst"), by).selectExpr(*by, "src as node", "dst as to"), [*by, "node"])
+    else:
+        edges = _neighbours(simple, by, 2 * _count(simple))
     start = _labels(scratch, simple, by)
 
     def step(state: DataFrame, n: int) -> DataFrame:
         # a neighbour whose label did not move has nothing new to say
         moved = state.where("changed").select(*by, "node", "component")
-        around = (
-            edges.join(moved)
-            .groupBy(*by, F.col("to").alias("node"))
-            .agg(F.min("component").alias("offer"))
-        )
+        if grid:
+            around = edges.send(moved, "component", F.min, "offer")
+        else:
+            around = edges.join(moved).groupBy(*by, F.col("to").alias("node")).agg(F.min("component").alias("offer"))
         return (
             state.select(*by, "node", "component")
             .join(around, [*by, "node"], "left")
