@@ -19,7 +19,7 @@ def exchanges(df):
         for i in range(node.children().size()):
             yield from walk(node.children().apply(i))
 
-    return [x.partition("#")[0] for x in walk(df._jdf.queryExecution().executedPlan().inputPlan())]
+    return [x.partition("#")[0] for x in walk(df._jdf.queryExecution().executedPlan().initialPlan())]
 
 
 def hubs(spark):
