@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
 from edgewise.catalog.table_jobs import EXCLUDED, _IN_EXCLUDED
-from edgewise.operators import matrix, neighbours, products, similarity, stats
+from edgewise.operators import factors, matrix, neighbours, products, similarity, stats
 from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
 
@@ -271,11 +271,39 @@ def pca_svd(t: Tables):
     """Leading singular values, and the variance the leading components explain."""
     rows = _vectors(t)
     explained = ml.PCA(k=4, inputCol="features", outputCol="p").fit(rows).explainedVariance
-    values, _ = matrix.singular_values(t.embeddings, "embedding", 4)
+    values = factors.svd(_plain_vectors(t), 4, extra=60).values  # as wide as the vectors, so exact
     out = [(i, round(float(v), 4), round(float(explained[i]), 6)) for i, v in enumerate(values)]
     return t.spark.createDataFrame(out, "component int, singular double, explained double")
 
 
+@query(
+    "svd_product",
+    """select vec_id as id, generate_subscripts(embedding, 1)::integer - 1 as j,
+              round(unnest(embedding)::double, 5) + 0.0 as value from embeddings""",
+)
+def svd_product(t: Tables):
+    """The vectors put together again from all their factors."""
+    found = factors.svd(_plain_vectors(t), 64)
+    scaled = found.right.select("j", F.zip_with("v", F.array(*[F.lit(float(x)) for x in found.values]), lambda a, b: a * b).alias("v"))
+    # 64 rows of 64 numbers
+    pairs = found.left.join(F.broadcast(scaled))
+    value = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return pairs.select("id", "j", (F.round(value, 5) + 0.0).alias("value"))
+
+
+@query(
+    "svd_orthonormal",
+    """select i::integer as i, j::integer as j, case when i = j then 1.0::double else 0.0::double end as product
+       from range(0, 5) a(i), range(0, 5) b(j) where exists (select 1 from embeddings)""",
+)
+def svd_orthonormal(t: Tables):
+    """Products of the five leading left vectors with each other."""
+    left = factors.svd(_plain_vectors(t), 5).left
+    sums = [F.round(F.sum(F.col("u")[i] * F.col("u")[j]), 6) for i in range(5) for j in range(5)]
+    cells = left.agg(F.array(*[F.abs(x) for x in sums]).alias("p")).select(F.posexplode("p").alias("at", "product"))
+    return cells.selectExpr("int(at div 5) as i", "int(at % 5) as j", "product")
+
+
 @query("select_features")
 def select_features(t: Tables):
     rows = _vectors(t)

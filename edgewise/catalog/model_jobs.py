@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
-from edgewise.operators import isotonic
+from edgewise.operators import descent, isotonic
 from edgewise.operators.products import largest_products
 from edgewise.operators.text import term_count
 from edgewise.plans.scratch import Scratch
@@ -232,6 +232,50 @@ def cluster(t: Tables):
     return scored.unionByName(t.spark.createDataFrame(lda, _RESULT))
 
 
+def _gradient_sql(rounds: int, step: float) -> str:
+    """Rounds of the mean gradient, one after the other."""
+    columns = ["1.0::double", "l_quantity / 50", "l_discount * 10"]
+    w = [", ".join("0.0::double as w%d" % i for i in range(3))]
+    parts = [f"p as materialized (select {', '.join(f'{c} as x{i}' for i, c in enumerate(columns))}, (l_linestatus = 'O')::integer as y from lineitem)"]
+    parts.append(f"m0 as (select {w[0]})")
+    for r in range(rounds):
+        margin = " + ".join(f"w{i} * x{i}" for i in range(3))
+        moved = ", ".join(f"any_value(w{i}) + {step} * avg((y - 1 / (1 + exp(-({margin})))) * x{i}) as w{i}" for i in range(3))
+        parts.append(f"m{r + 1} as materialized (select {moved} from p, m{r})")
+    rows = " union all ".join(f"select {i} as i, round(w{i}, 6) as weight from m{rounds}" for i in range(3))
+    return f"with {', '.join(parts)} {rows}"
+
+
+@query("logistic_gradient", _gradient_sql(5, 2.0))
+def logistic_gradient(t: Tables):
+    """Five rounds of batch gradient."""
+    rows = t.lineitem.selectExpr("array(1.0D, l_quantity / 50, l_discount * 10) as x", "int(l_linestatus = 'O') as y")
+    model = descent.logistic_gradient(rows, 2.0, rounds=5).state
+    return model.select(F.posexplode("w").alias("i", "weight")).select("i", F.round("weight", 6).alias("weight"))
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    parts = [
+        "x as materialized (select vec_id as r, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings)",
+        f"c0 as materialized (select (row_number() over (partition by i order by r) - 1)::integer as j, i, x as c from x where r < {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} as materialized (select r, arg_min(j, (d, j)) as j from (select r, j, sum((x - c) * (x - c)) as d from x join c{n} using (i) group by r, j) group by r)")
+        parts.append(
+            f"c{n + 1} as materialized (select o.j, o.i, coalesce(m, c) as c from c{n} o left join (select j, i, avg(x) as m from a{n} join x using (r) group by j, i) using (j, i))"
+        )
+    return f"with {', '.join(parts)} select r as vec_id, j as cluster from a{rounds}"
+
+
+@query("lloyd", _lloyd_sql(4, 5))
+def lloyd(t: Tables):
+    """Five rounds of k-means from the first four vectors, then the clusters."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    start = rows.where("vec_id < 4").selectExpr("int(vec_id) as cluster", "x as c")
+    centres = descent.lloyd(rows, start, rounds=5).state
+    return descent.assigned(rows, centres).select("vec_id", "cluster")
+
+
 @query("recommend")
 def recommend(t: Tables):
     """Customers rate suppliers by the number of lines bought; three suppliers each.
