@@ -435,9 +435,8 @@ def main_text(pages: DataFrame, share: float = CONSTANT_SHARE, least: int = CONS
         told = fixed.select("host", "fixed", dense)
     else:
         told = fixed.join(scratch.write(link_slots(cut, slots, share, least)).df, "host", "full")
-    # what is known of a host goes to its pages, which stay spread
-    hosts = cut.groupBy("host").agg(F.count(F.lit(1)).alias("n")).join(told, "host", "left")
-    joined = join_counted(_slotted(cut.drop("tree"), slots), hosts, ["host"], "n", cut.count())
+    # few hosts have template outside of marked elements; a host of very many pages is split by the planner
+    joined = _slotted(cut.drop("tree"), slots).join(told, "host", "left")
     body = F.expr("filter(blocks, b -> not b.out and not (b.linked and coalesce(array_contains(dense, slots[b.node]), false)))")
     varying = F.expr(
         "filter(body, b -> fixed is null or not array_contains(fixed, struct(slots[b.node] as slot, xxhash64(b.text) as word)))"
