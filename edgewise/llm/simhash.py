@@ -169,7 +169,9 @@ def _keys(prints: DataFrame, groups: list[tuple[list[int], int]], up: bool) -> D
 
 
 def links(prints: DataFrame, groups: list[tuple[list[int], int]], radius: int, hot: int, scratch: Scratch) -> DataFrame:
-    """Edges `(src, dst)` whose components are those of all pairs within `radius`; `prints` are distinct."""
+    """Edges `(src, dst)` whose components are those of all pairs within `radius`, 1 to 4; `prints` are distinct."""
+    if not 1 <= radius <= 4:
+        raise ValueError("links are found for a radius from 1 to 4")
     left, right = _keys(prints, groups, True), _keys(prints, groups, False)
     crowded = scratch.write(
         right.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("part", "key")
@@ -186,25 +188,28 @@ def links(prints: DataFrame, groups: list[tuple[list[int], int]], radius: int, h
     edges = found.select(F.col("fp").alias("src"), "dst").distinct()
     if none:
         return edges
-    flips = F.expr("explode(transform(sequence(0, 64), i -> i))")
-    bit = "if({0} = 64, 0L, shiftleft(1L, {0}))"
-    if radius > 4:
-        raise ValueError("crowded values are implemented up to a radius of 4")
-    points = touching.select("fp", flips.alias("i")).select(
-        "fp", F.expr(f"fp ^ {bit.format('i')}").alias("p"), "i"
-    )
-    if radius >= 4:
-        points = points.select("fp", "p", "i", F.expr("explode(if(i >= 63, array(64), sequence(i + 1, 64)))").alias("j")).select(
-            "fp", F.expr(f"p ^ {bit.format('j')}").alias("p")
-        )
-    # fingerprints that share a point are within the radius; each links to the smallest.
+    # fingerprints within the radius share a point that is half of it from one and the rest from the other;
+    # all that reach a point by the longer way link to the smallest that does by the shorter one.
     # Points are many more than the planner can tell as well.
-    low = points.groupBy("p").agg(F.min("fp").alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("p", "src")
+    low = _points(touching, radius // 2).groupBy("p").agg(F.min("fp").alias("src"))
+    members = _points(touching, (radius + 1) // 2)
     return edges.unionByName(
-        points.select("fp", "p").hint("merge").join(low.hint("merge"), "p").where("fp <> src").select("src", F.col("fp").alias("dst")).distinct()
+        members.hint("merge").join(low.hint("merge"), "p").where("fp <> src").select("src", F.col("fp").alias("dst")).distinct()
     )
 
 
+def _points(prints: DataFrame, flips: int) -> DataFrame:
+    """`(fp, p)`: every value within `flips` (0, 1 or 2) flipped bits of each fingerprint; place 64 flips nothing."""
+    bit = "if({0} = 64, 0L, shiftleft(1L, {0}))"
+    if not flips:
+        return prints.select("fp", F.col("fp").alias("p"))
+    points = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select("fp", F.expr(f"fp ^ {bit.format('i')}").alias("p"), "i")
+    if flips == 1:
+        return points.select("fp", "p")
+    second = F.expr("explode(if(i >= 63, array(64), sequence(i + 1, 64)))").alias("j")
+    return points.select("fp", "p", "i", second).select("fp", F.expr(f"p ^ {bit.format('j')}").alias("p"))
+
+
 def _grouped(docs: DataFrame, radius: int, hot: int, scratch: Scratch) -> DataFrame:
     """`(doc_id, tie, fp, label, component_id)`; `label` is the smallest fingerprint that links lead to."""
     rows = scratch.write(fingerprints(docs)).df
