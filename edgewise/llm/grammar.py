@@ -30,8 +30,10 @@ EXAMPLES = 400
 ALPHA = 0.05
 #: Mean log2 likelihood ratio per character, against ordinary words, above which a run is added.
 THRESHOLD = 1.0
-#: Shortest run that is scored.
-CANDIDATE = 16
+#: Shortest value that the base rules take, and so the shortest a format can have.
+SHORTEST = 8
+#: Shorter runs tell how ordinary words look.
+ORDINARY = 16
 MASK = "[secret]"
 
 # ASCII: no other letter counts as a different case of these
@@ -41,7 +43,7 @@ ASSIGN = re.compile(
 NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE},}}")
+RUN = r"[A-Za-z0-9+/_.=-]{%d,}"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -197,8 +199,8 @@ class Words:
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 
-def learn(docs: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, Automaton], Words]:
-    """Automata of each kind seen, and the model of ordinary words over all texts.
+def learn(docs: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, Automaton], Words, int]:
+    """Automata of each kind seen, the model of ordinary words over all texts, the length of the shortest value.
 
     Words under 16 characters are counted for the latter, per class pair.
     """
@@ -214,7 +216,7 @@ def learn(docs: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, Automato
                     continue
                 for _, _, kind, value in base_spans(text):
                     rows.add((kind, value))
-                words = Counter(w for w in symbols(text.translate(OUTSIDE)).split() if len(w) < CANDIDATE)
+                words = Counter(w for w in symbols(text.translate(OUTSIDE)).split() if len(w) < ORDINARY)
                 for w, n in words.items():
                     for pair in zip("^" + w, w + "$", strict=True):
                         pairs[pair] += n
@@ -239,7 +241,8 @@ def learn(docs: DataFrame, examples: int = EXAMPLES) -> tuple[dict[str, Automato
         values.setdefault(row["kind"], []).append(row["value"])
     # at most 12 x 12 sums
     pairs = {(r["value"][0], r["value"][1]): r["n"] for r in seen.where("kind = 'pair'").collect()}
-    return {k: Automaton(v).merge() for k, v in sorted(values.items())}, Words(pairs)
+    shortest = min((len(v) for listed in values.values() for v in listed), default=SHORTEST)
+    return {k: Automaton(v).merge() for k, v in sorted(values.items())}, Words(pairs), shortest
 
 
 class _Outside(dict):
@@ -255,8 +258,12 @@ OUTSIDE = _Outside()
 
 
 class Scanner:
-    def __init__(self, automata: dict[str, Automaton], words: Words, threshold: float):
+    """Scores every run of credential characters, from the length of the shortest labelled value on."""
+
+    def __init__(self, automata: dict[str, Automaton], words: Words, shortest: int, threshold: float):
         self.automata, self.words, self.threshold = automata, words, threshold
+        self.run = re.compile(RUN % max(SHORTEST, shortest))
+        self.shortest = max(SHORTEST, shortest)
 
     def kind(self, value: str) -> str | None:
         """The kind whose format explains the run best, if well enough."""
@@ -269,12 +276,22 @@ class Scanner:
         """Base spans and all spans, as `(start, end, kind)`."""
         base = [x[:3] for x in base_spans(text)]
         added = []
-        for m in RUN.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in base):
-                continue
-            kind = self.kind(m[0])
-            if kind:
-                added.append((m.start(), m.end(), kind))
+        at = 0
+        for m in self.run.finditer(text) if self.automata else ():
+            # what base spans leave of the run
+            low = m.start()
+            while at < len(base) and base[at][1] <= low:
+                at += 1
+            pieces = []
+            for a, b, _ in base[at:]:
+                if a >= m.end():
+                    break
+                pieces.append((low, a))
+                low = max(low, b)
+            for a, b in [*pieces, (low, m.end())]:
+                kind = self.kind(text[a:b]) if b - a >= self.shortest else None
+                if kind:
+                    added.append((a, b, kind))
         return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
