@@ -21,6 +21,9 @@ from edgewise.plans.scratch import Scratch
 
 #: Bits of the hash: 15 hexadecimal digits of MD5, so that they fit a long.
 HASH_BITS = 60
+RESULT = ("bytes", "depth", "shard", "shard_bytes")
+#: Equal rows that are numbered together.
+COPIES = 4096
 #: Bits of the histogram beyond those that an even spread would need.
 SPARE_BITS = 6
 
@@ -58,14 +61,16 @@ def extendible_shards(rows: DataFrame, key: Sequence[str], size: Column, limit:
     Result: the key columns, `bytes` (the row's size), `depth` (bits of the
     shard's prefix), `shard` (those bits as text, with `.page` for overflow pages)
     and `shard_bytes`. Null keys and null sizes (0) are rows like any other;
-    repeated rows are kept; an empty table has no shards. Clashing names of other
-    columns do not matter, as only the key and the size are read.
+    repeated rows are kept; an empty table has no shards. Only the key and the size are
+    read; a key column with the name of a result column comes back as `key_<name>`.
     """
     scratch = Scratch(rows.sparkSession, "shards")
-    key = list(key)
+    names = [f"key_{c}" if c in RESULT else c for c in key]
+    own = [f"_key{i}" for i in range(len(names))]
     base = scratch.write(
-        rows.select(*key, F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), key_hash(key).alias("_hash"))
+        rows.select(*[F.col(c).alias(k) for c, k in zip(key, own, strict=True)], F.coalesce(size.cast("long"), F.lit(0)).alias("bytes"), key_hash(key).alias("_hash"))
     ).df
+    key = own
     total = base.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     even = max(1, -(-total // max(1, limit))).bit_length()
     low, high, found, open_rows = 0, min(HASH_BITS, even + SPARE_BITS), [], base
@@ -93,7 +98,9 @@ def extendible_shards(rows: DataFrame, key: Sequence[str], size: Column, limit:
     result = named[0]
     for more in named[1:]:
         result = result.unionByName(more)
-    return result if high < HASH_BITS else result.unionByName(_overflow(open_rows, key, limit))
+    if high == HASH_BITS:
+        result = result.unionByName(_overflow(open_rows, key, limit))
+    return result.withColumnsRenamed(dict(zip(own, names, strict=True)))
 
 
 def _overflow(rows: DataFrame, key: list[str], limit: int) -> DataFrame:
@@ -104,7 +111,11 @@ def _overflow(rows: DataFrame, key: list[str], limit: int) -> DataFrame:
     """
     copies = rows.groupBy(*key, "_hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1)))).cast("long")
-    each = copies.withColumn("_per", per_page).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # many copies are made by many tasks, a block each
+    blocks = copies.withColumn("_per", per_page).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col("_b") * COPIES
+    each = blocks.withColumn("_i", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)))
     page = F.floor(F.col("_i") / F.col("_per")).cast("long")
     return each.select(
         *key,
