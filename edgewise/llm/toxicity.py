@@ -22,15 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.plans.scratch import Scratch
 
 EXAMPLES = 20_000
 FOLDS = 3
-#: Words a model knows at most, the most frequent ones, each in `MIN_DOCS` labelled documents or more.
-TERMS = 20_000
+#: Columns of a fit: all words of the sample, by their hash. Two words in one column share a weight.
+TERMS = 1 << 20
+#: A word in fewer rows of a fit is no evidence there.
 MIN_DOCS = 4
 PENALTY = 0.002
 ROUNDS = 250
@@ -140,11 +141,18 @@ class Chain:
         return scored.select(*kept.columns, *[F.col("_tox_p")[n].alias(n) for n in names])
 
 
-def _vocabulary(rows: DataFrame) -> list[str]:
-    """Words of the labelled rows: TERMS at most, those in most rows first."""
-    each = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    found = each.where(F.col("n") >= MIN_DOCS).orderBy(F.desc("n"), "word").limit(TERMS)
-    return [r["word"] for r in found.collect()]
+def _weights(rows: DataFrame, fit) -> dict[str, float]:
+    """Weights by word: those words of the sample whose column has one, a few hundred as a rule."""
+    weights = dict(zip(fit["at"], fit["weights"], strict=True))
+    if not weights:
+        return {}
+    columns = F.broadcast(rows.sparkSession.createDataFrame([(int(i),) for i in weights], "place int"))
+    each = rows.select(F.explode("words").alias("word")).distinct().withColumn("place", _place(F.col("word")))
+    return {r["word"]: weights[r["place"]] for r in each.join(columns, "place").collect()}
+
+
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(TERMS)).cast("int")
 
 
 def fit_chain(
@@ -153,7 +161,7 @@ def fit_chain(
     """Chain over the 0/1 columns `categories` of `labels(doc_id, ...)`, in that order.
 
     Rows with a null label or doc_id are left out; of several labels of a document the
-    larger counts; several texts of a doc_id are so many examples. Where the labels
+    larger counts, of several texts of a doc_id the one with the smallest hash. Where the labels
     leave nothing to learn, the model is their constant.
     """
     spark = docs.sparkSession
@@ -164,6 +172,9 @@ def fit_chain(
     # the bound of this sample is what may be broadcast
     sample = judged.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(examples)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one text a doc_id; the limit is applied before the shuffle, so a doc_id of many rows is no burden
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))
+    chosen = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,22 +187,14 @@ def fit_chain(
     rows = scratch.write(
         numbered.select("row", "text", *categories).mapInPandas(extract, f"row long, {y}, words array<string>, dense array<double>")
     ).df
-    words = _vocabulary(rows)
     if rows.isEmpty():
         return Chain(categories, [Linear({}, [0.0] * (2 + i), -1000.0) for i in range(len(categories))])
-    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = place.value
-        for batch in batches:
-            yield batch.assign(words=[[known[w] for w in x if w in known] for x in batch["words"]])
-
-    state = scratch.write(rows.mapInPandas(number, f"row long, {y}, words array<int>, dense array<double>")).df
+    numbered = F.transform("words", _place)
+    state = scratch.write(rows.withColumn("words", F.array_distinct(numbered))).df
     models = []
     for i, category in enumerate(categories):
-        fits = _fit(state, category, len(words), folds if i + 1 < len(categories) else 0)
-        held = [Linear({words[j]: v for j, v in zip(f["at"], f["weights"], strict=True)}, list(f["dense"]), f["intercept"]) for f in fits]
-        models.append(held[-1])
+        fits = _fit(state, category, TERMS, folds if i + 1 < len(categories) else 0)
+        models.append(Linear(_weights(rows, fits[-1]), list(fits[-1]["dense"]), fits[-1]["intercept"]))
         if i + 1 < len(categories):
             state = scratch.write(_out_of_fold(state, fits, folds)).df
     return Chain(categories, models)
@@ -218,7 +221,9 @@ def _fit(rows: DataFrame, category: str, terms: int, folds: int) -> list:
             return pd.DataFrame([(job, [], [], [0.0] * dense.shape[1], constant)], columns=["job", "at", "weights", "dense", "intercept"])
         at = np.concatenate([np.asarray(w, np.int64) for w in pdf["words"]])
         sizes = pdf["words"].map(len).to_numpy(np.int64)
-        w, own, intercept = fit_linear(at, sizes, dense, y, terms, PENALTY, ROUNDS)
+        told = np.bincount(at, minlength=terms)[at] >= MIN_DOCS
+        row = np.repeat(np.arange(len(y)), sizes)[told]
+        w, own, intercept = fit_linear(at[told], np.bincount(row, minlength=len(y)), dense, y, terms, PENALTY, ROUNDS)
         kept = np.flatnonzero(w)
         row = (job, kept.tolist(), w[kept].tolist(), own.tolist(), intercept)
         return pd.DataFrame([row], columns=["job", "at", "weights", "dense", "intercept"])
