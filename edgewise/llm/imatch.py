@@ -104,13 +104,12 @@ class Printer:
         self.subsets = subsets
 
     def sign(self, text: str) -> tuple[int, np.ndarray]:
-        """First level and a hash for each subset of the levels from there (0: no term); level 0 without terms."""
+        """First level and a hash for each subset of the levels from there (0: no term); level 0 without words."""
         found = terms_of(text)
         if len(found) and len(self.terms):
             at = np.searchsorted(self.terms, found)
-            found = found[self.terms[np.minimum(at, len(self.terms) - 1)] == found]
-        else:
-            found = found[:0]
+            known = found[self.terms[np.minimum(at, len(self.terms) - 1)] == found]
+            found = known if len(known) else found  # a text outside of the band stands for all its terms
         out = np.zeros((LEVELS, self.subsets), np.uint64)
         if not len(found):
             return 0, out
@@ -187,8 +186,8 @@ def fingerprints(
     The edit replaces the last third by the beginning of the next document in
     descending doc_id order (after the last comes the first; null ids last, equal ids
     by the hash of their text; a lone document follows itself). Null texts are empty;
-    texts without a term of the lexicon have a fingerprint of dashes, alike to
-    each other only. Repeated rows get a row each. Other columns are not read.
+    texts without a term of the lexicon are told by all their terms, those without a
+    word have a fingerprint of dashes, alike to each other only. Repeated rows get a row each. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")

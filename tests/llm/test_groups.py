@@ -2,7 +2,11 @@
 
 import random
 
-from edgewise.llm import simhash
+import pytest
+from pyspark.sql import functions as F
+
+from edgewise.llm import grammar, imatch, sharding, simhash, toxicity
+from edgewise.plans.scratch import Scratch
 
 
 def _text(seed):
@@ -22,3 +26,73 @@ def test_linked_texts_without_ids_leave_one(spark):
     copies = [(None, _text(1))] * 3 + [(None, _text(1).upper())]
     docs = spark.createDataFrame([*copies, (None, _text(2))], "doc_id long, text string")
     assert len({r["text"].lower() for r in simhash.one_of_each(docs).collect()}) == simhash.one_of_each(docs).count() == 2
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
+def test_links_are_those_of_the_radius(spark, radius, hot):
+    """Crowded values and plain probes against all pairs, for every radius that is taken."""
+    import random
+
+    rng = random.Random(radius)
+    prints = {rng.getrandbits(64) for _ in range(12)}
+    for p in list(prints):
+        for _ in range(4):
+            q = p
+            for b in rng.sample(range(64), rng.randint(1, 6)):
+                q ^= 1 << b
+            prints.add(q)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    groups = simhash.plan(simhash.bit_counts(df), len(signed), radius)
+    found = simhash.links(df, groups, radius, hot, Scratch(spark, "t")).collect()
+
+    def parts(edges):
+        low = {p: p for p in signed}
+        for _ in signed:
+            for a, b in edges:
+                low[a] = low[b] = min(low[a], low[b])
+        return low
+
+    due = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius]
+    assert parts([(r["src"], r["dst"]) for r in found]) == parts(due)
+
+
+def test_a_larger_radius_is_refused(spark):
+    with pytest.raises(ValueError, match="radius"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), [(list(range(64)), 5)], 5, 10, None)
+
+
+def test_short_formats_and_the_rest_of_a_run_are_scored():
+    values = [f"q{i % 10}Z-{(i * 37) % 1000:03d}k{i % 7}" for i in range(60)]  # 9 characters
+    automaton = grammar.Automaton(values).merge()
+    plain = grammar.Words({})
+    scanner = grammar.Scanner({"assign": automaton}, plain, min(map(len, values)), grammar.THRESHOLD)
+    found = scanner.spans("see q3Z-111k2 there")[1]
+    assert found == [(4, 13, "assign")]
+    # a credential joined to a base span by a mark of its own
+    text = "AKIA" + "A" * 16 + "/q5Z-185k5"
+    base, spans = scanner.spans(text)
+    assert [x[2] for x in base] == ["access"] and (0, 20, "access") in spans
+    assert all(a >= 20 for a, _, k in spans if k == "assign")
+
+
+def test_texts_outside_of_the_band_differ(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon"), (4, ""), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(docs, parts=2).collect()}
+    assert len({got[i] for i in (1, 2, 3)}) == 3 and got[4] == got[5] != got[1]
+
+
+def test_shards_of_a_key_named_like_a_result(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(9000)], "bytes long, cell long")
+    got = sharding.extendible_shards(rows, ["bytes", "cell"], F.lit(10), 1000)
+    assert got.columns == ["key_bytes", "cell", "bytes", "depth", "shard", "shard_bytes"] and got.count() == 9000
+    one = sharding.extendible_shards(rows.selectExpr("1L as bytes"), ["bytes"], F.lit(10), 50).groupBy("shard", "shard_bytes").count().collect()
+    assert sum(r["count"] for r in one) == 9000 and all(r["shard_bytes"] == 10 * r["count"] <= 50 for r in one)
+
+
+def test_a_labelled_id_of_many_rows_is_one_example(spark):
+    docs = spark.createDataFrame([(1, f"bad word {i}") for i in range(300)] + [(i, "fine text") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).groupBy("is_toxic").count().collect()
+    assert sum(r["count"] for r in got) == 358
