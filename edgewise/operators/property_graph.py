@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from edgewise.operators import components, edges as E, rank, triangles
 from edgewise.plans import skew
+from edgewise.plans.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -19,20 +20,34 @@ class PropertyGraph:
 
     def triplets(self) -> DataFrame:
         """Edges with the attributes of both ends, as structs `source` and `target`."""
-        total = self.edges.count()
-        return self._with_end(self._with_end(self.edges, "src", "source", total), "dst", "target", total)
+        edges, degrees, total = self._stored()
+        rows = self._with_end(edges, "src", "source", degrees, total)
+        return self._with_end(rows, "dst", "target", degrees, total)
 
-    def _with_end(self, rows: DataFrame, end: str, name: str, total: int) -> DataFrame:
+    def _stored(self) -> tuple[DataFrame, DataFrame | None, int]:
+        """The edges from files, so that they are made once, their number, and above the limit of hot keys the degrees.
+
+        Both degrees of all nodes come from one pass.
+        """
+        scratch, told = Scratch(self.edges.sparkSession, "graph"), Observation()
+        edges = scratch.write(self.edges.observe(told, F.count(F.lit(1)).alias("n"))).df
+        total = told.get["n"]
+        if total <= skew.MIN_HOT_ROWS:
+            return edges, None, total
+        ends = edges.select(F.explode(F.array(F.struct("src", F.lit(1).alias("out")), F.struct(F.col("dst").alias("src"), F.lit(0).alias("out")))).alias("e"))
+        degrees = ends.groupBy("e.src").agg(F.sum("e.out").alias("src_n"), F.sum(1 - F.col("e.out")).alias("dst_n"))
+        return edges, scratch.write(degrees.select(F.col("src").alias("node"), "src_n", "dst_n")).df, total
+
+    def _with_end(self, rows: DataFrame, end: str, name: str, degrees: DataFrame | None, total: int) -> DataFrame:
         """`rows` with the vertex at `end`; a vertex with very many edges keeps its rows spread."""
         attrs = [c for c in self.vertices.columns if c != "id"]
         side = self.vertices.select(F.col("id").alias(end), F.struct("id", *attrs).alias(name))
-        return self._joined(rows, side, end, total)
+        return self._joined(rows, side, end, degrees, total)
 
-    def _joined(self, rows: DataFrame, side: DataFrame, end: str, total: int) -> DataFrame:
-        if total > skew.MIN_HOT_ROWS:
-            side = side.join(self.edges.groupBy(end).agg(F.count(F.lit(1)).alias("_n")), end)
-        else:
-            side = side.withColumn("_n", F.lit(0))
+    def _joined(self, rows: DataFrame, side: DataFrame, end: str, degrees: DataFrame | None, total: int) -> DataFrame:
+        if degrees is None:
+            return rows.join(side, end)
+        side = side.join(degrees.select(F.col("node").alias(end), F.col(f"{end}_n").alias("_n")).where("_n > 0"), end)
         return skew.join_counted(rows, side, [end], "_n", total)
 
     def aggregate_messages(
@@ -57,9 +72,10 @@ class PropertyGraph:
     def subgraph(self, where: Column) -> "PropertyGraph":
         """Vertices that pass, and the edges with both ends among them."""
         kept = self.vertices.where(where)
-        ids, total = kept.select("id"), self.edges.count()
-        inside = self._joined(self.edges, ids.withColumnRenamed("id", "src"), "src", total)
-        inside = self._joined(inside, ids.withColumnRenamed("id", "dst"), "dst", total)
+        ids = kept.select("id")
+        edges, degrees, total = self._stored()
+        inside = self._joined(edges, ids.withColumnRenamed("id", "src"), "src", degrees, total)
+        inside = self._joined(inside, ids.withColumnRenamed("id", "dst"), "dst", degrees, total)
         return PropertyGraph(kept, inside.select(*self.edges.columns))
 
     def connected_components(self, **options) -> components.ComponentsResult:

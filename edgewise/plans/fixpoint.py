@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from edgewise.plans.scratch import Scratch, Table
@@ -28,23 +28,25 @@ def iterate(
     max_iters: int | None = None,
     changed: Column | None = None,
     stop: Callable[[object], bool] | None = None,
-    carry: Callable[[object], int] = lambda row: row["n"],
+    carry: Callable[[dict], int] = lambda row: row["n"],
     n: int = 0,
 ) -> LoopResult:
     """Apply `step` until a round changes nothing, or for `max_iters` rounds if given.
 
     `step(state, n)` gets the last state and its row count. `changed` is an
-    aggregate over the new state (default: `sum(changed)`), computed from the
-    written files, so a retried task cannot inflate it.
+    aggregate over the new state (default: `sum(changed)`). It and the row count are
+    observed by the job that writes the state, which counts each output partition once, so a
+    retried task cannot inflate them and a round is one job.
     """
     state, changes, done = start, [], False
     measure = F.sum(F.col("changed").cast("bigint")) if changed is None else changed
     rounds = 0
     while not done and (max_iters is None or rounds < max_iters):
-        new = scratch.write(step(state.df, n))
-        seen = new.df.agg(
-            F.coalesce(measure, F.lit(0)).alias("changed"), F.count(F.lit(1)).alias("n")
-        ).first()
+        told = Observation()
+        new = scratch.write(
+            step(state.df, n).observe(told, F.coalesce(measure, F.lit(0)).alias("changed"), F.count(F.lit(1)).alias("n"))
+        )
+        seen = told.get
         state.drop()
         state, n = new, carry(seen)
         rounds += 1
