@@ -322,6 +322,18 @@ def select_features(t: Tables):
     return t.spark.createDataFrame(chosen, "selector string, feature int")
 
 
+@query(
+    "select_variance",
+    """select i::integer as feature from (
+         select generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings)
+       group by i having var_samp(v) > 0.0156""",
+)
+def select_variance(t: Tables):
+    """Components whose variance is above a threshold."""
+    chosen = ml.VarianceThresholdSelector(featuresCol="features", outputCol="v", varianceThreshold=0.0156).fit(_vectors(t))
+    return t.spark.createDataFrame([(int(i),) for i in chosen.selectedFeatures], "feature int")
+
+
 @query(
     "formula",
     """with r as (select l_returnflag, row_number() over (order by count(*) desc, l_returnflag) - 1 as i from lineitem group by 1)
@@ -509,6 +521,56 @@ def chi_square(t: Tables):
     )
 
 
+@query(
+    "chi_fit",
+    """with c as (select event_type, count(*) as o from events group by 1),
+       s as (select sum(pow(o - m, 2) / m) as x, count(*) - 1 as df from c, (select avg(o) as m from c))
+       select round(x, 6) as statistic, df, round(exp(-x / 2) * (1 + x / 2), 9) as p_value from s""",
+)
+def chi_fit(t: Tables):
+    """Are the five event types equally frequent?"""
+    counts = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("o"))
+    test = stats.with_p_value(stats.goodness_of_fit(counts, "o"))
+    return test.select(F.round("statistic", 6).alias("statistic"), F.col("df").cast("bigint").alias("df"), F.round("p_value", 9).alias("p_value"))
+
+
+_SETS = """with d as (select user_id, event_id % 2 as half, list(distinct event_type) as s from events group by all),
+       s as (select a.user_id, coalesce(a.s, []) as own, coalesce(b.s, []) as said
+             from (select * from d where half = 0) a full join (select * from d where half = 1) b using (user_id)),
+       c as (select *, len(list_intersect(own, said)) as h, len(own) as o, len(said) as p from s)"""
+
+
+def _user_sets(t: Tables):
+    """Event types of a user in one half of the events, told by the other half."""
+    sets = t.events.groupBy("user_id").agg(
+        F.collect_set(F.expr("if(event_id % 2 = 0, event_type, null)")).alias("own"), F.collect_set(F.expr("if(event_id % 2 = 1, event_type, null)")).alias("said")
+    )
+    return sets
+
+
+@query(
+    "multilabel_metrics",
+    _SETS
+    + """ select avg(h / nullif(o + p - h, 0)) as accuracy, avg(coalesce(h / nullif(p, 0), 0)) as precision, avg(coalesce(h / nullif(o, 0), 0)) as recall,
+             avg(2 * h / (o + p)) as f1, avg((h = o and h = p)::integer) as equal_sets, sum(o + p - 2 * h) / (count(*) * 5) as hamming_loss,
+             sum(h) / sum(p) as micro_precision, sum(h) / sum(o) as micro_recall, 2 * sum(h) / (sum(o) + sum(p)) as micro_f1 from c""",
+)
+def multilabel_metrics(t: Tables):
+    return stats.multilabel_metrics(_user_sets(t), "own", "said", 5)
+
+
+@query(
+    "multilabel_by_label",
+    _SETS
+    + """, t as (select unnest(['view', 'signup', 'error', 'click', 'purchase']) as label),
+         n as (select label, count(*) filter (list_contains(own, label)) as o, count(*) filter (list_contains(said, label)) as p,
+                      count(*) filter (list_contains(own, label) and list_contains(said, label)) as h from t, c group by label)
+         select label, h / p as precision, h / o as recall, 2 * h / (o + p) as f1 from n where o + p > 0""",
+)
+def multilabel_by_label(t: Tables):
+    return stats.multilabel_by_label(_user_sets(t), "own", "said")
+
+
 def _chi_sql(feature: int, column: str) -> str:
     return f"""select {feature}::integer as feature, round(sum(pow(o - e, 2) / e), 4) as statistic,
                       ((count(distinct a) - 1) * (count(distinct b) - 1))::integer as df
@@ -531,7 +593,16 @@ def chi_square_features(t: Tables):
     )
 
 
-@query("ks_test")
+@query(
+    "ks_test",
+    """with p as (select (l_quantity - 25.5) / 14.4 as z, count(*) as n from lineitem group by 1),
+       c as (select z, n, sum(n) over (order by z) as upto, sum(n) over () as total from p),
+       s as (select z, n, upto, total, i, z / 2000 as h, exp(-pow(z * i / 2000, 2) / 2) / sqrt(2 * pi())
+                    * case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end as part from c, range(0, 2001) r(i)),
+       f as (select z, any_value(n) as n, any_value(upto) as upto, any_value(total) as total, 0.5 + any_value(h) / 3 * sum(part) as cdf
+             from s group by z)
+       select round(max(greatest(upto / total - cdf, cdf - (upto - n) / total)), 6) as statistic from f""",
+)
 def ks_test(t: Tables):
     rows = t.lineitem.selectExpr("(l_quantity - 25.5) / 14.4 as z")
     return KolmogorovSmirnovTest.test(rows, "z", "norm", 0.0, 1.0).select(

@@ -101,7 +101,7 @@ def orc_rt(t: Tables):
 @query("parquet_opts", "select o_orderkey, o_orderpriority from orders where o_custkey = 10")
 def parquet_opts(t: Tables):
     path = _path(t)
-    files.write_parquet_tuned(t.orders, path, "o_custkey", 1_000_000)
+    files.write_parquet_tuned(t.orders, path, "o_custkey")
     return _whole(t.orders, t.spark.read.parquet(path)).where("o_custkey = 10").select("o_orderkey", "o_orderpriority")
 
 
@@ -128,22 +128,21 @@ def partitioned(t: Tables):
 )
 def bucketed(t: Tables):
     """Two tables bucketed alike, joined without a shuffle of either."""
-    tag = uuid.uuid4().hex[:8]
-    orders = files.write_bucketed(
-        t.orders.select("o_orderkey", "o_orderpriority"), f"orders_{tag}", _path(t), 8, "o_orderkey"
-    )
-    lines = files.write_bucketed(
-        t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity"),
-        f"lines_{tag}",
-        _path(t),
-        8,
-        "o_orderkey",
-    )
-    return (
-        orders.join(lines, "o_orderkey")
-        .groupBy(F.col("o_orderpriority").alias("priority"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    tag, paths = uuid.uuid4().hex[:8], (_path(t), _path(t))
+    sides = t.orders.select("o_orderkey", "o_orderpriority"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    buckets = files.bucket_count(*sides)
+    orders, lines = (
+        files.write_bucketed(side, f"{name}_{tag}", path, buckets, "o_orderkey")
+        for side, name, path in zip(sides, ("orders", "lines"), paths, strict=True)
     )
+    scratch = Scratch(t.spark, "bucketed")
+    counted = scratch.write(
+        orders.join(lines, "o_orderkey").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    ).df
+    for name, path in zip(("orders", "lines"), paths, strict=True):
+        t.spark.sql(f"drop table {name}_{tag}")
+        scratch.delete(path)
+    return counted
 
 
 @query("file_filters", "select c_custkey, c_name from customer")
@@ -197,4 +196,8 @@ def tables(t: Tables):
             .select(F.lit(kind).alias("kind"), "segment", "n")
         )
         out = counted if out is None else out.unionByName(counted)
-    return out
+    scratch = Scratch(spark, "tables")
+    kept = scratch.write(out).df
+    spark.sql(f"drop database {base} cascade")
+    scratch.delete(outside)
+    return kept

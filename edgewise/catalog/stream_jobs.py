@@ -373,13 +373,26 @@ def stream_kmeans(t: Tables):
     return model.predict(rows).select("vec_id", "cluster")
 
 
-@query("stream_linreg")
+def _linreg_sql(steps: int, step: float) -> str:
+    """Gradient steps one after the other."""
+    columns = ["1.0::double", "l_quantity / 50", "l_discount * 10"]
+    guess = " + ".join(f"w{i} * x{i}" for i in range(3))
+    parts = [f"p as materialized (select {', '.join(f'{c} as x{i}' for i, c in enumerate(columns))}, l_extendedprice / 100000 as y from lineitem)"]
+    parts.append("m0 as (select 0.0::double as w0, 0.0::double as w1, 0.0::double as w2)")
+    for n in range(1, steps + 1):
+        moved = ", ".join(f"any_value(w{i}) - {step} / sqrt({n}) * avg(({guess} - y) * x{i}) as w{i}" for i in range(3))
+        parts.append(f"m{n} as materialized (select {moved} from p, m{n - 1})")
+    return f"with {', '.join(parts)} " + " union all ".join(f"select {i}::integer as feature, round(w{i}, 6) as weight from m{steps}" for i in range(3))
+
+
+@query("stream_linreg", _linreg_sql(10, 0.5))
 def stream_linreg(t: Tables):
     rows = table_stream(t.spark, t.path("lineitem")).selectExpr(
         "array(1.0D, l_quantity / 50, l_discount * 10) as features", "l_extendedprice / 100000 as label"
     )
     model = learning.StreamingRegression(dims=3, step=0.5, steps=10)
-    return model.train(rows, Sink(t.spark, "linreg")).drop("batch")
+    # one file is one batch
+    return model.train(rows, Sink(t.spark, "linreg")).select("feature", F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -19,7 +19,10 @@ def gram(rows: DataFrame, column: str, scale=None, sample=None, seed: int = 0) -
     """
 
     def partial(batches):
-        rng = np.random.default_rng(seed)
+        from pyspark import TaskContext
+
+        # each task draws numbers of its own
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         total = None
         for pdf in batches:
             x = np.array(pdf[column].tolist(), dtype=float)

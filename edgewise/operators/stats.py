@@ -20,6 +20,25 @@ def goodness_of_fit(counts: DataFrame, observed: str, expected: str | None = Non
     return counts.agg(F.sum(part).alias("statistic"), F.lit(total["k"] - 1).alias("df"))
 
 
+def chi_square_tail(x: float, df: int) -> float:
+    """Probability of a chi-square value of `x` or more, `df` degrees of freedom: the finite sums for whole ones."""
+    if x <= 0 or df <= 0:
+        return 1.0
+    half = x / 2
+    # from the exponential (even) or the normal tail (odd)
+    k, total = (1.0, math.exp(-half)) if df % 2 == 0 else (0.5, math.erfc(math.sqrt(half)))
+    while k < df / 2:
+        total += math.exp(k * math.log(half) - half - math.lgamma(k + 1))
+        k += 1
+    return min(1.0, total)
+
+
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """`tests(statistic, df)`, a row per test, with `p_value`."""
+    tail = F.udf(lambda x, df: None if x is None or df is None else chi_square_tail(x, int(df)), "double", useArrow=True)
+    return tests.withColumn("p_value", tail(F.col("statistic").cast("double"), "df"))
+
+
 def independence(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-square statistic of two categorical columns, from their contingency table.
 
@@ -283,16 +302,45 @@ def regression_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame
     )
 
 
-def multilabel_metrics(rows: DataFrame, label: str, predicted: str) -> DataFrame:
-    """Example-based accuracy, precision and recall of two array columns."""
-    hits = F.size(F.array_intersect(label, predicted))
-    return rows.agg(
-        F.avg(hits / F.size(F.array_union(label, predicted))).alias("accuracy"),
-        F.avg(hits / F.size(predicted)).alias("precision"),
-        F.avg(hits / F.size(label)).alias("recall"),
+def multilabel_metrics(rows: DataFrame, label: str, predicted: str, n_labels: int | None = None) -> DataFrame:
+    """Figures of two array columns without repeats, in one row.
+
+    Per example: accuracy, precision, recall, F1, share of equal sets. Over all entries (micro):
+    precision, recall, F1. Hamming loss is the share of the `n_labels` labels (by default those that
+    occur in `label`) that are wrong. An empty set counts as right where the other is empty too.
+    """
+    if n_labels is None:
+        n_labels = rows.select(F.explode(label)).distinct().count()
+    hits, said, own = F.size(F.array_intersect(label, predicted)), F.size(predicted), F.size(label)
+
+    def share_of(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(F.when(own + said == 0, 1.0).otherwise(0.0))
+
+    return rows.select(hits.alias("h"), said.alias("s"), own.alias("o"), share_of(hits, own + said - hits).alias("a"), share_of(hits, said).alias("p"), share_of(hits, own).alias("r"), share_of(2 * hits, own + said).alias("f")).agg(
+        F.avg("a").alias("accuracy"),
+        F.avg("p").alias("precision"),
+        F.avg("r").alias("recall"),
+        F.avg("f").alias("f1"),
+        F.avg(((F.col("h") == F.col("s")) & (F.col("h") == F.col("o"))).cast("double")).alias("equal_sets"),
+        (F.sum(F.col("o") + F.col("s") - 2 * F.col("h")) / (F.count(F.lit(1)) * n_labels)).alias("hamming_loss"),
+        (F.sum("h") / F.sum("s")).alias("micro_precision"),
+        (F.sum("h") / F.sum("o")).alias("micro_recall"),
+        (2 * F.sum("h") / (F.sum("s") + F.sum("o"))).alias("micro_f1"),
     )
 
 
+def multilabel_by_label(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """`(label, precision, recall, f1)`: each label counted over all rows."""
+
+    def side(k: int, own: str, other: str) -> Column:
+        return F.transform(own, lambda x: F.struct(x.alias("label"), F.array_contains(other, x).alias("hit"), F.lit(k).alias("side")))
+
+    sides = F.array(side(0, label, predicted), side(1, predicted, label))
+    each = rows.select(F.explode(F.flatten(sides)).alias("x"))
+    sums = each.groupBy("x.label").agg(F.count_if(F.col("x.side") == 0).alias("own"), F.count_if(F.col("x.side") == 1).alias("said"), F.count_if(F.col("x.hit") & (F.col("x.side") == 0)).alias("hits"))
+    return sums.selectExpr("label", "coalesce(hits / nullif(said, 0), 0.0D) as precision", "coalesce(hits / nullif(own, 0), 0.0D) as recall", "2 * hits / (own + said) as f1")
+
+
 def ranking_metrics(rows: DataFrame, predicted: str, relevant: str, k: int) -> DataFrame:
     """Precision, recall and NDCG at `k`, and mean average precision.
 

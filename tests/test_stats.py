@@ -61,3 +61,31 @@ def test_copies_follow_the_rate(spark):
     assert abs(n - 6000) < 5 * math.sqrt(6000)
     assert got.distinct().count() == n and got.selectExpr("max(copy)").first()[0] > 3
     assert sorted(got.collect()) == sorted(stats.sample_with_replacement(rows.repartition(7), 1.5, ["id"], 1).collect())
+
+
+def test_tails_of_chi_square():
+    for df in range(1, 12):
+        for x in (0.1, 1.0, 4.0, 20.0):
+            # the density, integrated by trapezoids from x on
+            n, top = 200_000, x + 200
+            h = (top - x) / n
+            density = [math.exp((df / 2 - 1) * math.log(x + i * h) - (x + i * h) / 2 - math.lgamma(df / 2) - df / 2 * math.log(2)) for i in range(0, n + 1, 20)]
+            area = 20 * h * (sum(density) - (density[0] + density[-1]) / 2)
+            assert abs(stats.chi_square_tail(x, df) - area) < 2e-3
+    assert stats.chi_square_tail(0.0, 3) == 1.0
+
+
+def test_tests_have_p_values(spark):
+    rows = spark.createDataFrame([(5.991, 2), (3.841, 1), (None, 1)], "statistic double, df int")
+    got = [r["p_value"] for r in stats.with_p_value(rows).collect()]
+    assert abs(got[0] - 0.05) < 1e-4 and abs(got[1] - 0.05) < 1e-4 and got[2] is None
+
+
+def test_figures_of_label_sets(spark):
+    rows = spark.createDataFrame([(["a", "b"], ["a"]), ([], []), (["c"], ["b", "c"]), (["a"], [])], "y array<string>, p array<string>")
+    got = stats.multilabel_metrics(rows, "y", "p").first()
+    assert got["accuracy"] == (0.5 + 1 + 0.5 + 0) / 4 and got["equal_sets"] == 0.25
+    assert got["precision"] == (1 + 1 + 0.5 + 0) / 4 and got["recall"] == (0.5 + 1 + 1 + 0) / 4
+    assert got["hamming_loss"] == 3 / 12 and got["micro_precision"] == 2 / 3 and got["micro_recall"] == 0.5
+    by = {r["label"]: (r["precision"], r["recall"]) for r in stats.multilabel_by_label(rows, "y", "p").collect()}
+    assert by == {"a": (1.0, 0.5), "b": (0.0, 0.0), "c": (1.0, 1.0)}
