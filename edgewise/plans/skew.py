@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 100_000
 MIN_HOT_ROWS = 1_000_000
+#: Share of all rows from which on frequent values are listed in one pass without a shuffle.
+LEAST_SUPPORT = 1e-3
 
 
 def hot_limit(total: int, max_hot: int | None = None) -> int:
@@ -64,8 +66,14 @@ def distinct_with_low(
     if total <= MIN_HOT_ROWS:
         return _sorted_low(rows, key, value, more)
     limit = hot_limit(total)
+    suspects = rows
+    if limit / total >= LEAST_SUPPORT:
+        # every value with that share of the rows is in this short list, which costs no shuffle;
+        # a hot key has a frequent value in its last column
+        found = rows.freqItems([key[-1]], min(1.0, limit / total)).first()[0]
+        suspects = rows.where(F.col(key[-1]).isin(found)) if found else rows.limit(0)
     hot = (
-        rows.groupBy(*key)
+        suspects.groupBy(*key)
         .agg(F.min(value).alias("low"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > limit)
         .drop("_n")
