@@ -26,7 +26,7 @@ from edgewise.plans.scratch import Scratch
 
 #: Band of ln(documents / document frequency).
 LOW_IDF, HIGH_IDF = 2.0, 9.0
-#: Bound of the lexicon that every task gets (8 bytes a term); see `lexicon`.
+#: A larger lexicon is not sent to every task (8 bytes a term): the terms of the texts are joined to it.
 MAX_TERMS = 3_000_000
 SUBSETS = 36
 #: Levels of a fingerprint, so that documents of somewhat different length share one.
@@ -66,26 +66,11 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, scratch: Scratch, low: float, high: float, most: int = MAX_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms in the IDF band.
-
-    A band with more than `most` terms gives up its rarest ones, in steps of an
-    eighth of a doubling of the frequency, until it fits: the broadcast has a bound.
-    """
+def lexicon(docs: DataFrame, scratch: Scratch, low: float, high: float) -> DataFrame:
+    """`(term)`, the hashes of the terms in the IDF band."""
     counted = scratch.write(document_frequency(docs)).df
     n = docs.count()
-    if not n:
-        return np.empty(0, np.uint64)
-    band = counted.where((F.col("df") >= n * math.exp(-high)) & (F.col("df") <= n * math.exp(-low)))
-    step = F.floor(F.log2("df") * 8)
-    sizes = {r["s"]: r["n"] for r in band.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, left = 0, sum(sizes.values())
-    for s in sorted(sizes):
-        if left <= most:
-            break
-        first, left = s + 1, left - sizes[s]
-    chosen = band.where(step >= first).select("term").toPandas()["term"]
-    return np.sort(chosen.to_numpy(np.int64).view(np.uint64))
+    return scratch.write(counted.where((F.col("df") >= n * math.exp(-high)) & (F.col("df") <= n * math.exp(-low))).select("term")).df
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -95,21 +80,27 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 class Printer:
-    """Fingerprints against one lexicon."""
+    """Fingerprints against one lexicon; without one, of terms that are known to be in it."""
 
-    def __init__(self, terms: np.ndarray, subsets: int):
-        self.terms = terms
+    def __init__(self, terms: np.ndarray | None, subsets: int):
+        self.terms = np.empty(0, np.uint64) if terms is None else terms
         with np.errstate(over="ignore"):
             self.salts = mix(np.arange(1, subsets + 1, dtype=np.uint64) * ODD)[:, None]
         self.subsets = subsets
 
     def sign(self, text: str) -> tuple[int, np.ndarray]:
         """First level and a hash for each subset of the levels from there (0: no term); level 0 without words."""
-        found = terms_of(text)
+        return self.sign_terms(self.kept(terms_of(text)))
+
+    def kept(self, found: np.ndarray) -> np.ndarray:
+        """Those of the sorted terms that are in the lexicon, or all if none is."""
         if len(found) and len(self.terms):
             at = np.searchsorted(self.terms, found)
             known = found[self.terms[np.minimum(at, len(self.terms) - 1)] == found]
-            found = known if len(known) else found  # a text outside of the band stands for all its terms
+            return known if len(known) else found  # a text outside of the band stands for all its terms
+        return found
+
+    def sign_terms(self, found: np.ndarray) -> tuple[int, np.ndarray]:
         out = np.zeros((LEVELS, self.subsets), np.uint64)
         if not len(found):
             return 0, out
@@ -149,27 +140,71 @@ ROW = (
 )
 
 
-def compare_row(printer: Printer, doc_id, text: str, own, following: str, theirs) -> tuple:
+def edit(text: str, following: str) -> str:
+    """`text` with its last third replaced by the beginning of the next one."""
     cut = len(text) // 3
-    edited = text[: len(text) - cut] + following[:cut]
-    changed = printer.sign(edited)
-    return (
-        doc_id,
-        len(text),
-        hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-        printer.text(own),
-        printer.text(changed),
-        likeness(own, changed),
-        likeness(own, theirs),
-    )
+    return text[: len(text) - cut] + following[:cut]
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+class Signed:
+    """Rows with fingerprints, made at once where a task has the lexicon."""
+
+    schema = ROW
+
+    def __init__(self, terms: np.ndarray, subsets: int):
+        self.printer = Printer(terms, subsets)
+        self.own = self.printer.sign
+
+    def row(self, doc_id, text: str, own, following: str, theirs) -> tuple:
+        edited = edit(text, following)
+        changed = self.printer.sign(edited)
+        return (doc_id, len(text), digest(edited), self.printer.text(own), self.printer.text(changed), likeness(own, changed), likeness(own, theirs))
+
+
+class Listed:
+    """Rows with the terms of the text, the edited text and the next text, to be joined to the lexicon."""
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, own array<long>, changed array<long>, theirs array<long>"
+
+    @staticmethod
+    def own(text: str) -> np.ndarray:
+        return terms_of(text)
+
+    def row(self, doc_id, text: str, own, following: str, theirs) -> tuple:
+        edited = edit(text, following)
+        return (doc_id, len(text), digest(edited), *(x.view(np.int64) for x in (own, terms_of(edited), theirs)))
+
+
+def _joined(rows: DataFrame, band: DataFrame, subsets: int) -> DataFrame:
+    """The rows of `Listed`, numbered by (part, at), with their fingerprints."""
+    each = rows.select("part", "at", F.explode(F.array_distinct(F.concat("own", "changed", "theirs"))).alias("term"))
+    met = each.join(band, "term", "left_semi").groupBy("part", "at").agg(F.collect_list("term").alias("known"))  # terms of three texts
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def values(x) -> np.ndarray:
+            return np.empty(0, np.uint64) if x is None else np.sort(np.asarray(x, np.int64).view(np.uint64))
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                printer = Printer(values(r.known), subsets)
+                own, changed, theirs = (printer.sign_terms(printer.kept(values(x))) for x in (r.own, r.changed, r.theirs))
+                out.append((_plain(r.doc_id), r.n_chars, r.edited_sha256, printer.text(own), printer.text(changed), likeness(own, changed), likeness(own, theirs)))
+            yield _result(out)
+
+    return rows.join(met, ["part", "at"], "left").drop("part", "at").mapInPandas(sign, ROW)
 
 
 def _plain(doc_id):
     return None if pd.isna(doc_id) else int(doc_id)
 
 
-def _result(rows: list[tuple], **more) -> pd.DataFrame:
-    names = [x.split()[0] for x in ROW.split(", ")]
+def _result(rows: list[tuple], schema: str = ROW, **more) -> pd.DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
     frame = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
     return frame.assign(**more)
 
@@ -191,52 +226,56 @@ def fingerprints(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "imatch")
-    shared = spark.sparkContext.broadcast(lexicon(docs, scratch, low, high))
+    band = lexicon(docs, scratch, low, high)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_tie", F.xxhash64("text"))
     order = [F.col("doc_id").desc_nulls_last(), "_tie"]
-    ordered = keyed.repartitionByRange(parts or text_parts(docs), *order).sortWithinPartitions(*order)
+    ordered = keyed.repartitionByRange(parts or text_parts(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    if band.count() > MAX_TERMS:
+        return _joined(_followed(ordered, Listed, Listed.schema, scratch), band, subsets)
+    terms = np.sort(band.toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(terms)
+    return _followed(ordered, lambda: Signed(shared.value, subsets), ROW, scratch).drop("part", "at")
+
+
+def _followed(ordered: DataFrame, maker, schema: str, scratch: Scratch) -> DataFrame:
+    """The row that `maker()` makes of each text and the one after it, with its place (part, at)."""
+    n = schema.count(",")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, printer, last = TaskContext.get().partitionId(), Printer(shared.value, subsets), None
+        part, made, last, at = TaskContext.get().partitionId(), maker(), None, 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                own = printer.sign(text)
+                own = made.own(text)
                 if last is None:
-                    yield _result([(_plain(doc_id),) + (None,) * 6], part=part, kind="head", text=text)
+                    yield _result([(_plain(doc_id),) + (None,) * n], schema, part=part, at=-1, kind="head", text=text)
                 else:
-                    rows.append(compare_row(printer, *last, text, own))
+                    rows.append(made.row(*last, text, own))
                 last = (_plain(doc_id), text, own)
-            yield _result(rows, part=part, kind="row", text=None)
+            yield _result(rows, schema, part=part, at=range(at, at + len(rows)), kind="row", text=None)
+            at += len(rows)
         if last is not None:
-            yield _result([(last[0],) + (None,) * 6], part=part, kind="tail", text=last[1])
+            yield _result([(last[0],) + (None,) * n], schema, part=part, at=-1, kind="tail", text=last[1])
 
-    walked = scratch.write(
-        ordered.select("doc_id", "text").mapInPandas(follow, ROW + ", part int, kind string, text string")
-    ).df
+    walked = scratch.write(ordered.mapInPandas(follow, schema + ", part int, at long, kind string, text string")).df
     # one number per partition
     filled = sorted(r["part"] for r in walked.where("kind = 'head'").select("part").collect())
-    done = walked.where("kind = 'row'").drop("part", "kind", "text")
+    done = walked.where("kind = 'row'").drop("kind", "text")
     if not filled:
         return done
-    following = spark.createDataFrame(
-        list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, next int"
-    )
+    following = ordered.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, next int")
     tails = walked.where("kind = 'tail'").select("part", "doc_id", "text").join(following, "part")
     heads = walked.where("kind = 'head'").select(F.col("part").alias("next"), F.col("text").alias("then"))
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        printer = Printer(shared.value, subsets)
+        made = maker()
         for batch in batches:
-            yield _result(
-                [
-                    compare_row(printer, _plain(d), text, printer.sign(text), then, printer.sign(then))
-                    for d, text, then in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["then"], strict=True)
-                ]
-            )
-
-    ends = tails.join(heads, "next").select("doc_id", "text", "then").mapInPandas(close, ROW)
+            each = zip(batch["doc_id"].astype("Int64"), batch["text"], batch["then"], strict=True)
+            rows = [made.row(_plain(d), text, made.own(text), then, made.own(then)) for d, text, then in each]
+            yield _result(rows, schema, part=batch["part"], at=-1)
+
+    ends = tails.join(heads, "next").select("part", "doc_id", "text", "then").mapInPandas(close, schema + ", part int, at long")
     return done.unionByName(ends)

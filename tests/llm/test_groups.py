@@ -96,3 +96,60 @@ def test_a_labelled_id_of_many_rows_is_one_example(spark):
     labels = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(60)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs, labels).groupBy("is_toxic").count().collect()
     assert sum(r["count"] for r in got) == 358
+
+
+def test_a_joined_lexicon_gives_the_same_rows(spark, monkeypatch):
+    from edgewise.llm.base import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (None, "odd words"), (5000, "")], docs.schema))
+    sent = sorted(map(tuple, imatch.fingerprints(docs, parts=4).collect()), key=str)
+    monkeypatch.setattr(imatch, "MAX_TERMS", 0)
+    assert sorted(map(tuple, imatch.fingerprints(docs, parts=4).collect()), key=str) == sent and len(sent) == 203
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    """Frequencies, edits and signatures in plain loops over all documents."""
+    import hashlib
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (1 + i) for i in range(60)], k=rng.randint(0, 40))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = Counter(t for text in texts for t in imatch.terms_of(text).tolist())
+    n = len(texts)
+    band = {t for t, c in df.items() if n * math.exp(-imatch.HIGH_IDF) <= c <= n * math.exp(-imatch.LOW_IDF)}
+    printer = imatch.Printer(np.array(sorted(band), np.uint64), imatch.SUBSETS)
+
+    def signature(text):
+        terms = [t for t in sorted(set(imatch.terms_of(text).tolist()))]
+        chosen = [t for t in terms if t in band] or terms
+        if not chosen:
+            return (0, [[0] * imatch.SUBSETS for _ in range(imatch.LEVELS)])
+        level = max(1, round(math.log2(len(chosen) / imatch.SHARE)))
+        out = [[0] * imatch.SUBSETS for _ in range(imatch.LEVELS)]
+        for s in range(imatch.SUBSETS):
+            for t in chosen:
+                drawn = imatch.mix(np.array([t], np.uint64) ^ printer.salts[s])
+                for i in range(imatch.LEVELS):
+                    if int(drawn[0]) >> (64 - level - i) == 0:
+                        out[i][s] = (out[i][s] + (int(imatch.mix(drawn)[0]) | 1 << 40)) & (1 << 64) - 1
+        return (level, [[h & 0xFFFFFF | (1 << 24 if h else 0) for h in row] for row in out])
+
+    def shown(signed):
+        return f"{signed[0]:02d}:" + "".join(f"{h & 0xFFFFFF:06x}" if h else "------" for row in signed[1] for h in row)
+
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs, parts=3).collect()}
+    for i, text in enumerate(texts):
+        following = texts[i - 1]  # descending order; after 0 comes the last
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + following[:cut]
+        own, changed, theirs = map(signature, (text, edited, following))
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (shown(own), shown(changed))
+        for name, other in (("near_edited", changed), ("near_next", theirs)):
+            assert got[i][name] == imatch.likeness(*((s, np.array(h, np.uint64)) for s, h in (own, other)))
