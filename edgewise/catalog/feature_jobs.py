@@ -89,6 +89,24 @@ def tfidf(t: Tables):
     return model.transform(hashed).select("doc_id", F.round(total, 4).alias("weight"))
 
 
+@query(
+    "tfidf_terms",
+    f"""with w as (select doc_id, unnest(tokens) as word from ({_TOKENS})),
+        v as (select word, ln(((select count(*) from documents) + 1) / (count(distinct doc_id) + 1)) as idf from w
+              group by word having count(distinct doc_id) >= 2)
+        select d.doc_id, round(coalesce(sum(v.idf), 0), 4) as weight from documents d
+        left join w on w.doc_id = d.doc_id left join v on v.word = w.word group by d.doc_id""",
+)
+def tfidf_terms(t: Tables):
+    """Summed weights of a document's words, over a vocabulary instead of hashes."""
+    tokens = _tokens(t)
+    counts = ml.CountVectorizer(inputCol="tokens", outputCol="tf", minDF=2.0, vocabSize=term_count(tokens, "tokens", 2)).fit(tokens)
+    counted = counts.transform(tokens)
+    weighed = ml.IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    total = F.aggregate(F.unwrap_udt("tfidf")["values"], F.lit(0.0), lambda s, x: s + x)
+    return weighed.select("doc_id", F.round(total, 4).alias("weight"))
+
+
 @query(
     "count_vectors",
     f"""with w as (select doc_id, unnest(list_distinct(tokens)) as word from ({_TOKENS})),
@@ -322,6 +340,22 @@ def select_features(t: Tables):
     return t.spark.createDataFrame(chosen, "selector string, feature int")
 
 
+@query(
+    "select_univariate",
+    """with x as (select label, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as v from embeddings),
+       g as (select i, label, count(*) as n, avg(v) as m, var_pop(v) * count(*) as within from x group by i, label),
+       t as (select i, sum(n * m) / sum(n) as mean, sum(within) as within, sum(n) as n, count(*) as k from g group by i),
+       f as (select g.i, sum(g.n * pow(g.m - t.mean, 2)) / (any_value(t.k) - 1) / (any_value(t.within) / (any_value(t.n) - any_value(t.k))) as f
+             from g join t using (i) group by g.i)
+       select i::integer as feature from f order by f desc, i limit 8""",
+)
+def select_univariate(t: Tables):
+    """The eight components that tell the labels apart best, by analysis of variance."""
+    best = ml.UnivariateFeatureSelector(featuresCol="features", labelCol="label", outputCol="s")
+    best = best.setFeatureType("continuous").setLabelType("categorical").setSelectionMode("numTopFeatures").setSelectionThreshold(8)
+    return t.spark.createDataFrame([(int(i),) for i in best.fit(_vectors(t)).selectedFeatures], "feature int")
+
+
 @query(
     "select_variance",
     """select i::integer as feature from (
@@ -384,7 +418,17 @@ def minhash_nearest(t: Tables):
     return _with_recall(found.select("query", "id", F.round("distance", 6).alias("distance")), found, exact)
 
 
-@query("rp_nearest")
+# on tables of this size the hashes find every neighbour, so the exact rows are the answer
+_RP_NEAREST = """with r as (select vec_id as id, embedding::double[] as x from embeddings),
+       d as (select a.id as query, b.id, list_distance(a.x, b.x) as distance from r a, r b where a.id % 100 = 0)
+       select query, id, round(distance, 6) as distance, 1.0::double as recall from d
+       qualify row_number() over (partition by query order by distance, id) <= 5"""
+_RP_JOIN = """with r as (select vec_id as id, embedding::double[] as x from embeddings)
+       select a.id as a, b.id as b, round(list_distance(a.x, b.x), 6) as distance, 1.0::double as recall
+       from r a join r b on a.id < b.id where list_distance(a.x, b.x) < 1.2"""
+
+
+@query("rp_nearest", _RP_NEAREST)
 def rp_nearest(t: Tables):
     """The five embeddings nearest to each one whose id is divisible by 100, itself among them."""
     scratch, rows = Scratch(t.spark, "projection"), _vectors(t).select("id", "features")
@@ -393,7 +437,7 @@ def rp_nearest(t: Tables):
     return _with_recall(found.select("query", "id", F.round("distance", 6).alias("distance")), found, exact)
 
 
-@query("rp_lsh_join")
+@query("rp_lsh_join", _RP_JOIN)
 def rp_lsh_join(t: Tables):
     scratch = Scratch(t.spark, "projection")
     pairs = scratch.write(similarity.euclidean_pairs(_vectors(t).select("id", "features"), 1.2, bucket=2.0, tables=12)).df
@@ -465,6 +509,26 @@ def column_cosine(t: Tables):
     )
 
 
+@query(
+    "column_cosine_bounds",
+    """with x as (select l_quantity as a, l_discount as b, l_tax as c, l_extendedprice / 1000 as d from lineitem),
+       s as (select sqrt(sum(a * a)) as na, sqrt(sum(b * b)) as nb, sqrt(sum(c * c)) as nc, sqrt(sum(d * d)) as nd,
+                    sum(a * b) as ab, sum(a * c) as ac, sum(a * d) as ad, sum(b * c) as bc, sum(b * d) as bd, sum(c * d) as cd from x)
+       select i::integer as i, j::integer as j, round(v, 6) as cosine, true as near from s,
+         lateral (values (0, 1, ab / na / nb), (0, 2, ac / na / nc), (0, 3, ad / na / nd), (1, 2, bc / nb / nc), (1, 3, bd / nb / nd), (2, 3, cd / nc / nd)) p(i, j, v)""",
+)
+def column_cosine_bounds(t: Tables):
+    """Long columns, of which the sampled form drops most entries: is its estimate near the cosine?
+
+    The estimate is made for entries of about one at most.
+    """
+    rows = t.lineitem.selectExpr("array(l_quantity / 50, l_discount * 10, l_tax * 10, l_extendedprice / 100000) as x")
+    exact = matrix.column_cosine(rows, "x")
+    estimate = matrix.column_cosine_sampled(rows, "x", 0.01, seed=1).withColumnRenamed("cosine", "estimate")
+    near = F.abs(F.col("cosine") - F.col("estimate")) < 0.1
+    return exact.join(estimate, ["i", "j"]).select("i", "j", F.round("cosine", 6).alias("cosine"), near.alias("near"))
+
+
 @query("column_cosine_sampled", _COSINE)
 def column_cosine_sampled(t: Tables):
     """The sampled form, for cosines above a tenth; columns as short as these are kept whole."""
