@@ -174,6 +174,24 @@ def file_filters(t: Tables):
     )
 
 
+@query(
+    "text_whole",
+    "select c_mktsegment as segment, count(*) as n_lines, cast(sum(length(c_name)) as bigint) as n_chars from customer group by 1",
+)
+def text_whole(t: Tables):
+    """Whole text files, of 500 lines at most, by name and by time of change; other files are passed over."""
+    path = _path(t)
+    lines = t.customer.select("c_name", F.col("c_mktsegment").alias("segment"))
+    lines.write.option("maxRecordsPerFile", 500).partitionBy("segment").text(path)
+    lines.limit(3).select("c_name").write.json(f"{path}/segment=STRAY")
+    found = files.read_filtered(
+        t.spark, path, "value string, segment string", "text", glob="*.txt", modified_before="2200-01-01T00:00:00", whole=True
+    )
+    each = found.select("segment", F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n").alias("rows"))
+    size = F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, x: s + F.length(x))
+    return each.groupBy("segment").agg(F.sum(F.size("rows")).alias("n_lines"), F.sum(size).alias("n_chars"))
+
+
 @query("sql_on_file", "select s_suppkey, s_name from supplier where s_acctbal > 0")
 def sql_on_file(t: Tables):
     return t.spark.sql(f"select s_suppkey, s_name from parquet.`{t.path('supplier')}` where s_acctbal > 0")

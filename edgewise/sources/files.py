@@ -22,14 +22,16 @@ def read_filtered(
     glob: str | None = None,
     modified_before: str | None = None,
     modified_after: str | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Read the files of a folder that pass the given filters."""
+    """Read the files of a folder that pass the given filters; `whole` makes a text file one row."""
     options = {
         "ignoreCorruptFiles": str(ignore_corrupt).lower(),
         "recursiveFileLookup": str(recursive).lower(),
         "pathGlobFilter": glob,
         "modifiedBefore": modified_before,
         "modifiedAfter": modified_after,
+        "wholetext": "true" if whole else None,
     }
     given = {k: v for k, v in options.items() if v is not None}
     return spark.read.format(fmt).schema(schema).options(**given).load(path)
