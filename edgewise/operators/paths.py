@@ -41,7 +41,8 @@ def shortest_paths(
     first = nodes.join(is_source, "node", "left").selectExpr("node", "coalesce(near, double('inf')) as distance")
     held = _Laid(scratch.write(first).df, ["node"])
     n = held.size
-    fell, changes, done = [scratch.write(is_source.selectExpr("node", "near as distance"))], [], False
+    # sources that are no node are not told
+    fell, changes, done = [scratch.write(held.df.where("distance = 0"))], [], False
     written = 0
     while not done and (max_iters is None or len(changes) < max_iters):
         front = fell[-1].df

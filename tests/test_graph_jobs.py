@@ -85,3 +85,19 @@ def test_degree_histogram(spark):
 def test_adjacency(spark):
     rows = E.adjacency(frame(spark, [(1, 2), (3, 1), (1, 2)])).where(F.col("node") == 1).collect()
     assert rows == [(1, [2, 3])]
+
+
+def test_paths_without_edges_and_many_rounds(spark):
+    """A long path: distances are merged on the way; a source that is no node is not told."""
+    from edgewise.operators import paths
+
+    n = 40
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)] + [(0, 30, 50.0), (None, 3, 1.0)], "src long, dst long, weight double")
+    start = spark.createDataFrame([(0,), (777,)], "node long")
+    loop = paths.shortest_paths(edges, start)
+    assert {r["node"]: r["distance"] for r in loop.state.collect()} == {i: float(i) for i in range(n + 1)}
+    assert loop.converged and loop.changes[-1] == 0 and not paths.shortest_paths(edges, start, max_iters=3).converged
+    assert paths.shortest_paths(edges.limit(0), start).state.count() == 0
+    closure = paths.transitive_closure(edges.select("src", "dst").where("src < 12"))
+    assert closure.state.where("dst <= 12").count() == 12 * 13 // 2 and closure.state.where("dst = 30").count() == 1
+    assert closure.state.distinct().count() == closure.state.count()
