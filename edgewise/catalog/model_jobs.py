@@ -361,12 +361,29 @@ def association_rules(t: Tables):
 @query("sequences")
 def sequences(t: Tables):
     """Frequent orders of event types over the days of a user."""
+    return _sequences(t, 5)
+
+
+@query(
+    "sequences_of_two",
+    """with f as (select distinct user_id, ts::date as day, event_type as e from events),
+       p as (select user_id, e as sequence from f
+             union select a.user_id, a.e || ',' || b.e from f a join f b on a.user_id = b.user_id and a.day = b.day and a.e < b.e
+             union select a.user_id, a.e || ';' || b.e from f a join f b on a.user_id = b.user_id and a.day < b.day)
+       select sequence, count(*) as n from p group by sequence having count(*) >= 0.5 * (select count(distinct user_id) from events)""",
+)
+def sequences_of_two(t: Tables):
+    """One event type, two on a day, or one before the other."""
+    return _sequences(t, 2)
+
+
+def _sequences(t: Tables, longest: int) -> DataFrame:
     days = _baskets(t).groupBy("user_id").agg(
         F.expr("transform(array_sort(collect_list(struct(day, items))), x -> x.items)").alias(
             "sequence"
         )
     )
-    spans = PrefixSpan(minSupport=0.5, maxPatternLength=5).findFrequentSequentialPatterns(days)
+    spans = PrefixSpan(minSupport=0.5, maxPatternLength=longest).findFrequentSequentialPatterns(days)
     return spans.select(
         F.array_join(F.expr("transform(sequence, s -> array_join(array_sort(s), ','))"), ";").alias(
             "sequence"
