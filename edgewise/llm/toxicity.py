@@ -29,9 +29,9 @@ from edgewise.plans.scratch import Scratch
 
 EXAMPLES = 20_000
 FOLDS = 3
-#: Columns of a fit: all words of the sample, by their hash. Two words in one column share a weight.
+#: Places of the words of the sample, by their hash. Two words in one place share a weight.
 TERMS = 1 << 20
-#: A word in fewer rows of a fit is no evidence there.
+#: A place in fewer rows of the sample is no evidence; all others are columns of the fits.
 MIN_DOCS = 4
 PENALTY = 0.002
 ROUNDS = 250
@@ -141,9 +141,9 @@ class Chain:
         return scored.select(*kept.columns, *[F.col("_tox_p")[n].alias(n) for n in names])
 
 
-def _weights(rows: DataFrame, fit) -> dict[str, float]:
-    """Weights by word: those words of the sample whose column has one, a few hundred as a rule."""
-    weights = dict(zip(fit["at"], fit["weights"], strict=True))
+def _weights(rows: DataFrame, fit, places: np.ndarray) -> dict[str, float]:
+    """Weights by word: those words of the sample whose place has one, a few hundred as a rule."""
+    weights = dict(zip(places[fit["at"]].tolist(), fit["weights"], strict=True))
     if not weights:
         return {}
     columns = F.broadcast(rows.sparkSession.createDataFrame([(int(i),) for i in weights], "place int"))
@@ -178,9 +178,11 @@ def fit_chain(
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [features(t) for t in batch["text"]]
-            out = batch[["row", *categories]].assign(words=[sorted(w) for w, _, _ in found])
-            yield out.assign(dense=[[a, b] for _, a, b in found])
+            for low in range(0, len(batch), 256):  # lists of words are large
+                part = batch.iloc[low : low + 256]
+                found = [features(t) for t in part["text"]]
+                out = part[["row", *categories]].assign(words=[sorted(w) for w, _, _ in found])
+                yield out.assign(dense=[[a, b] for _, a, b in found])
 
     y = ", ".join(f"`{c}` double" for c in categories)
     numbered = chosen.withColumn("row", F.xxhash64("doc_id", F.xxhash64("text")))
@@ -189,12 +191,24 @@ def fit_chain(
     ).df
     if rows.isEmpty():
         return Chain(categories, [Linear({}, [0.0] * (2 + i), -1000.0) for i in range(len(categories))])
-    numbered = F.transform("words", _place)
-    state = scratch.write(rows.withColumn("words", F.array_distinct(numbered))).df
+    placed = rows.withColumn("words", F.array_distinct(F.transform("words", _place)))
+    counted = placed.select(F.explode("words").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
+    # TERMS numbers at most
+    places = np.sort(counted.select("place").toPandas()["place"].to_numpy(np.int64))
+    shared = spark.sparkContext.broadcast(places.astype(np.int32))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        column = np.full(TERMS, -1, np.int32)
+        column[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            found = [column[np.asarray(w, np.int64)] for w in batch["words"]]
+            yield batch.assign(words=[np.sort(w[w >= 0]) for w in found])
+
+    state = scratch.write(placed.select("row", *categories, "words", "dense").mapInPandas(number, f"row long, {y}, words array<int>, dense array<double>")).df
     models = []
     for i, category in enumerate(categories):
-        fits = _fit(state, category, TERMS, folds if i + 1 < len(categories) else 0)
-        models.append(Linear(_weights(rows, fits[-1]), list(fits[-1]["dense"]), fits[-1]["intercept"]))
+        fits = _fit(state, category, len(places), folds if i + 1 < len(categories) else 0)
+        models.append(Linear(_weights(rows, fits[-1], places), list(fits[-1]["dense"]), fits[-1]["intercept"]))
         if i + 1 < len(categories):
             state = scratch.write(_out_of_fold(state, fits, folds)).df
     return Chain(categories, models)
@@ -221,9 +235,7 @@ def _fit(rows: DataFrame, category: str, terms: int, folds: int) -> list:
             return pd.DataFrame([(job, [], [], [0.0] * dense.shape[1], constant)], columns=["job", "at", "weights", "dense", "intercept"])
         at = np.concatenate([np.asarray(w, np.int64) for w in pdf["words"]])
         sizes = pdf["words"].map(len).to_numpy(np.int64)
-        told = np.bincount(at, minlength=terms)[at] >= MIN_DOCS
-        row = np.repeat(np.arange(len(y)), sizes)[told]
-        w, own, intercept = fit_linear(at[told], np.bincount(row, minlength=len(y)), dense, y, terms, PENALTY, ROUNDS)
+        w, own, intercept = fit_linear(at, sizes, dense, y, terms, PENALTY, ROUNDS)
         kept = np.flatnonzero(w)
         row = (job, kept.tolist(), w[kept].tolist(), own.tolist(), intercept)
         return pd.DataFrame([row], columns=["job", "at", "weights", "dense", "intercept"])
