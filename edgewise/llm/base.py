@@ -76,7 +76,7 @@ class Known:
     When the columns outgrow `limit` bytes, the strings of the present batch stay.
     """
 
-    def __init__(self, kind: str, limit: int = 24 << 20):
+    def __init__(self, kind: str, limit: int = 12 << 20):
         import pyarrow as pa
 
         self.limit = limit

@@ -211,6 +211,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     missing = part.column("text").is_null()
                     lists = pa.ListArray.from_arrays(pa.array(_ends(counts)), pa.array(flat), mask=missing)
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
+                pa.default_memory_pool().release_unused()
             if not batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 

@@ -185,6 +185,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, part
                         yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
                         frames = []
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                pa.default_memory_pool().release_unused()
 
     # the text writer puts out the bytes of a string as they are, and the line feed of the frame
     frames = ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "frame binary")
