@@ -133,20 +133,19 @@ class Prepared:
     """The kept vectors with their rotated coordinates, written once."""
 
     def __init__(self, vectors: DataFrame, size: int, axes: int, scratch: Scratch):
-        spark = vectors.sparkSession
         plain = scratch.write(vectors).df
         low, high = plain.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
         if low is not None and (low < -LARGEST or high > LARGEST):
             raise ValueError(f"components from {low} to {high} go beyond {LARGEST}: squared distances may not fit into a long")
         self.rotate, self.size = rotation(plain, size, axes), size
-        shared = spark.sparkContext.broadcast(self.rotate)
+        rotate = self.rotate
 
         def turn(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             for batch in batches:
                 v = _matrix(batch.column("v"))
-                lead, rest = shared.value(v.astype(float))
+                lead, rest = rotate(v.astype(float))
                 ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * lead.shape[1])
                 small = batch.column("v").flatten().cast(pa.int32())
                 ints = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), small)

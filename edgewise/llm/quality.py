@@ -259,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """`docs` with the probability of class 1; null and empty texts are scored by the bias alone."""
     # the size of a model is fixed: 2^BITS places
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.sparkSession.sparkContext.broadcast((model.weights, model.squares, model.bias, model.slope, model.offset, model.bits))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, tokens = packed.value, worker_cache("quality").setdefault("tokens", Tokens())
+        model, tokens = Model(*packed.value), worker_cache("quality").setdefault("tokens", Tokens())
         for texts in batches:
             yield pd.Series([model.score(places(t, tokens, model.bits)) for t in texts], dtype=float)
 
