@@ -35,6 +35,8 @@ from edgewise.plans.scratch import Scratch
 MASK = 0xA282EAD8
 #: Bytes of text whose distinct pieces are worked out together; a longer text is a batch alone.
 BATCH_BYTES = 8 << 20
+#: Bytes of known pieces a worker keeps.
+KNOWN_BYTES = 24 << 20
 #: Records per batch that is handed on.
 WRITTEN = 512
 #: White space as the vocabulary's own splitter sees it.
@@ -169,7 +171,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, part
             tokenizer = Tokenizer.from_file(vocabulary)
             size = max(tokenizer.get_vocab_size(), end_id + 1)
             kind = "<u2" if size <= 1 << 16 else "<u4"
-            held[vocabulary] = tokenizer, kind, Known(kind)
+            held[vocabulary] = tokenizer, kind, Known(kind, KNOWN_BYTES)
         pieces = Pieces(*held[vocabulary])
         wide = pieces.kind == "<u4"
         end = np.array([end_id], pieces.kind).tobytes()
