@@ -58,6 +58,22 @@ def test_triangles(spark, hot_keys, seed):
     assert total == sum(want.values()) // 3
 
 
+@pytest.mark.parametrize("kind", [int, str])
+def test_triangles_in_many_colours(spark, monkeypatch, kind):
+    """An edge goes to few tasks, whatever the degrees: no row carries the list of a neighbour."""
+    monkeypatch.setattr(triangles, "TASK_EDGES", 20)
+    monkeypatch.setattr(triangles, "PATHS", 7)
+    rng = random.Random(3)
+    pairs = [(kind(rng.randrange(20)), kind(rng.randrange(20))) for _ in range(120)] + [(kind(0), kind(i)) for i in range(25)]
+    rows = spark.createDataFrame(pairs, "src string, dst string" if kind is str else "src long, dst long")
+    found = triangles.triangles_per_vertex(rows)
+    want = brute_triangles(pairs)
+    assert {r["node"]: r["n_triangles"] for r in found.collect()} == want
+    assert triangles.triangles_total(rows).first()["n_triangles"] == sum(want.values()) // 3
+    assert set(triangles.triangle_corners(rows).columns) == {"node", "n"}
+    assert triangles.triangles_total(rows.limit(0)).first()["n_triangles"] == 0
+
+
 def test_shortest_paths(spark, hot_keys):
     rows = [(0, 1, 4.0), (0, 2, 1.0), (2, 1, 2.0), (1, 3, 5.0), (4, 0, 1.0), (0, 1, 9.0)]
     rows += [(0, 10 + i, 1.0) for i in range(12)]
