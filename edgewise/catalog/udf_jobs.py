@@ -65,11 +65,10 @@ def pudf_agg(t: Tables):
 def pudf_window(t: Tables):
     """All orders of a customer, and the last three.
 
-    The pandas aggregate gets blocks of a customer's orders, whose sums are added up and joined
-    back; the last three are looked up by built-in functions, which spill.
+    The pandas aggregate gets a customer's orders, in blocks of bounded size if they are many; sums
+    of blocks are added up and joined back. The last three are looked up by built-in functions, which spill.
     """
-    block = F.floor(F.col("o_orderkey") / 10_000)
-    blocks = t.orders.groupBy("o_custkey", block.alias("block")).agg(scalar.series_total("o_totalprice").alias("part"))
+    blocks = grouped.total_blocks(t.orders, "o_custkey", "o_totalprice", ["o_orderkey"])
     sizes = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     totals = blocks.groupBy("o_custkey").agg(F.sum("part").alias("total")).join(sizes, "o_custkey")
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

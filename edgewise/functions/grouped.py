@@ -25,6 +25,20 @@ def block(rows: DataFrame, on: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(n))
 
 
+def total_blocks(rows: DataFrame, key: str, value: str, on: Sequence[str]) -> DataFrame:
+    """`(key, block, part)`: sums of `value` by a pandas aggregate, a call for each key and block.
+
+    Only a key of more than BLOCK_ROWS rows is cut, by the hash of `on`: a call costs much more
+    than a row, so there should be no more of them than needed.
+    """
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS)
+    # fewer than the rows by BLOCK_ROWS
+    cut = rows.select(key, value, *on).join(F.broadcast(sizes), F.col(key).eqNullSafe(F.col("_key")), "left")
+    pieces = F.ceil(F.coalesce("_n", F.lit(1)) / BLOCK_ROWS)
+    number = F.pmod(F.xxhash64(*on), pieces).cast("int")
+    return cut.groupBy(key, number.alias("block")).agg(series_total(value).alias("part"))
+
+
 def blocked_mean(rows: DataFrame, key: str, value: str, on: Sequence[str]) -> DataFrame:
     """Mean per key by a pandas aggregate over (key, block), merged by built-ins."""
     return (
