@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.udtf(returnType="instalment int, share long", useArrow=True)
+# The Arrow form sends a batch for every call, which takes longer than the few rows in it.
+@F.udtf(returnType="instalment int, share long", useArrow=False)
 class Instalments:
     """Cents in equal parts; the last part takes the rest."""
 
@@ -19,7 +20,7 @@ class Instalments:
             yield i, each if i < parts else cents - each * (parts - 1)
 
 
-@F.udtf(returnType="position int, sentence string", useArrow=True)
+@F.udtf(returnType="position int, sentence string", useArrow=False)
 class Sentences:
     """Parts of a text between full stops, trimmed, with their place; empty ones are left out."""
 

@@ -180,3 +180,25 @@ def test_chi_square_and_samples(spark):
     again = stats.sample_strata(rows.repartition(5), "s", {"a": 0.5}, ["id"], 1)
     assert again.count() == n
     assert stats.sample_fixed(rows, 7, ["id"]).count() == 7
+
+
+def test_a_pandas_aggregate_is_called_once_a_small_key(spark, monkeypatch):
+    rows = spark.range(3_000).selectExpr("id as at", "if(id < 2900, id % 290, if(id < 2990, null, -1)) as k", "double(id) as v")
+    monkeypatch.setattr(grouped, "BLOCK_ROWS", 50)
+    blocks = grouped.total_blocks(rows, "k", "v", ["at"])
+    calls = {r["k"]: r["n"] for r in blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert calls.pop(None) == 2 and set(calls.values()) == {1}  # 90 rows without a key
+    total = {r["k"]: r["s"] for r in blocks.groupBy("k").agg(F.sum("part").alias("s")).collect()}
+    assert total == {r["k"]: r["s"] for r in rows.groupBy("k").agg(F.sum("v").alias("s")).collect()}
+
+
+def test_table_functions_send_rows(spark):
+    """A batch for each call took longer than the rows of the call."""
+    from pyspark.util import PythonEvalType
+
+    from edgewise.functions import tablefunctions as tf
+
+    assert tf.Instalments.evalType == tf.Sentences.evalType == PythonEvalType.SQL_TABLE_UDF
+    tf.register_table_functions(spark)
+    found = spark.sql("select p.n, i.* from values (1000L, 3), (null, 2), (7L, null), (5L, 0) p(c, n), lateral instalments(c, n) i").collect()
+    assert [tuple(r) for r in found] == [(3, 1, 333), (3, 2, 333), (3, 3, 334)]
