@@ -26,3 +26,19 @@ def test_models_after_an_observed_figure(spark, lines, name, n):
     spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
     assert seen.get["n"] == 5
     assert len(QUERIES[name](spark, lines).collect()) == n
+
+
+def test_learners_get_tasks_of_bounded_size(spark, lines, monkeypatch):
+    """One row group of a file was one task, of any size."""
+    from edgewise.catalog.registry import Tables
+
+    rows = model_jobs._lines(Tables(spark, lines)).coalesce(1)
+    with model_jobs._spread(rows) as same:
+        assert same is rows
+    monkeypatch.setattr(model_jobs, "PART_ROWS", 50)
+    monkeypatch.setattr(model_jobs, "FEW_ROWS", 100)
+    with model_jobs._spread(rows) as spread:
+        assert spread.columns == rows.columns
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) <= 60
+        assert sorted(map(str, spread.collect())) == sorted(map(str, rows.collect()))
