@@ -15,10 +15,27 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def own_tasks(spark: SparkSession, cells: int) -> list[int]:
+    """As many numbers, of which each is hashed to a task of its own.
+
+    The numbers 0, 1, ... would be hashed to two thirds of the tasks, several of them to one.
+    """
+    # of `n` times as many numbers, a task gets none with a probability of exp(-n)
+    found: dict[int, int] = {}
+    last = 0
+    while len(found) < cells:
+        number = F.col("id").cast("int")
+        tried = spark.range(last, last + 32 * cells, 1, 1).select(F.pmod(F.hash(number), F.lit(cells)).alias("task"), number.alias("number"))
+        for row in tried.groupBy("task").agg(F.min("number").alias("number")).collect():
+            found.setdefault(row["task"], row["number"])
+        last += 32 * cells
+    return [found[task] for task in range(cells)]
+
+
 class GridRows:
     """`rows(node, to)` in a grid of cells; `send` is what a round does with them."""
 
@@ -33,7 +50,9 @@ class GridRows:
         self.cells = side * side
         self.by = [k for k in self.key if k != "node"]
         cell = F.pmod(F.xxhash64(*self.key), F.lit(side)) * side + F.pmod(F.xxhash64(*self.by, "to", F.lit(1)), F.lit(side))
-        placed = rows.withColumn("cell", cell.cast("int"))
+        # of the number of a cell only its hash counts, which decides on the task
+        numbers = F.array(*[F.lit(n) for n in own_tasks(spark, self.cells)])
+        placed = rows.withColumn("cell", F.get(numbers, cell.cast("int")))
         self.edges = placed.repartition(self.cells, "cell").sortWithinPartitions("cell", *self.key).persist(StorageLevel.MEMORY_AND_DISK)
         self.spark, self.before = spark, spark.conf.get(self.SETTING)
         spark.conf.set(self.SETTING, "false")

@@ -64,3 +64,12 @@ def test_less_is_sent_on_a_graph_of_hubs(spark):
     # the form by source sends the state once and up to a row per partition and target
     assert state.count() + copies + sums < state.count() + by_source
     assert spark.conf.get(GridRows.SETTING) == "true"
+
+
+def test_each_cell_has_a_task_of_its_own(spark):
+    grid = GridRows(hubs(spark).selectExpr("src as node", "dst as to"), ["node"], 16)
+    try:
+        placed = grid.edges.select("cell", F.spark_partition_id().alias("task")).distinct()
+        assert grid.cells == placed.count() == placed.select("task").distinct().count() == 16
+    finally:
+        grid.release()
