@@ -135,7 +135,7 @@ class Timeline:
 
     `buckets` maps a bucket number to `(times, closings, counts)`, sorted and without
     repeats, so that a bucket has at most two entries a millisecond; `firsts` maps it to
-    its earliest time. `open` is the session all final events have led to, as (start, last,
+    its earliest time, or to None as long as that was not looked up. `open` is the session all final events have led to, as (start, last,
     closed, n), or None. Adding a late event loads its bucket; making events final loads the
     buckets below the watermark. No access loads all of a user.
     """
@@ -174,7 +174,7 @@ class Timeline:
         def report() -> None:
             done.append((self.open[0], self.end(), self.open[3]))
 
-        for bucket in sorted(b for b in self.firsts if self.firsts[b] < mark):
+        for bucket in sorted(b for b, first in self.firsts.items() if (b * self.bucket_ms if first is None else first) < mark):
             entries = list(zip(*self.buckets[bucket], strict=True))
             for at, closing, n in entries:
                 if at >= mark:
@@ -186,7 +186,10 @@ class Timeline:
                         if self.open:
                             report()
                         self.open = (at, at, closing, size)
-            self._store(bucket, [e for e in entries if e[0] >= mark])
+            if entries[0][0] < mark:
+                self._store(bucket, [e for e in entries if e[0] >= mark])
+            else:
+                self.firsts[bucket] = entries[0][0]
         if self.open and self.end() < mark:
             report()
             self.open = None
@@ -194,7 +197,12 @@ class Timeline:
 
     def next_time(self) -> int | None:
         """When there is something to do again: a pending event or the end of the open session."""
-        times = [self.firsts[b] for b in self.firsts]
+        times = []
+        if self.firsts:
+            low = min(self.firsts)
+            if self.firsts[low] is None:
+                self.firsts[low] = self.buckets[low][0][0]
+            times.append(self.firsts[low])
         if self.open:
             times.append(self.end())
         return min(times) + 1 if times else None
@@ -203,18 +211,14 @@ class Timeline:
 class _Held:
     """A state map of one-column keys as a mutable mapping."""
 
-    def __init__(self, state, one: bool):
-        self.state, self.one = state, one
-
-    def __contains__(self, bucket: int) -> bool:
-        return self.state.containsKey((bucket,))
+    def __init__(self, state):
+        self.state = state
 
     def __getitem__(self, bucket: int):
-        found = self.state.getValue((bucket,))
-        return found[0] if self.one else tuple(found)
+        return tuple(self.state.getValue((bucket,)))
 
     def __setitem__(self, bucket: int, value) -> None:
-        self.state.updateValue((bucket,), (value,) if self.one else value)
+        self.state.updateValue((bucket,), value)
 
     def __delitem__(self, bucket: int) -> None:
         self.state.removeKey((bucket,))
@@ -233,11 +237,12 @@ class ClosingSessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "start bigint, last bigint, closed boolean, n bigint")
         self.buckets = handle.getMapState("buckets", "bucket bigint", "times array<bigint>, closings array<boolean>, counts array<bigint>")
-        self.firsts = handle.getMapState("firsts", "bucket bigint", "first bigint")
 
     def _run(self, key, events: list[tuple[int, bool, int]], mark: int) -> Iterator[pd.DataFrame]:
         opened = tuple(self.open.get()) if self.open.exists() else None
-        line = Timeline(_Held(self.buckets, False), _Held(self.firsts, True), opened, self.gap_ms, self.bucket_ms)
+        held = _Held(self.buckets)
+        # each call to the state is a message to the JVM: the buckets are listed once, and found in that list
+        line = Timeline(held, dict.fromkeys(held), opened, self.gap_ms, self.bucket_ms)
         line.add(events)
         done = line.advance(mark)
         if line.open is not None:

@@ -98,6 +98,59 @@ def test_a_late_event_loads_one_bucket():
     assert line.advance(10**9) == [(0, 500_005, 150_004), (500_010, 999_990 + 5000, 149_997 + 10**6)]
 
 
+def test_a_users_state_is_called_a_few_times_an_event():
+    class State:
+        """A state map that counts the calls to it."""
+
+        def __init__(self):
+            self.held, self.calls = {}, 0
+
+        def __getattr__(self, name):
+            do = {
+                "getValue": lambda key: self.held[key],
+                "updateValue": lambda key, value: self.held.update({key: value}),
+                "removeKey": lambda key: self.held.pop(key),
+                "keys": lambda: iter(list(self.held)),
+                "exists": lambda: "" in self.held,
+                "get": lambda: self.held[""],
+                "update": lambda value: self.held.update({"": value}),
+                "clear": lambda: self.held.clear(),
+                "containsKey": lambda key: key in self.held,
+            }[name]
+
+            def run(*args):
+                self.calls += 1
+                return do(*args)
+
+            return run
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timer = {}, None
+
+        def getValueState(self, name, *schemas):
+            return self.states.setdefault(name, State())
+
+        getMapState = getValueState
+
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, at):
+            self.timer = at
+
+    handle, user = Handle(), sessions.ClosingSessions(1500, 1000)
+    user.init(handle)
+    events = [(5000 * i, False, 1) for i in range(100)]
+    assert list(user._run(("a",), events, 0)) == [] and handle.timer == 1
+    # two buckets at a time: the one told of is loaded, the next one tells when to go on
+    told = list(user._run(("a",), [], 5001))
+    assert told[0].values.tolist() == [["a", 0, 1500, 1]] and handle.timer == 5000 + 1500 + 1
+    told = list(user._run(("a",), [], 10**6))
+    assert len(told[0]) == 99 and not any(s.held for s in handle.states.values())
+    assert sum(s.calls for s in handle.states.values()) < 4 * len(events)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_timeline_equals_the_plain_split(seed):
     import random
