@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from edgewise.operators import components as C, edges as E
@@ -76,6 +77,27 @@ def test_round_counts_of_a_long_path(spark):
     assert len(labels(capped)) == 300
 
 
+def test_many_edges_are_made_stars_before_the_rounds(spark, monkeypatch):
+    """Every edge of the input went through the sorts of the first rounds."""
+    monkeypatch.setattr(C, "MIN_CHUNKED", 50)
+    monkeypatch.setattr(C, "CHUNK_ROWS", 40)
+    pairs = mixed_graph(3) + [(1000 + i, 1001 + i) for i in range(99)] * 4
+    taken = []
+    monkeypatch.setattr(C, "iterate", lambda scratch, start, *a, n, f=C.iterate, **k: taken.append((start.df.count(), n)) or f(scratch, start, *a, n=n, **k))
+    result = C.connected_components(frame(spark, pairs), "star")
+    assert labels(result) == union_find(pairs)
+    before = sum(1 for a, b in pairs if a is not None and b is not None and a != b)
+    assert taken[0][0] == taken[0][1] < before
+    # other ids take the plain way
+    names = [(str(a), str(b)) for a, b in pairs if a is not None and b is not None]
+    assert labels(C.connected_components(frame(spark, names, "string"), "star")) == union_find(names)
+
+
+def test_stars_of_a_chunk():
+    hi, lo = C._chunk_star(np.array([5, 9, 9, 2, 7]), np.array([3, 5, 5, 1, 3]))
+    assert dict(zip(hi.tolist(), lo.tolist(), strict=True)) == {5: 3, 9: 3, 7: 3, 2: 1}
+
+
 def test_hooking_cap_still_gives_one_row_per_node(spark):
     path = frame(spark, [(i, i + 1) for i in range(30)])
     capped = C.connected_components(path, "hooking", max_iters=3)
