@@ -208,6 +208,22 @@ def degree_hist(t: Tables):
     return E.degree_histogram(G.flow(t).select("src", "dst"), nodes)
 
 
+#: Lines of a task of the power iteration; fewer in all stay in the tasks of their grouping.
+PAIR_ROWS = 500_000
+
+
+def _by_source(pairs, total: int):
+    """`pairs`, of `total` at most, with those of a node in one task, and no task of many.
+
+    The planner puts small tasks together, by their bytes in files, to a few. The power iteration keeps
+    these as its own and unpacks them, and sends each node's value to all tasks where it has a pair.
+    """
+    if total <= PAIR_ROWS:
+        return pairs
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(max(cores, -(-total // PAIR_ROWS)), "src")
+
+
 @query("pic")
 def pic(t: Tables):
     from pyspark.ml.clustering import PowerIterationClustering
@@ -216,4 +232,4 @@ def pic(t: Tables):
         F.expr("2*l_partkey").alias("src"), F.expr("2*l_suppkey+1").alias("dst")
     ).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     job = PowerIterationClustering(k=3, maxIter=20, initMode="degree", weightCol="weight")
-    return job.assignClusters(weighted).selectExpr("id as node", "cluster")
+    return job.assignClusters(_by_source(weighted, t.lineitem.count())).selectExpr("id as node", "cluster")

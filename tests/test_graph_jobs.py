@@ -117,3 +117,24 @@ def test_paths_without_edges_and_many_rounds(spark):
     closure = paths.transitive_closure(edges.select("src", "dst").where("src < 12"))
     assert closure.state.where("dst <= 12").count() == 12 * 13 // 2 and closure.state.where("dst = 30").count() == 1
     assert closure.state.distinct().count() == closure.state.count()
+
+
+def test_pairs_of_the_power_iteration_lie_by_source_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """The planner put small tasks together, so that few of any size were left, each with all nodes."""
+    from edgewise.catalog import graph_jobs
+    from edgewise.catalog.registry import QUERIES
+
+    pairs = spark.range(3000).selectExpr("id % 300 as src", "1000 + id % 7 as dst").groupBy("src", "dst").count()
+    rows = pairs.collect()
+    assert graph_jobs._by_source(pairs, 3000) is pairs
+    monkeypatch.setattr(graph_jobs, "PAIR_ROWS", 100)
+    dealt = graph_jobs._by_source(pairs, 3000)
+    placed = dealt.withColumn("task", F.spark_partition_id()).collect()
+    assert dealt.rdd.getNumPartitions() == 30
+    assert sorted(tuple(r)[:3] for r in placed) == sorted(map(tuple, rows))
+    assert len({(r["src"], r["task"]) for r in placed}) == 300
+
+    lines = spark.range(400).selectExpr("id % 40 as l_partkey", "id % 9 as l_suppkey")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = [r["node"] for r in QUERIES["pic"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted([2 * i for i in range(40)] + [2 * i + 1 for i in range(9)])
