@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, classification as cl, clustering as cu, regression as rg
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator,
@@ -50,6 +52,8 @@ def _own_session(t: Tables) -> Tables:
 PART_ROWS = 250_000
 #: Fewer than these are not worth a task of their own.
 FEW_ROWS = 100_000
+#: Rows of a task where a search deals them out.
+EVEN_ROWS = 1_000_000
 
 
 @contextmanager
@@ -72,6 +76,18 @@ def _spread(rows: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+def _evenly(rows: DataFrame) -> DataFrame:
+    """`rows` as their files are cut, or dealt out anew if one task has more than two cores' share of them.
+
+    `rows` come straight from files, whose rows a task counts without reading them.
+    """
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if sum(sizes) <= FEW_ROWS or max(sizes) <= 2 * sum(sizes) / cores:
+        return rows
+    return rows.repartition(max(cores, -(-sum(sizes) // EVEN_ROWS)))
+
+
 def _assembled(rows: DataFrame) -> DataFrame:
     columns = ["l_quantity", "l_discount", "l_tax", "flag"]
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
@@ -444,18 +460,20 @@ def _sequences(t: Tables, longest: int) -> DataFrame:
 @query("tune")
 def tune(t: Tables):
     """Pipeline with a parameter grid, by cross validation and by one split."""
-    rows = _lines(_own_session(t)).drop("features").persist()
     columns = ["l_quantity", "l_discount", "l_tax", "flag"]
     model = cl.LogisticRegression(maxIter=10)
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), model])
     grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1]).build()
     judge = BinaryClassificationEvaluator()
-    folds = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=2, seed=1, parallelism=2
-    ).fit(rows)
-    split = TrainValidationSplit(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, seed=1
-    ).fit(rows)
+    searches = [
+        CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=2, seed=1, parallelism=2),
+        TrainValidationSplit(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, seed=1),
+    ]
+    own = _own_session(t)
+    rows = _evenly(_lines(own).drop("features", "price")).persist()
+    # a fit is many short jobs: one search works while the other waits for its driver
+    with ThreadPool(len(searches)) as pool:
+        folds, split = pool.map(lambda search: inheritable_thread_target(own.spark)(search.fit)(rows), searches)
     rows.unpersist()
     out = [(f"folds {i}", "auc", float(v)) for i, v in enumerate(folds.avgMetrics)]
     out += [(f"split {i}", "auc", float(v)) for i, v in enumerate(split.validationMetrics)]

@@ -42,3 +42,18 @@ def test_learners_get_tasks_of_bounded_size(spark, lines, monkeypatch):
         sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == 8 and max(sizes) <= 60
         assert sorted(map(str, spread.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_rows_of_a_search_are_dealt_out_if_one_task_has_most(spark, lines, monkeypatch):
+    """A file of one row group was one task in every pass of every fit."""
+    from edgewise.catalog.registry import Tables
+
+    rows = model_jobs._lines(Tables(spark, lines)).drop("features").coalesce(1)
+    assert model_jobs._evenly(rows) is rows
+    monkeypatch.setattr(model_jobs, "FEW_ROWS", 100)
+    monkeypatch.setattr(model_jobs, "EVEN_ROWS", 50)
+    even = model_jobs._evenly(rows)
+    sizes = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 60
+    assert sorted(map(str, even.collect())) == sorted(map(str, rows.collect()))
+    assert model_jobs._evenly(even) is even
