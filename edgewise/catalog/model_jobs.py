@@ -77,13 +77,13 @@ def _spread(rows: DataFrame) -> Iterator[DataFrame]:
 
 
 def _evenly(rows: DataFrame) -> DataFrame:
-    """`rows` as their files are cut, or dealt out anew if one task has more than two cores' share of them.
+    """`rows` as their files are cut, or dealt out anew if one task has over a quarter more than a core's share of them.
 
     `rows` come straight from files, whose rows a task counts without reading them.
     """
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    if sum(sizes) <= FEW_ROWS or max(sizes) <= 2 * sum(sizes) / cores:
+    if sum(sizes) <= FEW_ROWS or max(sizes) <= 1.25 * sum(sizes) / cores:
         return rows
     return rows.repartition(max(cores, -(-sum(sizes) // EVEN_ROWS)))
 
