@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.catalog.registry import Tables, query
-from edgewise.operators import descent, isotonic, topics
+from edgewise.operators import descent, isotonic, machines, topics
 from edgewise.operators.products import largest_products
 from edgewise.operators.text import ALL_TERMS
 from edgewise.plans.scratch import Scratch
@@ -236,15 +236,20 @@ def linear_models(t: Tables):
 @query("fm")
 def fm(t: Tables):
     options = {"stepSize": 0.01, "seed": 1}
-    with _spread(_lines(_own_session(t))) as rows:
-        return _scores(
-            t,
-            rows,
-            {
-                "fm classifier": (cl.FMClassifier(**options), "accuracy", _accuracy()),
-                "fm regressor": (rg.FMRegressor(labelCol="price", **options), "rmse", _rmse()),
-            },
-        )
+    jobs = {
+        "fm classifier": (cl.FMClassifier(**options), "accuracy", _accuracy()),
+        "fm regressor": (rg.FMRegressor(labelCol="price", **options), "rmse", _rmse()),
+    }
+    few = _lines(_own_session(t))
+    with _spread(few) as rows:
+        if rows is few:
+            return _scores(t, rows, jobs)
+        models = machines.fit(rows, [job[0] for job in jobs.values()])
+        out = [
+            (name, metric, float(judge.evaluate(model.transform(rows))))
+            for (name, (_, metric, judge)), model in zip(jobs.items(), models, strict=True)
+        ]
+    return t.spark.createDataFrame(out, _RESULT)
 
 
 @query("survival_isotonic")

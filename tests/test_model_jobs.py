@@ -57,3 +57,41 @@ def test_rows_of_a_search_are_dealt_out_if_one_task_has_most(spark, lines, monke
     assert len(sizes) == 8 and max(sizes) <= 60
     assert sorted(map(str, even.collect())) == sorted(map(str, rows.collect()))
     assert model_jobs._evenly(even) is even
+
+
+def test_machines_over_blocks_are_those_of_the_learner(spark, lines, monkeypatch):
+    """The learner went through all rows object by object, once a round and machine."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.regression import FMRegressor
+
+    from edgewise.catalog.registry import Tables
+    from edgewise.operators import machines
+
+    rows = model_jobs._lines(Tables(spark.newSession(), lines)).repartition(3)
+    options = {"stepSize": 0.01, "seed": 1}
+    jobs = [FMClassifier(maxIter=15, **options), FMRegressor(labelCol="price", maxIter=25, regParam=0.01, factorSize=3, fitIntercept=False, **options)]
+    jobs.append(FMRegressor(labelCol="price", maxIter=5, fitLinear=False, tol=0.5, **options))
+    due = [job.fit(rows) for job in jobs]
+    monkeypatch.setattr(machines, "BLOCK", 50)
+    monkeypatch.setattr(machines, "SLICE", 7)
+    for want, got in zip(due, machines.fit(rows, jobs), strict=True):
+        assert got.intercept == pytest.approx(want.intercept, rel=1e-8)
+        assert got.linear.toArray() == pytest.approx(want.linear.toArray(), rel=1e-8)
+        assert got.factors.toArray() == pytest.approx(want.factors.toArray(), rel=1e-8)
+        a, b = ([r["prediction"] for r in m.transform(rows).select("prediction").collect()] for m in (want, got))
+        assert sorted(a) == pytest.approx(sorted(b), rel=1e-8)
+
+    for odd in ("null", "double('inf')"):
+        with pytest.raises(Exception, match="finite"):
+            machines.fit(rows.withColumn("price", F.expr(f"if(price > 0.3, {odd}, price)")), jobs)
+    with pytest.raises(Exception, match="0 or 1"):
+        machines.fit(rows.withColumn("label", F.lit(2.0)), jobs)
+
+    def not_called(*_, **__):
+        raise AssertionError("fitted object by object")
+
+    few = {r["model"]: r["value"] for r in QUERIES["fm"](spark, lines).collect()}
+    for learner in (FMClassifier, FMRegressor):
+        monkeypatch.setattr(learner, "_fit", not_called)
+    monkeypatch.setattr(model_jobs, "FEW_ROWS", 100)
+    assert {r["model"]: r["value"] for r in QUERIES["fm"](spark, lines).collect()} == pytest.approx(few, rel=1e-6)
